@@ -147,3 +147,34 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class Slots:
+    """An open-addressed table from keys to values, built and probed by whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = np.uint64(64 - max(10, int(2 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.bits))
+        self.mask = size - 1
+        self.key, self.value = np.full(size, 2**64 - 1, dtype=np.uint64), np.zeros(size)
+        at, rest = (mix(keys) >> self.bits).astype(np.int64), np.arange(len(keys))
+        while len(rest):
+            free = self.key[at] == np.uint64(2**64 - 1)
+            self.key[at[free]] = keys[rest[free]]  # of several for one slot, the last stays
+            self.value[at[free]] = values[rest[free]]
+            lost = self.key[at] != keys[rest]
+            rest, at = rest[lost], (at[lost] + 1) & self.mask
+
+    def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
+        at = (mix(keys) >> self.bits).astype(np.int64)
+        out = self.value[at]
+        rest = np.flatnonzero(self.key[at] != keys)
+        at = at[rest]
+        while len(rest):
+            none = self.key[at] == np.uint64(2**64 - 1)
+            out[rest[none]] = missing
+            rest, at = rest[~none], (at[~none] + 1) & self.mask
+            hit = self.key[at] == keys[rest]
+            out[rest[hit]] = self.value[at[hit]]
+            rest, at = rest[~hit], at[~hit]
+        return out
