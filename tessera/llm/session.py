@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,30 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def releasing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Executions inside drop their shuffle files when they end: a chain of stored steps never holds the shuffles of all
+    of them. (A step that is retried meanwhile runs its map stages again.)"""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back: lineage ends, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with releasing_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

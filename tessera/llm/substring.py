@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import partitions, shared_folder, stored
+from .session import partitions, releasing_shuffles, shared_folder, stored
 from .text import WORDS, Words, chunks, signed, sliding_min, window_starts
 
 WINDOW, GRAM = 50, 16
@@ -94,7 +94,8 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"tessera_run_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name))
+        with releasing_shuffles(self.spark):
+            (rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name))
         return name
 
     def append(self, batch: DataFrame) -> None:
