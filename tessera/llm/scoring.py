@@ -8,9 +8,11 @@ its children's, which gives every depth its posterior weight. The probability of
 A path ends at the deepest context that training has seen.
 
 All this is a function of (context, byte), so texts are scored by a table of these grams. Documents are dealt into
-blocks of BLOCK_BYTES; each block sends its distinct words and grams, gets back exactly those with their values, and is
-scored in one pass. Nothing that grows with the corpus is broadcast. The tree is cut by the two nearest context bytes: each
-cut part is weighted on its own, and only nodes of depth 0 and 1, at most 257 * 255, go through the driver.
+blocks of BLOCK_BYTES. A block sends its distinct words, and for each part of the tree its distinct grams as one compressed row
+(sorted keys as differences). A part is what shares the two nearest context bytes, by their hash; it is weighted on its own, and
+every block gets back the values of the grams it sent, in their order. So the block, which finds its grams again, scores its
+texts in one pass, and nothing that grows with the corpus is broadcast. Only nodes of depth 0 and 1, at most 257 * 255, go through
+the driver.
 
 Defined cases: null and empty text have the end symbol alone; without training documents every bit costs one bit and counts
 are zero; rows that repeat a doc_id are scored each on its own text; a null doc_id is held out of training.
@@ -19,7 +21,7 @@ are zero; rows that repeat a doc_id are scored each on its own text; a null doc_
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import stored
-from .text import Slots, Words, chunks
+from .session import releasing_shuffles, stored
+from .text import Slots, Words, chunks, mix
 
-DEPTH, BLOCK_BYTES, CHUNK = 5, 32 << 20, 2 << 20
+DEPTH, BLOCK_BYTES, CHUNK = 6, 32 << 20, 2 << 20
 _END = 0xFF
-_CUT = np.uint64(8 * (DEPTH - 1))  # leaves the two nearest context bytes of a gram
 
 
 def _stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -83,36 +84,79 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[head], np.add.reduceat(n, head) if len(head) else n
 
 
-def _count_block(table: pa.Table) -> pa.Table:
-    """Distinct words and grams of a block with their numbers in training documents."""
-    grams, words_seen = [], []
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys as bytes: differences, byte planes, zlib."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    return zlib.compress(step.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the tree that a gram belongs to, by its two nearest context bytes."""
+    return (mix(keys >> np.uint64(8 * (DEPTH - 1))) % np.uint64(parts)).astype(np.int64)
+
+
+def _gram_table(texts: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of some texts, sorted, and their numbers in training texts."""
+    found = []
+    for flag in (True, False):
+        chosen = texts.filter(pa.array(train == flag))
+        if len(chosen):
+            stream, spans = _stream(Words(chosen, lower=True))
+            key, n = np.unique(_grams(stream)[_own(spans, len(stream))[DEPTH:]], return_counts=True)
+            found.append((key, n * int(flag)))
+    return _merge(found)
+
+
+def _block_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in chunks(iter(table.combine_chunks().to_batches()), limit=CHUNK):
-        train = batch.column("train").to_numpy(zero_copy_only=False)
-        for flag in (True, False):
-            part = batch.filter(pa.array(train == flag))
-            if part.num_rows:
-                words = Words(part.column("text"), lower=True)
-                stream, spans = _stream(words)
-                key, n = np.unique(_grams(stream)[_own(spans, len(stream))[DEPTH:]], return_counts=True)
-                grams.append((key, n * int(flag)))
-                counted = words.strings().value_counts()
-                values = counted.field("counts").to_numpy(zero_copy_only=False)
-                words_seen.append(pa.table({"word": counted.field("values").cast(pa.binary()), "n": values * int(flag)}))
-        if len(grams) > 16:
-            grams = [_merge(grams)]
-            words_seen = [pa.concat_tables(words_seen).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])]
-    key, n = _merge(grams)
-    seen = pa.concat_tables(words_seen).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
-    block = table.column("block")[0].as_py()
-    size = seen.num_rows + len(key)
-    return pa.table(
-        {
-            "block": pa.array(np.full(size, block, dtype=np.int32)),
-            "word": pa.chunked_array([*seen.column("word").chunks, pa.nulls(len(key), pa.binary())], pa.binary()),
-            "gram": pa.array(np.concatenate([np.zeros(seen.num_rows, np.int64), key.astype(np.int64)])),
-            "n": pa.array(np.concatenate([seen.column("n").to_numpy(), n]).astype(np.int64)),
-        }
-    )
+        held.append(_gram_table(batch.column("text"), batch.column("train").to_numpy(zero_copy_only=False)))
+        if len(held) > 4:
+            held = [_merge(held)]
+    return _merge(held)
+
+
+def _count_block(parts: int):  # noqa: ANN202
+    """Distinct words of a block with their numbers in training texts, and its grams for each part of the tree."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words_seen = []
+        for batch in chunks(iter(table.combine_chunks().to_batches()), limit=CHUNK):
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            for flag in (True, False):
+                chosen = batch.column("text").filter(pa.array(train == flag))
+                if len(chosen):
+                    counted = Words(chosen, lower=True).strings().value_counts()
+                    words_seen.append(pa.table({"word": counted.field("values").cast(pa.binary()), "n": counted.field("counts").to_numpy(zero_copy_only=False) * int(flag)}))
+            if len(words_seen) > 16:
+                words_seen = [pa.concat_tables(words_seen).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])]
+        seen = pa.concat_tables(words_seen).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+        key, n = _block_grams(table)
+        part = _part(key, parts)
+        order = np.argsort(part, kind="stable")  # keys stay sorted in each part
+        edge = np.searchsorted(part[order], np.arange(parts + 1))
+        mine = [p for p in range(parts) if edge[p + 1] > edge[p]]
+        keys = [_pack(key[order[edge[p] : edge[p + 1]]]) for p in mine]
+        counts = [zlib.compress(n[order[edge[p] : edge[p + 1]]].astype("<u4").tobytes(), 1) for p in mine]
+        block = table.column("block")[0].as_py()
+        size, more = seen.num_rows, len(mine)
+        return pa.table(
+            {
+                "block": pa.array(np.full(size + more, block, dtype=np.int32)),
+                "word": pa.chunked_array([*seen.column("word").chunks, pa.nulls(more, pa.binary())], pa.binary()),
+                "n": pa.array(np.concatenate([seen.column("n").to_numpy(), np.zeros(more, np.int64)]).astype(np.int64)),
+                "part": pa.array(np.concatenate([np.full(size, -1), mine]).astype(np.int32)),
+                "keys": pa.chunked_array([pa.nulls(size, pa.binary()), pa.array(keys, pa.binary())], pa.binary()),
+                "counts": pa.chunked_array([pa.nulls(size, pa.binary()), pa.array(counts, pa.binary())], pa.binary()),
+            }
+        )
+
+    return run
 
 
 _TABLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(4096) + 0.5))]) + math.lgamma(0.5)
@@ -164,21 +208,24 @@ def _tree(gram: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, list[t
     return one, levels, key
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    got = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
-    if not got:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([g for g, _ in got]).astype(np.uint64), np.concatenate([n for _, n in got])
+def _whole_part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All grams of a part with their numbers, and the grams of each row."""
+    rows = [_unpack(k) for k in table.column("keys").to_pylist()]
+    counts = [np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64) for c in table.column("counts").to_pylist()]
+    key, n = _merge(list(zip(rows, counts, strict=True)))
+    return key, n, rows
 
 
-def _shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shallow(table: pa.Table) -> pa.Table:
     """Sums at depth 1 of what the nodes of depth 2 hold."""
-    gram, n = _read(batches)
-    for bit in range(8) if len(gram) else ():
+    gram, n, _ = _whole_part(table)
+    out = []
+    for bit in range(8):
         _, levels, key = _tree(gram, n, bit)
         _, n1, total, _, lw = levels[-1]
         key, _, (n1, total, lw) = _fold(((key >> np.uint64(16)) << np.uint64(8)) | (key & np.uint64(0xFF)), n1, total, lw)
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n1.astype(np.int64)), pa.array(total.astype(np.int64)), pa.array(lw)], names=["node", "n1", "total", "below"])
+        out.append(pa.table({"node": key.astype(np.int64), "n1": n1.astype(np.int64), "total": total.astype(np.int64), "below": lw}))
+    return pa.concat_tables(out)
 
 
 class Top:
@@ -235,36 +282,41 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count_if("train").alias("t")).first()
     blocks = max(2 * spark.sparkContext.defaultParallelism, -(-(size["b"] or 0) // BLOCK_BYTES))
+    parts = max(64, 4 * blocks)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    found = stored(dealt.groupBy("block").applyInArrow(_count_block, "block int, word binary, gram long, n long"))
+    found = stored(dealt.groupBy("block").applyInArrow(_count_block(parts), "block int, word binary, n long, part int, keys binary, counts binary"))
 
-    words = found.filter("word is not null").select("block", "word", "n")
+    words = found.filter("part < 0").select("block", "word", "n")
     counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    grams = found.filter("word is null").select("block", "gram", "n")
-    spread = F.shiftrightunsigned(F.col("gram"), int(_CUT))
-    table = stored(grams.groupBy("gram").agg(F.sum("n").alias("n"))).repartition(spread)
-    top = Top(table.mapInArrow(_shallow, "node long, n1 long, total long, below double").groupBy("node").agg(F.sum("n1").alias("n1"), F.sum("total").alias("total"), F.sum("below").alias("below")).collect())
-
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, n = _read(batches)
-        value = _log_probabilities(gram, n, top)
-        for k in range(0, len(gram), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(gram[k : k + 65536].astype(np.int64)), pa.array(value[k : k + 65536])], names=["gram", "value"])
-
-    priced = table.mapInArrow(price, "gram long, value double")
-    sums = counts.agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
+    grams = found.filter("part >= 0").select("block", "part", "keys", "counts")
+    with releasing_shuffles(spark):
+        top = Top(grams.groupBy("part").applyInArrow(_shallow, "node long, n1 long, total long, below double").groupBy("node").agg(F.sum("n1").alias("n1"), F.sum("total").alias("total"), F.sum("below").alias("below")).collect())
+        sums = counts.agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
+
+    def price(table: pa.Table) -> pa.Table:
+        gram, n, rows_of = _whole_part(table)
+        value = _log_probabilities(gram, n, top).astype("<f4")
+        sent = [value[np.searchsorted(gram, own)].tobytes() for own in rows_of]
+        size = table.num_rows
+        return pa.table({"block": table.column("block"), "word": pa.nulls(size, pa.binary()), "c": pa.array(np.zeros(size)), "part": table.column("part"), "price": pa.array(sent, pa.binary())})
+
     ends = size["t"]
     n_train, kinds = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    known_words = words.drop("n").join(counts, "word").select("block", "word", F.lit(0).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
-    known_grams = grams.drop("n").join(priced, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")
+    known_words = words.drop("n").join(counts, "word").select("block", "word", F.col("c").cast("double").alias("c"), F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("price"))
+    known_grams = grams.groupBy("part").applyInArrow(price, "block int, word binary, c double, part int, price binary")
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        is_gram = pc.is_null(known.column("word"))
+        is_gram = pc.greater_equal(known.column("part"), 0)
         own = known.filter(is_gram)
-        price_of = Slots(own.column("gram").to_numpy().astype(np.uint64), own.column("value").to_numpy())
+        key, _ = _block_grams(texts)
+        part = _part(key, parts)
+        order = np.argsort(part, kind="stable")
+        price = np.zeros(len(key))
+        by_part = sorted(zip(own.column("part").to_pylist(), own.column("price").to_pylist(), strict=True))
+        price[order] = np.concatenate([np.frombuffer(v, "<f4") for _, v in by_part]) if by_part else np.zeros(0)
+        price_of = Slots(key, price)
         own = known.filter(pc.invert(is_gram))
-        names, count = own.column("word").combine_chunks(), own.column("value").to_numpy()
-        names = names.cast(pa.large_binary())
+        names, count = own.column("word").combine_chunks().cast(pa.large_binary()), own.column("c").to_numpy()
         floor = n_train + kinds + 1
         out = []
         for batch in chunks(iter(texts.combine_chunks().to_batches()), limit=CHUNK):
@@ -280,9 +332,9 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             stream, spans = _stream(words)
             mine = _own(spans, len(stream))[DEPTH:]
             value = np.zeros(len(stream) - DEPTH + 1)
-            part = np.zeros(len(stream) - DEPTH)
-            part[mine] = price_of.get(_grams(stream)[mine], math.nan)
-            np.cumsum(part, out=value[1:])
+            each = np.zeros(len(stream) - DEPTH)
+            each[mine] = price_of.get(_grams(stream)[mine], math.nan)
+            np.cumsum(each, out=value[1:])
             total = value[spans[1] - DEPTH] - value[spans[0] - DEPTH]
             size = spans[1] - spans[0]
             out.append(
