@@ -221,35 +221,36 @@ def _units(nodes: list) -> list[tuple[str, list]]:
     return out
 
 
+def _is(nodes: list, kind: str) -> bool:
+    return len(nodes) == 1 and not isinstance(nodes[0], str) and nodes[0][0] == kind
+
+
+def _align_key(key: str, nodes: list) -> str:
+    """An optional group is aligned by what it holds."""
+    if not _is(nodes, "?"):
+        return key
+    return " ".join(_align_key(k, n) for k, n in _units(nodes[0][1]))
+
+
+def _both(x: list, y: list) -> list:
+    """One unit for two that align: optional if either is, repeated if either is."""
+    inner = [n[0][1] if _is(n, "?") else n for n in (x, y)]
+    kept = next((n for n in inner if _is(n, "+")), inner[0])
+    return [["?", kept]] if _is(x, "?") or _is(y, "?") else kept
+
+
 def align(wrapper: list, stream: list) -> list:
     """The wrapper that accepts what either side accepts: mismatches become optional groups, and once or repeated becomes repeated."""
     a, b = _units(wrapper), _units(stream)
-    strip = lambda units: [k[1:] if k.startswith("?") else k for k, _ in units]
-    ka, kb = strip([("?" + _plain(["", n[0][1]]) if len(n) == 1 and not isinstance(n[0], str) and n[0][0] == "?" else k, n) for k, n in a]), strip(b)
-    # an optional group is aligned by what it holds
-    ka = [("".join(_plain(x) for x in n[0][1]) if len(n) == 1 and not isinstance(n[0], str) and n[0][0] == "?" else k) for k, (_, n) in zip(ka, a, strict=True)]
-    kb = [("".join(_plain(x) for x in n[0][1]) if len(n) == 1 and not isinstance(n[0], str) and n[0][0] == "?" else k) for k, (_, n) in zip(kb, b, strict=True)]
     out: list = []
-
-    def optional(nodes: list) -> None:
-        if len(nodes) == 1 and not isinstance(nodes[0], str) and nodes[0][0] == "?":
-            out.append(nodes[0])
-        elif nodes:
-            out.append(["?", nodes])
-
-    for op, i, j, k, m in difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
+    matcher = difflib.SequenceMatcher(None, [_align_key(*u) for u in a], [_align_key(*u) for u in b], autojunk=False)
+    for op, i, j, k, m in matcher.get_opcodes():
         if op == "equal":
             for (_, x), (_, y) in zip(a[i:j], b[k:m], strict=True):
-                many = [n for n in (x, y) if len(n) == 1 and not isinstance(n[0], str)]
-                kinds = {n[0][0] for n in many}
-                if "?" in kinds:
-                    out.append(next(n[0] for n in many if n[0][0] == "?"))
-                else:
-                    out.extend(many[0] if many else x)
+                out.extend(_both(x, y))
         else:
-            for side in (a[i:j], b[k:m]):
-                for _, nodes in side:
-                    optional(nodes)
+            for _, nodes in (*a[i:j], *b[k:m]):
+                out.extend(nodes if _is(nodes, "?") else [["?", nodes]])
     return out
 
 

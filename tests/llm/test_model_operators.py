@@ -149,6 +149,10 @@ def test_wrapper_is_a_regular_expression():
     for s in (["ul", "li", "#", "/li", "/ul"], ["ul"] + ["li", "#", "/li"] * 5 + ["/ul", "hr"] + ["p", "#", "/p"] * 3):
         assert extraction.parse(w, s) is not None
     assert extraction.parse(w, ["ul", "/ul", "table"]) is None
+    # what was optional, and is then seen repeated, becomes an optional repeated group, once
+    p = ["p", "#", "/p"]
+    w = extraction.infer([extraction.collapse(x) for x in (["hr"], ["hr", *p], ["hr", *p, *p], ["hr"])])
+    assert w == ["hr", ["?", [["+", p]]]]
 
 
 def test_extraction_query(spark):
