@@ -16,7 +16,8 @@ def first_wins_stream(events: DataFrame, uid: str, time: str, late: str = "1 hou
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([uid])
 
 
-def hourly(events: DataFrame, key: str, time: str, value: str, late: str = "1 hour") -> DataFrame:
-    """Tumbling hours per key: count, sum, smallest and largest value (a median has no bounded streaming state)."""
-    rows = events.withWatermark(time, late).groupBy(F.window(time, "1 hour").alias("w"), key)
+def hourly(events: DataFrame, key: str, time: str, value: str, late: str | None = "1 hour") -> DataFrame:
+    """Tumbling hours per key: count, sum, smallest and largest value (a median has no bounded streaming state). ``late`` is None
+    for events that have a watermark already."""
+    rows = (events if late is None else events.withWatermark(time, late)).groupBy(F.window(time, "1 hour").alias("w"), key)
     return rows.agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most")).select(F.col("w.start").alias("hour"), key, "n", "total", "least", "most")

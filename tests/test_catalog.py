@@ -20,7 +20,7 @@ def duck():
 
 def plain(d: pd.DataFrame) -> pd.DataFrame:
     d = d[sorted(d.columns)].astype(object).where(lambda x: x.notna(), None)
-    d = d.map(lambda v: None if v is None else str(int(v)) if isinstance(v, float) and v == int(v) else str(v))
+    d = d.map(lambda v: None if v is None else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v))
     return d.sort_values(list(d.columns), na_position="first").reset_index(drop=True)
 
 

@@ -9,7 +9,7 @@ SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value do
 def test_hourly_equals_batch(spark, tmp_path):
     batch = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
     batch.unionByName(batch.limit(50)).repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = hourly(first_wins_stream(event_stream(spark, str(tmp_path / "in"), SCHEMA), "event_id", "ts", "60 days"), "event_type", "ts", "value", "60 days")
+    stream = hourly(first_wins_stream(event_stream(spark, str(tmp_path / "in"), SCHEMA), "event_id", "ts", "60 days"), "event_type", "ts", "value", None)
     q = stream.writeStream.outputMode("update").format("memory").queryName("hours").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
