@@ -198,9 +198,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs with the sizes of their intersection and union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(docs.join(ids, "doc_id").mapInArrow(_bytes_of_sets, "doc long, set binary"))
+    # merge joins throughout: the same plan at every size, and no set of ids or texts is ever broadcast
+    sets = stored(docs.hint("merge").join(ids, "doc_id").mapInArrow(_bytes_of_sets, "doc long, set binary"))
     x, y = sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(_verify, "a long, b long, common long, both long")
+    return pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").mapInArrow(_verify, "a long, b long, common long, both long")
 
 
 def _linked(verified: DataFrame) -> DataFrame:
@@ -232,11 +233,11 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             row = row[keep]
             yield pa.RecordBatch.from_arrays([pa.array(signed(h[by][keep])), pa.array(doc[row].astype(np.int64)), pa.array((n[row] << 32) | position[keep])], names=["token", "doc", "meta"])
 
-    alone = stored(rows.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
+    alone = rows.hint("merge").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
     lists = alone.mapInArrow(prefixes, "token long, doc long, meta long").repartition("token").sortWithinPartitions("token")
     found = stored(lists.mapInArrow(_candidates, "a long, b long, kind int, meta long, lead long"))
     pairs = found.filter("kind < 2").select("a", "b").distinct()
-    first = stored(_verified(pairs, alone))
+    first = stored(_verified(pairs, rows))
     links = _linked(first)
     long = found.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("doc"), "meta", "lead")
     if not long.limit(1).count():
@@ -246,7 +247,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = long.join(label.withColumnRenamed("node", "doc"), "doc", "left").join(far, ["lead", "doc"], "left")
     known = known.select("token", "doc", "meta", "lead", F.coalesce("component", "doc").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"))
     later = known.repartition("token").sortWithinPartitions("token").mapInArrow(_later_pairs, "a long, b long").distinct()
-    second = _verified(stored(later), alone)
+    second = _verified(stored(later), rows)
     return classes, stored(links.unionByName(_linked(second)))
 
 
