@@ -158,12 +158,12 @@ def covered(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None =
             new = new.filter(F.col("doc_id") <= high)
         distinct = stored(_smallest(new))
         old = index.probe(distinct.select("h").distinct())
-        both = _smallest(distinct.unionByName(old)) if old is not None else distinct
+        both = stored(_smallest(distinct.unionByName(old))) if old is not None else distinct
         whole.append(new.alias("x").join(both.select("h", "seg", F.col("doc_id").alias("_min")), ["h", "seg"]).filter("x.doc_id > _min").select("x.doc_id", "x.rk", "x.a", "x.n"))
         several = both.groupBy("h").agg(F.count("*").alias("_k")).filter("_k > 1").select("h")
         partial.append(both.join(several, "h").select("h", "doc_id", "rk", "a", "n"))
         index.append(distinct)
-    marks = reduce(DataFrame.unionByName, partial).groupBy("doc_id", "rk").agg(F.collect_set(F.struct("h", "a", "n")).alias("marks"))
+    marks = stored(reduce(DataFrame.unionByName, partial).groupBy("doc_id", "rk").agg(F.collect_set(F.struct("h", "a", "n")).alias("marks")))
     windows = stored(_keyed(docs).join(marks, ["doc_id", "rk"]).mapInArrow(_windows, "h long, w long, doc_id long, rk int, start int"))
     least = windows.groupBy("h", "w").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max")).filter("_min < _max").select("h", "w", "_min")
     single = windows.join(least, ["h", "w"]).filter("doc_id > _min").select("doc_id", "rk", F.col("start").alias("a"), F.lit(1).alias("n"))
@@ -201,7 +201,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (the remaining words joined by one space)."""
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    ranges = covered(docs, batches, index).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("a", "n")).alias("ranges")).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "ranges")
+    ranges = stored(covered(docs, batches, index).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("a", "n")).alias("ranges")).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "ranges"))
     rows = docs.select(*columns).withColumn("_k", F.hash("text"))
     joined = rows.join(ranges, (rows["doc_id"].cast("long") == ranges["_id"]) & (rows["_k"] == ranges["_rk"]), "left").select(*columns, "ranges")
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
