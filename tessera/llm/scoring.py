@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import releasing_shuffles, stored
-from .text import Slots, Words, chunks, mix
+from .text import Slots, Words, chunks, mix, release_memory
 
-DEPTH, BLOCK_BYTES, CHUNK = 6, 32 << 20, 2 << 20
+DEPTH, BLOCK_BYTES = 6, 24 << 20
+#: Text at once when words are looked up, and when grams are made (these take some 60 bytes for each byte of text); grams held before they are merged.
+CHUNK, GRAM_CHUNK, HELD = 2 << 20, 1 << 19, 3_000_000
 _END = 0xFF
 
 
@@ -114,10 +116,13 @@ def _gram_table(texts: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _block_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in chunks(iter(table.combine_chunks().to_batches()), limit=CHUNK):
+    size = 0
+    for batch in chunks(iter(table.to_batches()), limit=GRAM_CHUNK):
         held.append(_gram_table(batch.column("text"), batch.column("train").to_numpy(zero_copy_only=False)))
-        if len(held) > 4:
+        size += len(held[-1][0])
+        if size > HELD + len(held[0][0]):
             held = [_merge(held)]
+            size = len(held[0][0])
     return _merge(held)
 
 
@@ -126,7 +131,7 @@ def _count_block(parts: int):  # noqa: ANN202
 
     def run(table: pa.Table) -> pa.Table:
         words_seen = []
-        for batch in chunks(iter(table.combine_chunks().to_batches()), limit=CHUNK):
+        for batch in chunks(iter(table.to_batches()), limit=CHUNK):
             train = batch.column("train").to_numpy(zero_copy_only=False)
             for flag in (True, False):
                 chosen = batch.column("text").filter(pa.array(train == flag))
@@ -145,6 +150,7 @@ def _count_block(parts: int):  # noqa: ANN202
         counts = [zlib.compress(n[order[edge[p] : edge[p + 1]]].astype("<u4").tobytes(), 1) for p in mine]
         block = table.column("block")[0].as_py()
         size, more = seen.num_rows, len(mine)
+        release_memory()
         return pa.table(
             {
                 "block": pa.array(np.full(size + more, block, dtype=np.int32)),
@@ -273,6 +279,16 @@ def _log_probabilities(gram: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
     return out
 
 
+def price(texts: pa.Array, price_of: Slots) -> tuple[np.ndarray, np.ndarray]:
+    """Log10 probability and bytes of each text."""
+    stream, spans = _stream(Words(texts, lower=True))
+    mine = _own(spans, len(stream))[DEPTH:]
+    each = np.zeros(len(mine))
+    each[mine] = price_of.get(_grams(stream)[mine], math.nan)
+    value = np.concatenate([[0.0], np.cumsum(each)])
+    return value[spans[1] - DEPTH] - value[spans[0] - DEPTH], spans[1] - spans[0]
+
+
 RESULT = "n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
@@ -293,7 +309,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         top = Top(grams.groupBy("part").applyInArrow(_shallow, "node long, n1 long, total long, below double").groupBy("node").agg(F.sum("n1").alias("n1"), F.sum("total").alias("total"), F.sum("below").alias("below")).collect())
         sums = counts.agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
 
-    def price(table: pa.Table) -> pa.Table:
+    def price_part(table: pa.Table) -> pa.Table:
         gram, n, rows_of = _whole_part(table)
         value = _log_probabilities(gram, n, top).astype("<f4")
         sent = [value[np.searchsorted(gram, own)].tobytes() for own in rows_of]
@@ -303,7 +319,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     ends = size["t"]
     n_train, kinds = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     known_words = words.drop("n").join(counts, "word").select("block", "word", F.col("c").cast("double").alias("c"), F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("price"))
-    known_grams = grams.groupBy("part").applyInArrow(price, "block int, word binary, c double, part int, price binary")
+    known_grams = grams.groupBy("part").applyInArrow(price_part, "block int, word binary, c double, part int, price binary")
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         is_gram = pc.greater_equal(known.column("part"), 0)
@@ -311,15 +327,17 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         key, _ = _block_grams(texts)
         part = _part(key, parts)
         order = np.argsort(part, kind="stable")
-        price = np.zeros(len(key))
+        values = np.zeros(len(key), dtype=np.float32)
         by_part = sorted(zip(own.column("part").to_pylist(), own.column("price").to_pylist(), strict=True))
-        price[order] = np.concatenate([np.frombuffer(v, "<f4") for _, v in by_part]) if by_part else np.zeros(0)
-        price_of = Slots(key, price)
+        values[order] = np.concatenate([np.frombuffer(v, "<f4") for _, v in by_part]) if by_part else np.zeros(0)
+        price_of = Slots(key, values)
+        del key, part, order, values, by_part
+        release_memory()
         own = known.filter(pc.invert(is_gram))
         names, count = own.column("word").combine_chunks().cast(pa.large_binary()), own.column("c").to_numpy()
         floor = n_train + kinds + 1
         out = []
-        for batch in chunks(iter(texts.combine_chunks().to_batches()), limit=CHUNK):
+        for batch in chunks(iter(texts.to_batches()), limit=CHUNK):
             words = Words(batch.column("text"), lower=True)
             coded = words.strings().dictionary_encode()
             if len(coded.dictionary):
@@ -329,18 +347,13 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             doc = words.doc_of_word()
             base = np.bincount(doc, np.log10((c + 1) / floor), words.n_docs) + math.log10((ends + 1) / floor)
             hit = np.bincount(doc, c > 0, words.n_docs).astype(np.int64) + int(ends > 0)
-            stream, spans = _stream(words)
-            mine = _own(spans, len(stream))[DEPTH:]
-            value = np.zeros(len(stream) - DEPTH + 1)
-            each = np.zeros(len(stream) - DEPTH)
-            each[mine] = price_of.get(_grams(stream)[mine], math.nan)
-            np.cumsum(each, out=value[1:])
-            total = value[spans[1] - DEPTH] - value[spans[0] - DEPTH]
-            size = spans[1] - spans[0]
+            tokens = words.counts.astype(np.int64) + 1
+            del words, coded, doc, c
+            total, size = (np.concatenate(x) for x in zip(*(price(part.column("text"), price_of) for part in chunks(iter([batch]), limit=GRAM_CHUNK)), strict=True))
             out.append(
                 pa.table(
                     {
-                        "doc_id": batch.column("doc_id"), "train": batch.column("train"), "n_tokens": words.counts.astype(np.int64) + 1, "n_known": hit, "base_score": base,
+                        "doc_id": batch.column("doc_id"), "train": batch.column("train"), "n_tokens": tokens, "n_known": hit, "base_score": base,
                         "score": total, "n_bytes": size.astype(np.int64), "bits_per_byte": -total / math.log10(2) / size,
                     }
                 )
