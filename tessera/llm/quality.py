@@ -31,7 +31,7 @@ COMMON, MIN_SHARE, FALLBACK = 40, 0.001, 16
 #: A distance over LIMIT + SLACK / sqrt(words) is too far: the histogram of a short text is noisy.
 CHAR_LIMIT, CHAR_SLACK, WORD_LIMIT, WORD_SLACK = 0.25, 0.35, 0.42, 0.5
 MIN_CHAR_WORDS, MIN_WORD_WORDS = 20, 30
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 
 #: Character classes by UTF-8 byte: lower, upper, digit, white space, sentence marks, other ASCII, beyond ASCII.
 N_CLASSES = 7

@@ -8,6 +8,7 @@ Everything here is a pure function of one batch; memory follows the batch, which
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,12 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 512 * 1024
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -130,6 +137,13 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (size - span)], out[size - span :]) if span < size else out
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker is used again and again, and shares its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes in ``column``; at least one row each."""
     for batch in batches:
@@ -143,6 +157,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(row + 1, int(np.searchsorted(sizes, done + limit, side="right")))
             yield batch.slice(row, end - row)
             row = end
+        del batch, column_data
+        release_memory()
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -156,7 +172,7 @@ class Slots:
         self.bits = np.uint64(64 - max(10, int(2 * len(keys)).bit_length()))
         size = 1 << (64 - int(self.bits))
         self.mask = size - 1
-        self.key, self.value = np.full(size, 2**64 - 1, dtype=np.uint64), np.zeros(size)
+        self.key, self.value = np.full(size, 2**64 - 1, dtype=np.uint64), np.zeros(size, dtype=np.asarray(values).dtype)
         at, rest = (mix(keys) >> self.bits).astype(np.int64), np.arange(len(keys))
         while len(rest):
             free = self.key[at] == np.uint64(2**64 - 1)
