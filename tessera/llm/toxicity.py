@@ -9,7 +9,9 @@ Training sample (the documented bound): at most SAMPLE_DOCS labelled documents o
 a hash of their id, and of these as many as fit into SAMPLE_BYTES of text. The model is a function of that
 sample, so what goes to the executors is bounded; scoring covers every document and the whole text.
 
-Tokens are lower-case runs of letters and digits (ASCII punctuation separates as white space does).
+Words are lower-case runs of letters and digits (ASCII punctuation separates as white space does). Each is scored three times after
+the word before it: by its beginnings of PREFIXES bytes and as a whole. Only tokens that follow MIN_SEEN different words or
+more tell the classes apart; for rarer ones, and for those of copied passages, both classes use the shared counts.
 
 Defined cases: labels other than 0 and 1 are ignored; without labelled documents of both classes every score
 is 0; a text without tokens has no evidence and scores 0.49 at most;
@@ -25,23 +27,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import _SPACE, Words, chunks, mix
+from .text import _SPACE, _SYMBOL_OF_BYTE, BYTES, Words, chunks, mix
 
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 8_000_000
-DISCOUNT, PAIR_DISCOUNT, MARGIN, MOST = 0.75, 3.0, 2.0, 3.0
+SAMPLE_DOCS, SAMPLE_BYTES = 4000, 4_000_000
+DISCOUNT, PAIR_DISCOUNT, MARGIN, MOST, MIN_SEEN = 0.1, 3.0, 3.0, 4.0, 12
+PREFIXES = (4, 6)
+CLEAN_WEIGHT = 2.0  # a clean document that is lost costs twice a toxic one that stays
+STEPS = len(PREFIXES) + 1
 
 _SEPARATOR = _SPACE.copy()
 _SEPARATOR[[c for c in range(128) if not chr(c).isalnum()]] = True
 
 
 def _tokens(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Token hashes and the hash of the token before (0 at a text's start)."""
+    """Token hashes and the hash of the word before (0 at a text's start). A word gives STEPS tokens: its beginnings of
+    PREFIXES bytes and itself, each after the word before, so that unseen forms of an expression share its beginnings."""
     words = Words(texts, lower=True, separators=_SEPARATOR)
-    h = words.hashes()
+    prefix = BYTES.prefix(_SYMBOL_OF_BYTE[words.data])
+    h = np.empty((len(words.starts), STEPS), dtype=np.uint64)
+    for k, n in enumerate((*PREFIXES, 1 << 30)):
+        h[:, k] = mix(BYTES.span(prefix, words.starts, np.minimum(words.starts + n, words.ends)) + np.uint64(k))
     before = np.zeros_like(h)
-    before[1:] = h[:-1]
+    before[1:] = h[:-1, -1:]
     before[words.first[:-1][words.counts > 0]] = 0
-    return words, h, before
+    before += np.arange(STEPS, dtype=np.uint64)
+    return words, h.ravel(), before.ravel()
 
 
 def _pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -65,8 +75,8 @@ class Counts:
 class KneserNey:
     """Interpolated Kneser-Ney of one class over a shared continuation distribution.
 
-    Word pairs are discounted by PAIR_DISCOUNT: a pair seen that rarely in one class is no evidence of its own and
-    leaves its mass to the token's class probability, which in turn leaves its mass to the shared counts.
+    Words are discounted by DISCOUNT and word pairs by PAIR_DISCOUNT: what is seen that rarely in one class is no evidence of its
+    own. Pairs leave their mass to the token's class probability, which in turn leaves its mass to the shared counts.
     """
 
     def __init__(self, before: np.ndarray, h: np.ndarray, shared: Counts) -> None:
@@ -75,13 +85,14 @@ class KneserNey:
         self.bigram, self.unigram, self.context = Counts(pair), Counts(h), Counts(before)
         _, first = np.unique(pair, return_index=True)
         self.freed = Counts(before[first], np.minimum(self.bigram[pair[first]], PAIR_DISCOUNT))
-        self.n, self.kinds = max(len(h), 1), len(self.unigram.keys)
+        self.n, self.spare = max(len(h), 1), float(np.minimum(self.unigram.values, DISCOUNT).sum())
 
     def log_probability(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
         # continuation: in how many distinct contexts a token was seen; one more kind stands for the unseen
         base = (self.shared[h] + 0.5) / (self.shared_total + 0.5 * (len(self.shared.keys) + 1))
-        one = (np.maximum(self.unigram[h] - DISCOUNT, 0) + DISCOUNT * self.kinds * base) / self.n if self.kinds else base
+        one = (np.maximum(self.unigram[h] - DISCOUNT, 0) + self.spare * base) / self.n if self.spare else base
         total = self.context[before]
+        one = np.where(self.shared[h] >= MIN_SEEN, one, base)  # tokens of fewer contexts (also: of copied passages) tell nothing
         two = (np.maximum(self.bigram[_pair(before, h)] - PAIR_DISCOUNT, 0) + self.freed[before] * one) / np.maximum(total, 1)
         return np.log(np.where(total > 0, two, one))
 
@@ -89,7 +100,8 @@ class KneserNey:
 class ToxicityModel:
     """Two classes, and a logistic curve over the length-normalised excess of one log-likelihood over the other."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray, held: np.ndarray) -> None:
+    def __init__(self, texts: list[str], toxic: np.ndarray, held: np.ndarray, share: float | None = None) -> None:
+        """``share``: the share of toxic rows among all labelled ones, if the sample's own isn't it."""
         sides = []
         for label in (0, 1):
             chosen = [t for t, y, out in zip(texts, toxic, held, strict=True) if y == label and not out]
@@ -101,7 +113,7 @@ class ToxicityModel:
         self.models = [KneserNey(b, h, shared) for b, h in sides]
         self.weights = np.array([1.0, 0.0, -1.0])
         features, n = self.evidence(pa.array([t for t, out in zip(texts, held, strict=True) if out], pa.string()))
-        self._fit(features[n > 0], toxic[held][n > 0])
+        self._fit(features[n > 0], toxic[held][n > 0], share)
 
     def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text: mean and sum of the tokens' log-likelihood differences beyond a margin, on log scales, and 1."""
@@ -110,18 +122,21 @@ class ToxicityModel:
         # whole languages differ a little between the classes; the margin leaves only tokens that tell them apart
         total = np.zeros(len(h) + 1)
         np.cumsum(np.clip(ratio - MARGIN, 0, MOST), out=total[1:])
-        sums = np.diff(total[words.first])
+        sums = np.diff(total[STEPS * words.first])
         mean = sums / np.maximum(words.counts, 1)
         return np.column_stack([np.log1p(50 * mean), np.log1p(sums), np.ones(len(sums))]), words.counts
 
-    def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Newton steps for a logistic regression with a light ridge."""
+    def _fit(self, x: np.ndarray, y: np.ndarray, share: float | None) -> None:
+        """Newton steps for a logistic regression with a light ridge; classes weigh as they do among all labelled rows."""
         if not len(y) or y.min() == y.max():
             return
+        own = float(y.mean())
+        share = own if share is None else share
+        weight = np.where(y == 1, share / own, CLEAN_WEIGHT * (1 - share) / (1 - own))
         b, ridge = np.zeros(x.shape[1]), 0.5
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(b)), x.T @ (y - p) - ridge * b)
+            step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge * np.eye(len(b)), x.T @ (weight * (y - p)) - ridge * b)
             b = b + step
             if np.abs(step).max() < 1e-9:
                 break
@@ -137,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     """A model of the bounded sample of labelled rows; None without both classes."""
     known = labels.filter("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
     rows = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.length("text").alias("_n"))
-    chosen = []
+    chosen, labelled = [], {r["_y"]: r["n"] for r in known.join(rows, "_id", "left_semi").groupBy("_y").agg(F.count("*").alias("n")).collect()}
     for label in (0, 1):
         ids = rows.join(known.filter(F.col("_y") == label).select("_id"), "_id", "left_semi").groupBy("_id").agg(F.max("_n").alias("_n"))
         first = ids.orderBy(F.xxhash64("_id"), "_id").limit(sample_docs).collect()
@@ -147,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
         return None
     wanted = docs.sparkSession.createDataFrame(chosen, "_id long, _y int")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.min("text").alias("text"), F.abs(F.xxhash64("_id")).alias("_h")).orderBy("_id").collect()
-    return ToxicityModel([r["text"] or "" for r in texts], np.array([r["_y"] for r in texts]), np.array([r["_h"] % 4 == 0 for r in texts]))
+    return ToxicityModel([r["text"] or "" for r in texts], np.array([r["_y"] for r in texts]), np.array([r["_h"] % 4 == 0 for r in texts]), labelled[1] / (labelled[0] + labelled[1]))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
