@@ -39,11 +39,12 @@ def pairwise_accuracy(df: DataFrame, group: str, score: str, positive: Column) -
     return ranked.groupBy(group).agg(F.sum("_pos").alias("positives"), F.sum(1 - F.col("_pos")).alias("negatives"), F.sum("_won").alias("_w")).filter("positives > 0 and negatives > 0").select(group, "positives", "negatives", (F.col("_w") / (F.col("positives") * F.col("negatives"))).alias("accuracy"))
 
 
-def average_precision(df: DataFrame, score: str, positive: Column, order: str) -> DataFrame:
-    """Mean precision at the positives, rows in descending score (ties by ``order``)."""
-    w = Window.orderBy(F.desc(score), order)
+def average_precision(df: DataFrame, score: str, positive: Column, order: str, group: str | None = None) -> DataFrame:
+    """Mean precision at the positives, rows in descending score (ties by ``order``); per ``group``, if there is one."""
+    keys = [group] if group else []
+    w = Window.partitionBy(*keys).orderBy(F.desc(score), order)
     ranked = df.withColumn("_pos", positive.cast("int")).withColumn("_rank", F.row_number().over(w)).withColumn("_hits", F.sum("_pos").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.filter("_pos = 1").agg(F.count("*").alias("positives"), F.avg(F.col("_hits") / F.col("_rank")).alias("average_precision"))
+    return ranked.filter("_pos = 1").groupBy(*keys).agg(F.count("*").alias("positives"), F.avg(F.col("_hits") / F.col("_rank")).alias("average_precision"))
 
 
 def candidate_metrics(df: DataFrame, query: str, score: str, positive: Column, order: str, k: int = 5) -> DataFrame:

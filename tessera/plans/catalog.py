@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import evaluation, joins, measurements, ranking, splits, summaries  # noqa: E402, F401
+from . import evaluation, joins, measurements, ranking, splits, summaries, whole  # noqa: E402, F401

@@ -57,8 +57,11 @@ SELECT p.g AS l_suppkey, count(DISTINCT p.id)::BIGINT AS positives, (SELECT coun
 FROM (SELECT g, s, row_number() OVER () AS id FROM x WHERE y) p JOIN (SELECT g, s FROM x WHERE NOT y) n ON n.g = p.g GROUP BY p.g"""
 )
 def pairwise_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E6 (also the area under the curve of a group): by ranks, without pairs."""
-    x = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
+    """E6 (also the area under the curve of a group): by ranks, without pairs. Over one order in four; ``pairwise_accuracy_whole`` has all."""
+    return order_accuracy(table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0"))
+
+
+def order_accuracy(x: DataFrame) -> DataFrame:
     a = metrics.pairwise_accuracy(x, "l_suppkey", "l_extendedprice", F.col("l_returnflag") == "N")
     return a.select("l_suppkey", F.col("positives").cast("long").alias("positives"), F.col("negatives").cast("long").alias("negatives"), F.round("accuracy", 9).alias("accuracy"))
 
@@ -69,6 +72,7 @@ WITH r AS (SELECT l_returnflag = 'N' AS y, row_number() OVER (ORDER BY l_extende
 h AS (SELECT y, k, sum(CASE WHEN y THEN 1 ELSE 0 END) OVER (ORDER BY k) AS hits FROM r) SELECT count(*)::BIGINT AS positives, round(avg(hits / k), 9) AS average_precision FROM h WHERE y"""
 )
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one supplier; ``average_precision_whole`` has all."""
     x = table(spark, sf_dir, "lineitem").filter("l_suppkey = 7").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return metrics.average_precision(x, "l_extendedprice", F.col("l_returnflag") == "N", "id").select("positives", F.round("average_precision", 9).alias("average_precision"))
 
@@ -103,9 +107,12 @@ WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9
 SELECT conv_id, turn, ('0x' || substr(sha1(tok), 1, 12))::BIGINT % 256 AS "column", count(*)::DOUBLE AS value FROM t GROUP BY ALL"""
 )
 def token_hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E8."""
-    c = table(spark, sf_dir, "conversations").filter("conv_id % 4 = 0").withColumn("row", F.struct("conv_id", "turn"))
-    return features.hashed_tokens(c, "row", "text", 256).select("row.conv_id", "row.turn", "column", "value")
+    """E8, over one conversation in four; ``token_hash_features_whole`` has all."""
+    return turn_features(table(spark, sf_dir, "conversations").filter("conv_id % 4 = 0"))
+
+
+def turn_features(c: DataFrame) -> DataFrame:
+    return features.hashed_tokens(c.withColumn("row", F.struct("conv_id", "turn")), "row", "text", 256).select("row.conv_id", "row.turn", "column", "value")
 
 
 @query(

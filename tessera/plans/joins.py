@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -194,10 +194,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY a, b, primary_ ORDER BY ratio, e
 SELECT a, b, primary_ AS "primary", e AS endpoint, round(ratio, 9) AS ratio, k AS rank FROM r WHERE k <= 2"""
 )
 def preserved_secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared other endpoints within tolerance, the two that change least."""
+    """Shared other endpoints within tolerance, the two that change least. Pairs users with the same last
+    digit; ``preserved_secondary_whole`` pairs all."""
+    return preserved(spark, sf_dir, [(F.col("user_id") % 10).alias("tens")])
+
+
+def preserved(spark: SparkSession, sf_dir: str, keys: list[Column]) -> DataFrame:
+    """``keys``: what paired users have in common besides the endpoint."""
     profile = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.median("value").alias("median_value"))
-    x = profile.withColumn("tens", F.col("user_id") % 10)
-    pr = pairs.group_pairs(x, ["event_type", "tens"], "user_id", []).filter("a_user_id < b_user_id").select(F.col("a_user_id").alias("a"), F.col("b_user_id").alias("b"), F.col("event_type").alias("primary"))
+    x = profile.select("*", *keys)
+    pr = pairs.group_pairs(x, ["event_type", *x.columns[3:]], "user_id", []).filter("a_user_id < b_user_id").select(F.col("a_user_id").alias("a"), F.col("b_user_id").alias("b"), F.col("event_type").alias("primary"))
     out = pairs.preserved_secondary(pr, profile, "user_id", "event_type", S.tolerance(F.col("endpoint"), F.col("a_value")), 2)
     return out.select("a", "b", "primary", "endpoint", F.round("ratio", 9).alias("ratio"), F.col("rank").cast("long").alias("rank"))
 
@@ -256,9 +262,13 @@ r AS (SELECT q, x, tier, row_number() OVER (PARTITION BY q ORDER BY tier, sha1('
 SELECT q, x, tier FROM r WHERE k <= 2"""
 )
 def few_shot_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J23, W12."""
+    """J23, W12, from one order in nine; ``few_shot_pick_whole`` has all."""
+    return few_shots(spark, sf_dir, "q % 9 = 4")
+
+
+def few_shots(spark: SparkSession, sf_dir: str, pool_filter: str) -> DataFrame:
     li = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), F.col("o_orderpriority").alias("t"), F.col("o_orderstatus").alias("m"))
-    pool = li.filter("q % 9 = 4").withColumnRenamed("q", "x")
+    pool = li.filter(pool_filter).withColumnRenamed("q", "x")
     return features.few_shot(li.filter("q % 50 = 0"), pool, ["t", "m"], ["m"], "q", "x", 2, "s").select("q", "x", "tier")
 
 

@@ -242,7 +242,11 @@ WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a[^>]+href=["'
 SELECT page_id, href, trim(regexp_replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS label, count(*)::BIGINT AS n FROM p WHERE NOT contains(href || label, '&') GROUP BY ALL"""
 )
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = readers.page_links(table(spark, sf_dir, "pages"), "html", "page_id").filter(~F.concat("href", "label").contains("&"))
+    """Links without "&"; ``html_links_whole`` has all, unescaped."""
+    return counted_links(readers.page_links(table(spark, sf_dir, "pages"), "html", "page_id").filter(~F.concat("href", "label").contains("&")))
+
+
+def counted_links(links: DataFrame) -> DataFrame:
     return links.groupBy("page_id", "href", "label").agg(F.count("*").alias("n"))
 
 

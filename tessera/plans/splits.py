@@ -26,8 +26,11 @@ bad AS (SELECT a AS x FROM r WHERE u UNION SELECT b FROM r WHERE u)
 SELECT l_orderkey, l_linenumber, u AS is_unseen FROM r WHERE u OR (a NOT IN (SELECT x FROM bad) AND b NOT IN (SELECT x FROM bad))"""
 )
 def unseen_target_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G2, G3."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 1")
+    """G2, G3, over one order in twenty; ``unseen_target_split_whole`` has all."""
+    return unseen_split(table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 1"))
+
+
+def unseen_split(li: DataFrame) -> DataFrame:
     key = lambda c: F.concat(F.lit("p"), c.cast("string"))
     r = li.select("l_orderkey", "l_linenumber", key(F.col("l_partkey")).alias("a"), key(F.col("l_partkey") * 7 % 2000 + 1).alias("b"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"))
     return split.unseen_cleaned(r, split.is_unseen(F.col("target")), ["a", "b"]).select("l_orderkey", "l_linenumber", "is_unseen")
@@ -44,8 +47,12 @@ r(n, o) AS (SELECT a, b FROM e UNION SELECT r.n, e.b FROM r JOIN e ON r.o = e.a)
 SELECT n AS node, least(n, min(o)) AS root, CASE WHEN least(n, min(o)) % 100 < 80 THEN 'train' WHEN least(n, min(o)) % 100 < 90 THEN 'val' ELSE 'test_seen' END AS split FROM r GROUP BY n"""
 )
 def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the order-part graph over 48-bit hashes; the root is the smallest hash."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 3")
+    """Components of the order-part graph over 48-bit hashes; the root is the smallest hash. Over one order in
+    forty; ``component_split_whole`` has all."""
+    return order_part_split(table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 3"))
+
+
+def order_part_split(li: DataFrame) -> DataFrame:
     e = li.select(S.hash48(F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).alias("a"), S.hash48(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("b")).distinct()
     return split.component_labels(e).select("node", F.col("label").alias("root"), split.by_component(F.col("label")).alias("split"))
 
@@ -53,7 +60,7 @@ def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def component_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components packed into splits, largest first; rows without a component go to train."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 3")
+    li = table(spark, sf_dir, "lineitem")
     e = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.when(F.col("l_linenumber") < 6, F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("b"))
     labels = split.component_labels(e.filter("b is not null"))
     rows = e.join(labels.withColumnRenamed("node", "a"), "a", "left")

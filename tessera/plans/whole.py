@@ -1,0 +1,110 @@
+"""Whole-table forms of the queries that run over a slice; the slices keep their names and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import metrics
+from ..sources import readers
+from .catalog import query, table
+from .evaluation import order_accuracy, turn_features
+from .joins import few_shots, preserved
+from .measurements import counted_links
+from .splits import _HASH48, _NODE_A, _NODE_B, order_part_split, unseen_split
+
+
+@query(
+    f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, 'p' || l_partkey AS a, 'p' || (l_partkey * 7 % 2000 + 1) AS b, {_HASH48.format("'s' || l_suppkey")} % 100 < 10 AS u FROM lineitem),
+bad AS (SELECT a AS x FROM r WHERE u UNION SELECT b FROM r WHERE u)
+SELECT l_orderkey, l_linenumber, u AS is_unseen FROM r WHERE u OR (a NOT IN (SELECT x FROM bad) AND b NOT IN (SELECT x FROM bad))"""
+)
+def unseen_target_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2, G3."""
+    return unseen_split(table(spark, sf_dir, "lineitem"))
+
+
+@query(
+    f"""
+WITH RECURSIVE e0 AS (SELECT DISTINCT {_NODE_A} AS a, {_NODE_B} AS b FROM lineitem), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+r(n, o) USING KEY (n) AS (SELECT a, least(a, min(b)) FROM e GROUP BY a UNION SELECT e.a, min(r.o) FROM r JOIN e ON r.n = e.b JOIN recurring.r AS x ON x.n = e.a GROUP BY e.a, x.o HAVING min(r.o) < x.o)
+SELECT n AS node, o AS root, CASE WHEN o % 100 < 80 THEN 'train' WHEN o % 100 < 90 THEN 'val' ELSE 'test_seen' END AS split FROM r"""
+)
+def component_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4-G6."""
+    return order_part_split(table(spark, sf_dir, "lineitem"))
+
+
+@query(
+    """
+WITH x AS (SELECT l_suppkey AS g, l_extendedprice AS s, l_returnflag = 'N' AS y FROM lineitem)
+SELECT p.g AS l_suppkey, count(DISTINCT p.id)::BIGINT AS positives, (SELECT count(*) FROM x z WHERE z.g = p.g AND NOT z.y)::BIGINT AS negatives, round(avg(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END), 9) AS accuracy
+FROM (SELECT g, s, row_number() OVER () AS id FROM x WHERE y) p JOIN (SELECT g, s FROM x WHERE NOT y) n ON n.g = p.g GROUP BY p.g"""
+)
+def pairwise_accuracy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6."""
+    return order_accuracy(table(spark, sf_dir, "lineitem"))
+
+
+@query(
+    """
+WITH r AS (SELECT l_suppkey, l_returnflag = 'N' AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS k FROM lineitem),
+h AS (SELECT l_suppkey, y, k, sum(CASE WHEN y THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY k) AS hits FROM r) SELECT l_suppkey, count(*)::BIGINT AS positives, round(avg(hits / k), 9) AS average_precision FROM h WHERE y GROUP BY l_suppkey"""
+)
+def average_precision_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every supplier."""
+    x = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return metrics.average_precision(x, "l_extendedprice", F.col("l_returnflag") == "N", "id", "l_suppkey").select("l_suppkey", "positives", F.round("average_precision", 9).alias("average_precision"))
+
+
+@query(
+    r"""
+WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_+\-.]+')[1:96]) AS tok FROM conversations)
+SELECT conv_id, turn, ('0x' || substr(sha1(tok), 1, 12))::BIGINT % 256 AS "column", count(*)::DOUBLE AS value FROM t GROUP BY ALL"""
+)
+def token_hash_features_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8."""
+    return turn_features(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    """
+WITH w AS (SELECT o_orderkey AS q, o_orderpriority AS t, o_orderstatus AS m FROM orders WHERE o_orderkey % 50 = 0), pool AS (SELECT o_orderkey AS x, o_orderpriority AS t, o_orderstatus AS m FROM orders),
+near AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY t, m ORDER BY sha1('s|' || x)) <= 3),
+c AS (SELECT q, x, CASE WHEN w.t = near.t AND w.m = near.m THEN 0 WHEN w.m = near.m THEN 1 ELSE 2 END AS tier FROM w CROSS JOIN near WHERE q <> x),
+r AS (SELECT q, x, tier, row_number() OVER (PARTITION BY q ORDER BY tier, sha1('s|' || x)) AS k FROM c)
+SELECT q, x, tier FROM r WHERE k <= 2"""
+)
+def few_shot_pick_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J23, W12; in the SQL three orders of each kind are as good as all: two are picked, and one may be the query."""
+    return few_shots(spark, sf_dir, "true")
+
+
+@query(
+    """
+WITH m AS (SELECT user_id AS u, event_type AS e, median(value) AS v FROM events GROUP BY ALL),
+pr AS (SELECT a.u AS a, b.u AS b, a.e AS primary_ FROM m a JOIN m b ON a.e = b.e AND a.u < b.u),
+s AS (SELECT pr.a, pr.b, primary_, x.e, abs(y.v - x.v) / greatest(0.3, abs(x.v) * 0.25) AS ratio FROM pr JOIN m x ON x.u = pr.a JOIN m y ON y.u = pr.b AND y.e = x.e WHERE x.e <> primary_),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b, primary_ ORDER BY ratio, e) AS k FROM s WHERE ratio <= 1)
+SELECT a, b, primary_ AS "primary", e AS endpoint, round(ratio, 9) AS ratio, k AS rank FROM r WHERE k <= 2"""
+)
+def preserved_secondary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows grow with the square of the users, as the pairs do."""
+    return preserved(spark, sf_dir, [])
+
+
+def _unescaped(c: str) -> str:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{char}')"
+    return c
+
+
+@query(
+    rf"""
+WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2)) AS label FROM pages)
+SELECT page_id, {_unescaped("href")} AS href, trim(regexp_replace({_unescaped("regexp_replace(label, '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g'), ' ') AS label, count(*)::BIGINT AS n FROM p GROUP BY ALL"""
+)
+def html_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11."""
+    return counted_links(readers.page_links(table(spark, sf_dir, "pages"), "html", "page_id"))
