@@ -11,8 +11,8 @@ is merge-joined with every run on the anchor hash (same buckets, same order, so
 shuffled), then written as a run of its own; ``compact`` merges runs when there are FANOUT of them.
 
 Verification: a segment that a smaller document also has is covered as a whole. Anchors with two or more
-different segments may share only some windows, so the distinct segments of such anchors (one
-representative each, not every copy) are expanded into window hashes from the texts and compared.
+different segments may share only some windows, so the distinct segments of such anchors (at every place
+in the smallest document that has them, not every copy) are expanded into window hashes from the texts and compared.
 
 Defined cases: null text has no words; documents of fewer than WINDOW words lose nothing; rows that repeat
 a doc_id are judged each on its own text and never against each other; a null doc_id is never a source and
@@ -149,7 +149,7 @@ def covered(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None =
     cuts = known.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else None
     cuts = sorted(set(cuts or []))
     prints = stored(fingerprints(docs))
-    whole, partial = [], []
+    whole, partial, twins = [], [], []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         new = prints
         if low is not None:
@@ -159,16 +159,21 @@ def covered(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None =
         distinct = stored(_smallest(new))
         old = index.probe(distinct.select("h").distinct())
         both = stored(_smallest(distinct.unionByName(old))) if old is not None else distinct
-        whole.append(new.alias("x").join(both.select("h", "seg", F.col("doc_id").alias("_min")), ["h", "seg"]).filter("x.doc_id > _min").select("x.doc_id", "x.rk", "x.a", "x.n"))
+        least = both.select("h", "seg", F.col("doc_id").alias("_min"), F.col("rk").alias("_rk"), F.col("a").alias("_a"))
+        again = stored(new.join(least, ["h", "seg"]).filter("doc_id > _min or doc_id = _min and (rk <> _rk or a <> _a)").select("h", "seg", "doc_id", "rk", "a", "n", F.expr("doc_id = _min").alias("twin")))
+        whole.append(again.filter("not twin").select("doc_id", "rk", "a", "n"))
+        twins.append(again.filter("twin").drop("twin"))
         several = both.groupBy("h").agg(F.count("*").alias("_k")).filter("_k > 1").select("h")
-        partial.append(both.join(several, "h").select("h", "doc_id", "rk", "a", "n"))
+        partial.append(both.join(several, "h").select("h", "seg", "doc_id", "rk", "a", "n"))
         index.append(distinct)
-    marks = stored(reduce(DataFrame.unionByName, partial).groupBy("doc_id", "rk").agg(F.collect_set(F.struct("h", "a", "n")).alias("marks")))
+    chosen, twin = reduce(DataFrame.unionByName, partial), reduce(DataFrame.unionByName, twins)
+    needed = chosen.unionByName(twin.join(chosen.select("h", "seg", "doc_id"), ["h", "seg", "doc_id"], "left_semi"))
+    marks = stored(needed.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("h", "a", "n")).alias("marks")))
     windows = stored(_keyed(docs).join(marks, ["doc_id", "rk"]).mapInArrow(_windows, "h long, w long, doc_id long, rk int, start int"))
     least = windows.groupBy("h", "w").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max")).filter("_min < _max").select("h", "w", "_min")
     single = windows.join(least, ["h", "w"]).filter("doc_id > _min").select("doc_id", "rk", F.col("start").alias("a"), F.lit(1).alias("n"))
-    # A copy of a segment has the windows of its representative; those that are covered in the representative are covered
-    # in the copy, and the copy itself is covered as a whole. So windows are needed of representatives only.
+    # A copy of a segment in a larger document is covered as a whole. So windows are needed of representatives only, and of
+    # the segment's further places in the representative's own doc_id (its twins), which nothing covers as a whole.
     return reduce(DataFrame.unionByName, [*whole, single])
 
 

@@ -96,6 +96,18 @@ def test_substring_odd_rows(spark, odd, empty, batches):
     assert substring.remove_repeats(empty, batches=batches).count() == 0
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_substring_copies_in_one_document(spark, batches):
+    """A block that a document, or another text of the same doc_id, holds again loses the passage at every place."""
+    part = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = []
+    for k in range(0, 300, 10):
+        passage, block = part(f"p{k}_", 60), f"{part(f'x{k}_', 40)} {part(f'p{k}_', 60)} {part(f'y{k}_', 40)}"
+        rows += [(k, f"{part(f'u{k}_', 30)} {passage} {part(f'v{k}_', 30)}"), (k + 1, f"{block} {part(f'm{k}_', 5)} {block}"), (k + 2, f"{block} alone"), (k + 3, f"a{k} {passage} z{k}"), (k + 3, f"b{k} {passage} c{k} {passage}")]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got.collect()) == brute_repeats(rows)
+
+
 def test_index_is_incremental(spark, odd):
     index = substring.FingerprintIndex(spark, fanout=2)
     prints = substring.fingerprints(odd)
