@@ -6,7 +6,8 @@ A text's evidence is what its tokens' log-likelihoods differ beyond a margin, di
 a logistic curve, fitted on documents that the models were not trained on, turns it into a score between 0 and 1.
 
 Training sample (the documented bound): at most SAMPLE_DOCS labelled documents of each class, by the order of
-a hash of their id, and of these as many as fit into SAMPLE_BYTES of text. The model is a function of that
+a hash of their id, and of these as many as fit into SAMPLE_BYTES of text: one that doesn't fit is passed over, and the next in
+order is tried; of a class in which none fits, the smallest is taken by its first SAMPLE_BYTES characters. The model is a function of that
 sample, so what goes to the executors is bounded; scoring covers every document and the whole text.
 
 Words are lower-case runs of letters and digits (ASCII punctuation separates as white space does). Each is scored three times after
@@ -155,13 +156,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     chosen, labelled = [], {r["_y"]: r["n"] for r in known.join(rows, "_id", "left_semi").groupBy("_y").agg(F.count("*").alias("n")).collect()}
     for label in (0, 1):
         ids = rows.join(known.filter(F.col("_y") == label).select("_id"), "_id", "left_semi").groupBy("_id").agg(F.max("_n").alias("_n"))
-        first = ids.orderBy(F.xxhash64("_id"), "_id").limit(sample_docs).collect()
-        sizes = np.cumsum([r["_n"] for r in first])
-        chosen += [(r["_id"], label) for r, n in zip(first, sizes, strict=True) if n <= sample_bytes]
+        fits = ids.filter(F.col("_n") <= sample_bytes).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs).collect()
+        left, taken = sample_bytes, []
+        for row in fits:
+            if row["_n"] <= left:
+                left -= row["_n"]
+                taken.append(row["_id"])
+        if not fits:
+            taken = [row["_id"] for row in ids.orderBy("_n", F.xxhash64("_id"), "_id").limit(1).collect()]
+        chosen += [(i, label) for i in taken]
     if len({y for _, y in chosen}) < 2:
+        if labelled.get(0) and labelled.get(1):
+            raise RuntimeError("the sample lacks a class that has labelled documents")
         return None
     wanted = docs.sparkSession.createDataFrame(chosen, "_id long, _y int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.min("text").alias("text"), F.abs(F.xxhash64("_id")).alias("_h")).orderBy("_id").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.min(F.substring("text", 1, sample_bytes)).alias("text"), F.abs(F.xxhash64("_id")).alias("_h")).orderBy("_id").collect()
     return ToxicityModel([r["text"] or "" for r in texts], np.array([r["_y"] for r in texts]), np.array([r["_h"] % 4 == 0 for r in texts]), labelled[1] / (labelled[0] + labelled[1]))
 
 

@@ -310,3 +310,13 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.train(odd, labels.filter("toxic = 0")) is None
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.0}
     assert toxicity.score(empty, None).count() == 0
+
+
+def test_toxicity_passes_over_long_texts(spark):
+    """Texts beyond the bound, wherever the order has them, leave the sample to those that fit."""
+    rows = [(k, "".join("idiot scum " if k % 2 else "fine day ") * (2000 if k < 10 else 5)) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, k % 2) for k, t in rows], "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), sample_bytes=3000)
+    assert model is not None and min(m.n for m in model.models) > 15 * 30
+    long = docs.filter("doc_id < 10")
+    assert toxicity.train(long, long.select("doc_id", "toxic"), sample_bytes=3000) is not None
