@@ -40,10 +40,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near duplicates, once."""
+    """The smallest document of each group of near duplicates, once; different texts of one doc_id are different documents."""
     rows, back = _aside(docs)
-    stay = jaccard.join_classes(rows).filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = rows.join(stay, rows["doc_id"] == stay["_stay"]).withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.hash("text"))))
+    keyed = rows.filter("doc_id is not null").withColumn("_h", F.xxhash64("text"))
+    keys = keyed.select("doc_id", "_h").distinct()
+    if keys.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        nodes = keyed.withColumn("_node", F.col("doc_id"))
+    else:  # numbers in the order of doc_ids
+        order = keys.orderBy("doc_id", "_h").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+        numbers = stored(spark.createDataFrame(order, keys.schema.add("_node", "long")))
+        nodes = stored(keyed.join(numbers, ["doc_id", "_h"]))
+    stay = jaccard.join_classes(nodes.select(F.col("_node").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    kept = nodes.join(stay, nodes["_node"] == stay["_stay"]).withColumn("_r", F.row_number().over(Window.partitionBy("_node").orderBy("_h")))
     return kept.filter("_r = 1").select(back).unionByName(rows.filter("doc_id is null").select(back))
 
 

@@ -75,3 +75,10 @@ def test_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, MIDDLE)
     assert none.count() == 0
+
+
+def test_texts_of_one_doc_id_are_judged_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (2, b), (2, c), (2, a), (3, c + " tail"), (4, b), (2, c), (None, a)], "doc_id long, text string").withColumns({"lang": F.lit("en")})
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard_stage(spark, docs, MIDDLE).collect())
+    assert got == Counter([(1, a), (2, b), (2, c), (None, a)])
