@@ -1,22 +1,28 @@
 """Toxicity: two class-conditional Kneser-Ney bigram models with shared backoff counts.
 
-Each class has its own bigram and unigram counts; both back off to one continuation distribution, counted over
-the two classes together, so an expression that is rare in a class is smoothed in the same way for either.
-A text's evidence is what its tokens' log-likelihoods differ beyond a margin, divided by its number of tokens;
-a logistic curve, fitted on documents that the models were not trained on, turns it into a score between 0 and 1.
+Each class has its own bigram and unigram counts with modified discounts (one each for what was seen once, twice, and more often,
+from the counts of counts). A bigram leaves its discounted mass to the class's unigrams, and these leave theirs to one
+continuation distribution, counted over the two classes together. A text's evidence is the difference of its two log-likelihoods
+divided by its number of tokens; a logistic curve of that one number, fitted on documents that the models were not trained on, is the score.
 
-Training sample (the documented bound): at most SAMPLE_DOCS labelled documents of each class, by the order of
-a hash of their id, and of these as many as fit into SAMPLE_BYTES of text: one that doesn't fit is passed over, and the next in
-order is tried; of a class in which none fits, the smallest is taken by its first SAMPLE_BYTES characters. The model is a function of that
-sample, so what goes to the executors is bounded; scoring covers every document and the whole text.
+Where the classes can't be told apart, both use the shared counts, so the token adds the same to either log-likelihood:
+
+* rare expressions: words and pairs after fewer than MIN_SEEN different words (pairs: fewer pairs before them). A pair that
+  is rare is scored by its word alone. So copies of a passage, of whichever class, teach nothing;
+* expressions whose class probabilities differ by a factor of at most exp(ALIKE): the sample's mix of languages and subjects
+  moves every common word a little, and a text has many of these. Beyond it, evidence counts fully for either side.
+
+A token is the beginning of STEM bytes of a lower-case run of letters and digits (ASCII punctuation separates as white space
+does), so inflected forms share their counts. Only the pairs and words with evidence are kept for scoring, a small table.
 
-Words are lower-case runs of letters and digits (ASCII punctuation separates as white space does). Each is scored three times after
-the word before it: by its beginnings of PREFIXES bytes and as a whole. Only tokens that follow MIN_SEEN different words or
-more tell the classes apart; for rarer ones, and for those of copied passages, both classes use the shared counts.
+Training sample (the documented bound): at most SAMPLE_DOCS labelled documents of each class, by the order of
+a hash of their id, and of these as many as fit into SAMPLE_CHARS characters of text: one that doesn't fit is passed over, and the
+next in order is tried; of a class in which none fits, the smallest is taken by its first SAMPLE_CHARS characters. Every fourth
+document, by that hash, is kept for the curve. What goes to the executors is bounded by the sample; scoring covers every document and the whole text.
 
 Defined cases: labels other than 0 and 1 are ignored; without labelled documents of both classes every score
-is 0; a text without tokens has no evidence and scores 0.49 at most;
-rows that repeat a doc_id are scored each on its own text.
+is 0; a text without tokens has no evidence and scores 0.49 at most; rows that repeat a doc_id are scored each on its
+own text; further columns, whatever their names, pass unchanged, but for score and predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,31 +34,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import _SPACE, _SYMBOL_OF_BYTE, BYTES, Words, chunks, mix
+from .session import free_name, stored
+from .text import _SPACE, Slots, Words, chunks, mix
 
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 4_000_000
-DISCOUNT, PAIR_DISCOUNT, MARGIN, MOST, MIN_SEEN = 0.1, 3.0, 3.0, 4.0, 12
-PREFIXES = (4, 6)
-CLEAN_WEIGHT = 2.0  # a clean document that is lost costs twice a toxic one that stays
-STEPS = len(PREFIXES) + 1
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 4_000_000
+STEM, MIN_SEEN, ALIKE = 5, 12, 2.0
 
 _SEPARATOR = _SPACE.copy()
 _SEPARATOR[[c for c in range(128) if not chr(c).isalnum()]] = True
 
 
 def _tokens(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Token hashes and the hash of the word before (0 at a text's start). A word gives STEPS tokens: its beginnings of
-    PREFIXES bytes and itself, each after the word before, so that unseen forms of an expression share its beginnings."""
+    """Token hashes, and the hash of the token before (0 at a text's start)."""
     words = Words(texts, lower=True, separators=_SEPARATOR)
-    prefix = BYTES.prefix(_SYMBOL_OF_BYTE[words.data])
-    h = np.empty((len(words.starts), STEPS), dtype=np.uint64)
-    for k, n in enumerate((*PREFIXES, 1 << 30)):
-        h[:, k] = mix(BYTES.span(prefix, words.starts, np.minimum(words.starts + n, words.ends)) + np.uint64(k))
+    h = words.hashes(STEM)
     before = np.zeros_like(h)
-    before[1:] = h[:-1, -1:]
+    before[1:] = h[:-1]
     before[words.first[:-1][words.counts > 0]] = 0
-    before += np.arange(STEPS, dtype=np.uint64)
-    return words, h.ravel(), before.ravel()
+    return words, h, before
 
 
 def _pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -73,33 +72,43 @@ class Counts:
         return np.where(self.keys[at] == keys, self.values[at], 0.0)
 
 
-class KneserNey:
-    """Interpolated Kneser-Ney of one class over a shared continuation distribution.
+def discounts(values: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more, from the numbers of counts 1 to 4."""
+    n = [float((values == k).sum()) for k in range(5)]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    found = [0.0] + [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.75 for k in (1, 2, 3)]
+    return np.array([min(max(d, 0.0), float(k)) for k, d in enumerate(found)])
+
 
-    Words are discounted by DISCOUNT and word pairs by PAIR_DISCOUNT: what is seen that rarely in one class is no evidence of its
-    own. Pairs leave their mass to the token's class probability, which in turn leaves its mass to the shared counts.
-    """
+class KneserNey:
+    """Interpolated Kneser-Ney of one class over a shared continuation distribution."""
 
     def __init__(self, before: np.ndarray, h: np.ndarray, shared: Counts) -> None:
         self.shared, self.shared_total = shared, shared.values.sum()
         pair = _pair(before, h)
         self.bigram, self.unigram, self.context = Counts(pair), Counts(h), Counts(before)
+        self.by_pair, self.by_word = discounts(self.bigram.values), discounts(self.unigram.values)
         _, first = np.unique(pair, return_index=True)
-        self.freed = Counts(before[first], np.minimum(self.bigram[pair[first]], PAIR_DISCOUNT))
-        self.n, self.spare = max(len(h), 1), float(np.minimum(self.unigram.values, DISCOUNT).sum())
+        self.freed = Counts(before[first], self._discount(self.bigram[pair[first]], self.by_pair))
+        self.n, self.spare = max(len(h), 1), float(self._discount(self.unigram.values, self.by_word).sum())
+
+    @staticmethod
+    def _discount(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
+        return table[np.minimum(counts, 3).astype(np.int64)]
 
-    def log_probability(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
-        # continuation: in how many distinct contexts a token was seen; one more kind stands for the unseen
+    def word(self, h: np.ndarray) -> np.ndarray:
+        # continuation: after how many different tokens a token was seen; one more kind stands for the unseen
         base = (self.shared[h] + 0.5) / (self.shared_total + 0.5 * (len(self.shared.keys) + 1))
-        one = (np.maximum(self.unigram[h] - DISCOUNT, 0) + self.spare * base) / self.n if self.spare else base
-        total = self.context[before]
-        one = np.where(self.shared[h] >= MIN_SEEN, one, base)  # tokens of fewer contexts (also: of copied passages) tell nothing
-        two = (np.maximum(self.bigram[_pair(before, h)] - PAIR_DISCOUNT, 0) + self.freed[before] * one) / np.maximum(total, 1)
-        return np.log(np.where(total > 0, two, one))
+        own = self.unigram[h]
+        return (own - self._discount(own, self.by_word) + self.spare * base) / self.n if self.spare else base
+
+    def after(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
+        own, total, word = self.bigram[_pair(before, h)], self.context[before], self.word(h)
+        return np.where(total > 0, (own - self._discount(own, self.by_pair) + self.freed[before] * word) / np.maximum(total, 1), word)
 
 
 class ToxicityModel:
-    """Two classes, and a logistic curve over the length-normalised excess of one log-likelihood over the other."""
+    """Two classes, and a logistic curve over the difference of the length-normalised log-likelihoods."""
 
     def __init__(self, texts: list[str], toxic: np.ndarray, held: np.ndarray, share: float | None = None) -> None:
         """``share``: the share of toxic rows among all labelled ones, if the sample's own isn't it."""
@@ -107,81 +116,111 @@ class ToxicityModel:
         for label in (0, 1):
             chosen = [t for t, y, out in zip(texts, toxic, held, strict=True) if y == label and not out]
             _, h, before = _tokens(pa.array(chosen, pa.string()))
-            sides.append((before, h))
-        pairs = np.concatenate([_pair(b, h) for b, h in sides])
-        _, first = np.unique(pairs, return_index=True)
-        shared = Counts(np.concatenate([h for _, h in sides])[first])
-        self.models = [KneserNey(b, h, shared) for b, h in sides]
-        self.weights = np.array([1.0, 0.0, -1.0])
-        features, n = self.evidence(pa.array([t for t, out in zip(texts, held, strict=True) if out], pa.string()))
-        self._fit(features[n > 0], toxic[held][n > 0], share)
+            earlier = np.zeros_like(before)
+            earlier[1:] = _pair(before[:-1], h[:-1])
+            sides.append((before, h, np.where(before == 0, 0, earlier)))
+        before, h, earlier = (np.concatenate(x) for x in zip(*sides, strict=True))
+        pair = _pair(before, h)
+        _, first = np.unique(pair, return_index=True)
+        shared = Counts(h[first])
+        classes = [KneserNey(b, w, shared) for b, w, _ in sides]
+        words = shared.keys
+        ratio = self._told_apart(np.log(classes[1].word(words) / classes[0].word(words)))
+        self.words = self._table(words, np.where(shared.values >= MIN_SEEN, ratio, 0.0))
+        _, once = np.unique(_pair(earlier, pair), return_index=True)
+        seen = Counts(pair[once])
+        pairs = first[seen[pair[first]] >= MIN_SEEN]
+        b, w = before[pairs], h[pairs]
+        # a frequent pair is kept wherever it says something else than its word alone
+        ratio = self._told_apart(np.log(classes[1].after(b, w) / classes[0].after(b, w)))
+        other = ratio != self.words.get(w, 0.0)
+        self.pairs = Slots(pair[pairs][other], ratio[other])
+        self.weights = np.array([1.0, 0.0])
+        mean, n = self.evidence(pa.array([t for t, out in zip(texts, held, strict=True) if out], pa.string()))
+        self._fit(mean[n > 0], toxic[held][n > 0], share)
+
+    @staticmethod
+    def _told_apart(ratio: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(ratio) > ALIKE, ratio, 0.0)
+
+    @staticmethod
+    def _table(keys: np.ndarray, values: np.ndarray) -> Slots:
+        return Slots(keys[values != 0], values[values != 0])
 
     def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: mean and sum of the tokens' log-likelihood differences beyond a margin, on log scales, and 1."""
+        """Per text the difference of its log-likelihoods (toxic less ordinary) per token, and its tokens."""
         words, h, before = _tokens(texts)
-        ratio = self.models[1].log_probability(before, h) - self.models[0].log_probability(before, h) if len(h) else np.zeros(0)
-        # whole languages differ a little between the classes; the margin leaves only tokens that tell them apart
+        ratio = self.pairs.get(_pair(before, h), np.nan)
+        rest = np.isnan(ratio)
+        ratio[rest] = self.words.get(h[rest], 0.0)
         total = np.zeros(len(h) + 1)
-        np.cumsum(np.clip(ratio - MARGIN, 0, MOST), out=total[1:])
-        sums = np.diff(total[STEPS * words.first])
-        mean = sums / np.maximum(words.counts, 1)
-        return np.column_stack([np.log1p(50 * mean), np.log1p(sums), np.ones(len(sums))]), words.counts
+        np.cumsum(ratio, out=total[1:])
+        return np.diff(total[words.first]) / np.maximum(words.counts, 1), words.counts
+
+    @staticmethod
+    def _curve(mean: np.ndarray) -> np.ndarray:
+        """A scale on which one word of a long text and one of a short text are not worlds apart."""
+        return np.column_stack([np.arcsinh(200 * mean), np.ones(len(mean))])
 
-    def _fit(self, x: np.ndarray, y: np.ndarray, share: float | None) -> None:
+    def _fit(self, mean: np.ndarray, y: np.ndarray, share: float | None) -> None:
         """Newton steps for a logistic regression with a light ridge; classes weigh as they do among all labelled rows."""
         if not len(y) or y.min() == y.max():
             return
-        own = float(y.mean())
+        x, own = self._curve(mean), float(y.mean())
         share = own if share is None else share
-        weight = np.where(y == 1, share / own, CLEAN_WEIGHT * (1 - share) / (1 - own))
-        b, ridge = np.zeros(x.shape[1]), 0.5
+        weight = np.where(y == 1, share / own, (1 - share) / (1 - own))
+        b, ridge = np.zeros(x.shape[1]), 0.1
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
             step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge * np.eye(len(b)), x.T @ (weight * (y - p)) - ridge * b)
-            b = b + step
+            b = b + np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-9:
                 break
         self.weights = b
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        x, n = self.evidence(texts)
-        s = 1 / (1 + np.exp(-np.clip(x @ self.weights, -60, 60)))
+        mean, n = self.evidence(texts)
+        s = 1 / (1 + np.exp(-np.clip(self._curve(mean) @ self.weights, -60, 60)))
         return np.where(n > 0, s, np.minimum(s, 0.49))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel | None:
-    """A model of the bounded sample of labelled rows; None without both classes."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> ToxicityModel | None:
+    """A model of the bounded sample of labelled rows; None without both classes. Reads the texts twice: for their lengths, and for the sample."""
     known = labels.filter("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
     rows = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.length("text").alias("_n"))
-    chosen, labelled = [], {r["_y"]: r["n"] for r in known.join(rows, "_id", "left_semi").groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    labelled = stored(rows.join(known, "_id").groupBy("_id", "_y").agg(F.max("_n").alias("_n"), F.count("*").alias("_rows")))
+    total = {r["_y"]: r["n"] for r in labelled.groupBy("_y").agg(F.sum("_rows").alias("n")).collect()}
+    chosen = []
     for label in (0, 1):
-        ids = rows.join(known.filter(F.col("_y") == label).select("_id"), "_id", "left_semi").groupBy("_id").agg(F.max("_n").alias("_n"))
-        fits = ids.filter(F.col("_n") <= sample_bytes).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs).collect()
-        left, taken = sample_bytes, []
+        own = labelled.filter(F.col("_y") == label)
+        fits = own.filter(F.col("_n") <= sample_chars).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs).collect()
+        left, taken = sample_chars, []
         for row in fits:
             if row["_n"] <= left:
                 left -= row["_n"]
                 taken.append(row["_id"])
         if not fits:
-            taken = [row["_id"] for row in ids.orderBy("_n", F.xxhash64("_id"), "_id").limit(1).collect()]
+            taken = [row["_id"] for row in own.orderBy("_n", F.xxhash64("_id"), "_id").limit(1).collect()]
         chosen += [(i, label) for i in taken]
     if len({y for _, y in chosen}) < 2:
-        if labelled.get(0) and labelled.get(1):
+        if total.get(0) and total.get(1):
             raise RuntimeError("the sample lacks a class that has labelled documents")
         return None
     wanted = docs.sparkSession.createDataFrame(chosen, "_id long, _y int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.min(F.substring("text", 1, sample_bytes)).alias("text"), F.abs(F.xxhash64("_id")).alias("_h")).orderBy("_id").collect()
-    return ToxicityModel([r["text"] or "" for r in texts], np.array([r["_y"] for r in texts]), np.array([r["_h"] % 4 == 0 for r in texts]), labelled[1] / (labelled[0] + labelled[1]))
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text")).join(F.broadcast(wanted), "_id")
+    texts = texts.groupBy("_id").agg(F.max("_y").alias("_y"), F.min("text").alias("text"), F.abs(F.xxhash64("_id")).alias("_h")).orderBy("_id").collect()
+    return ToxicityModel([r["text"] for r in texts], np.array([r["_y"] for r in texts]), np.array([r["_h"] % 4 == 0 for r in texts]), total[1] / (total[0] + total[1]))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 on)."""
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
+    given = free_name(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            s = model.score(batch.column("_text")) if model is not None else np.zeros(batch.num_rows)
+        for batch in chunks(batches, given):
+            s = model.score(batch.column(given)) if model is not None else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*columns, "score", "predicted"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
-    return docs.select(*columns).withColumn("_text", F.col("text").cast("string")).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*columns, F.col("text").cast("string").alias(given)).mapInArrow(run, f"{schema}, score double, predicted int")

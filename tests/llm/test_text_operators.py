@@ -1,15 +1,20 @@
 """Packing, substring dedup, quality, Jaccard join and toxicity against plain restatements."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from tessera.llm import jaccard, packing, quality, substring, toxicity
 from tessera.llm.queries import QUERIES, _tokenizer
+from tessera.llm.text import Words
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -316,7 +321,120 @@ def test_toxicity_passes_over_long_texts(spark):
     """Texts beyond the bound, wherever the order has them, leave the sample to those that fit."""
     rows = [(k, "".join("idiot scum " if k % 2 else "fine day ") * (2000 if k < 10 else 5)) for k in range(60)]
     docs = spark.createDataFrame([(k, t, k % 2) for k, t in rows], "doc_id long, text string, toxic int")
-    model = toxicity.train(docs, docs.select("doc_id", "toxic"), sample_bytes=3000)
-    assert model is not None and min(m.n for m in model.models) > 15 * 30
+    seen = []
+    original, toxicity.ToxicityModel = toxicity.ToxicityModel, lambda *args: seen.append(args) or "model"
+    try:
+        assert toxicity.train(docs, docs.select("doc_id", "toxic"), sample_chars=3000) == "model"
+    finally:
+        toxicity.ToxicityModel = original
+    assert sorted(seen[0][0]) == sorted(t for _, t in rows[10:]) and set(seen[0][1].tolist()) == {0, 1}
     long = docs.filter("doc_id < 10")
-    assert toxicity.train(long, long.select("doc_id", "toxic"), sample_bytes=3000) is not None
+    assert toxicity.train(long, long.select("doc_id", "toxic"), sample_chars=3000) is not None
+
+
+def test_toxicity_equals_plain_models():
+    """Evidence against a restatement with dictionaries: modified discounts, shared continuation counts, rare and alike expressions."""
+    draw = random.Random(5)
+    common = [f"{x}w{i}" for i, x in enumerate("abcdefghijklmnopqrstuvwx")]
+    texts_of = {0: [], 1: []}
+    for label in (0, 1):
+        for _ in range(300):
+            row = [draw.choice(common) for _ in range(20)]
+            for _ in range(3):
+                row[draw.randrange(20)] = draw.choice(("idiot", "idiotic", "scum") if label else ("kindness", "thanks")) if draw.random() < 0.9 else f"{draw.randrange(400)}r"
+            if draw.random() < 0.5:
+                row += ["not", "good"] if label else ["very", "good"]
+            texts_of[label].append(" ".join(row) if draw.random() < 0.95 else "")
+    held = [k % 4 == 0 for k in range(300)]
+    model = toxicity.ToxicityModel(texts_of[0] + texts_of[1], np.array([0] * 300 + [1] * 300), np.array(held * 2))
+
+    def split(text):
+        return [w[: toxicity.STEM] for w in re.findall("[a-z0-9]+", text)]
+
+    def found(counts):
+        n = Counter(min(c, 5) for c in counts.values())
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), k) if n[k] else 0.75 for k in (1, 2, 3)]
+
+    sides, contexts, earlier = [], defaultdict(set), defaultdict(set)
+    for label in (0, 1):
+        pairs, words_of, first, n3 = Counter(), Counter(), Counter(), 0
+        for text, out in zip(texts_of[label], held, strict=True):
+            if out:
+                continue
+            seq = [None, None, *split(text)]
+            for u, v, w in zip(seq, seq[1:], seq[2:], strict=False):
+                pairs[v, w] += 1
+                words_of[w] += 1
+                first[v] += 1
+                contexts[w].add(v)
+                earlier[v, w].add((u, v) if v is not None else None)
+        sides.append((pairs, words_of, first, n3))
+    total = sum(map(len, contexts.values()))
+
+    def word(label, w):
+        words_of = sides[label][1]
+        d = found(words_of)
+        base = (len(contexts[w]) + 0.5) / (total + 0.5 * (len(contexts) + 1))
+        spare = sum(d[min(c, 3)] for c in words_of.values())
+        return (words_of[w] - d[min(words_of[w], 3)] + spare * base) / sum(words_of.values())
+
+    def after(label, v, w):
+        pairs, _, first, _ = sides[label]
+        if not first[v]:
+            return word(label, w)
+        d = found(pairs)
+        freed = sum(d[min(c, 3)] for (x, _), c in pairs.items() if x == v)
+        return (pairs[v, w] - d[min(pairs[v, w], 3)] + freed * word(label, w)) / first[v]
+
+    def evidence(text):
+        seq, ratios = [None, *split(text)], []
+        for v, w in zip(seq, seq[1:], strict=False):
+            if len(earlier.get((v, w), ())) >= toxicity.MIN_SEEN:
+                r = math.log(after(1, v, w) / after(0, v, w))
+            else:
+                r = math.log(word(1, w) / word(0, w)) if len(contexts.get(w, ())) >= toxicity.MIN_SEEN else 0
+            ratios.append(r if abs(r) > toxicity.ALIKE else 0)
+        return sum(ratios) / max(len(ratios), 1)
+
+    contexts = dict(contexts)
+    for w in ("kindn", "thank", "idiot", "scum"):
+        assert len(contexts[w]) >= toxicity.MIN_SEEN
+    probe = texts_of[0][:60] + texts_of[1][:60] + ["", "unseen words", "idiots not good", "very good thanks"]
+    contexts = defaultdict(set, contexts)
+    got, _ = model.evidence(pa.array(probe))
+    want = [evidence(t) for t in probe]
+    assert np.abs(got - np.array(want)).max() < 1e-9 and min(want) < -0.1 and max(want) > 0.1
+    scores = model.score(pa.array(texts_of[0] + texts_of[1]))
+    assert (scores[:300] < 0.5).mean() > 0.97 and (scores[300:] >= 0.5).mean() > 0.9
+
+
+def test_toxicity_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", 3)], "doc_id long, text string, _text string, TEXT_ string, score int")
+    got = toxicity.score(docs, None)
+    assert got.columns == ["doc_id", "text", "_text", "TEXT_", "score", "predicted"]
+    assert got.collect()[0][:4] == (1, "a b", "x", "y")
+
+
+# hashes
+
+
+def test_word_hashes():
+    """No structure of the bytes cancels out: Thue-Morse words, zero bytes, common beginnings and every length differ."""
+    thue = "a"
+    for _ in range(12):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    made = ["a", "a\0", "\0", "ab", "ba", thue, thue.translate(str.maketrans("ab", "ba")), *("x" * n for n in range(1, 40)), *("y" * 8 + c * 8 + d for c in "abc" for d in "de")]
+    once = Words(pa.array([" ".join(made)])).hashes()
+    assert len(set(once.tolist())) == len(made)
+    again = Words(pa.array([None, *(f" {w}\n" for w in made)])).hashes()
+    assert (once == again).all()
+    assert len(set(Words(pa.array([" ".join(made)])).hashes(5).tolist())) == len({w[:5] for w in made})
+
+
+def test_long_words_do_not_collide(spark):
+    thue = "a"
+    for _ in range(10):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, thue)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join_classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
