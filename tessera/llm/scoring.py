@@ -30,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import releasing_shuffles, stored
-from .text import Slots, Words, chunks, mix, release_memory
+from .text import Words, chunks, mix, release_memory
 
 DEPTH, BLOCK_BYTES = 6, 24 << 20
 #: Text at once when words are looked up, and when grams are made (these take some 60 bytes for each byte of text); grams held before they are merged.
-CHUNK, GRAM_CHUNK, HELD = 2 << 20, 1 << 19, 3_000_000
+CHUNK, GRAM_CHUNK, HELD = 2 << 20, 1 << 19, 1_500_000
 _END = 0xFF
 
 
@@ -78,12 +78,28 @@ def _own(spans: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
-    return key[head], np.add.reduceat(n, head) if len(head) else n
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of sorted parts with the sums of their numbers, range by range: no copy of the whole is ever sorted."""
+    size = sum(len(k) for k, _ in parts)
+    keys, counts = np.empty(size, dtype=np.uint64), np.empty(size, dtype=kind)
+    lowest, highest = min((int(k[0]) for k, _ in parts if len(k)), default=0), max((int(k[-1]) for k, _ in parts if len(k)), default=0)
+    ranges = max(1, min(256, size >> 12))
+    edges = np.array([lowest + (highest + 1 - lowest) * r // ranges for r in range(ranges + 1)], dtype=np.uint64)
+    cuts = [np.searchsorted(k, edges) for k, _ in parts]
+    done = 0
+    for r in range(ranges):
+        held = [(k[c[r] : c[r + 1]], n[c[r] : c[r + 1]]) for (k, n), c in zip(parts, cuts, strict=True) if c[r + 1] > c[r]]
+        if not held:
+            continue
+        key, n = held[0] if len(held) == 1 else (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(held) > 1:
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, n = key[head], np.add.reduceat(n, head, dtype=kind)
+        keys[done : done + len(key)], counts[done : done + len(key)] = key, n
+        done += len(key)
+    return keys[:done].copy(), counts[:done].copy()
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -97,9 +113,15 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of the tree that a gram belongs to, by its two nearest context bytes."""
-    return (mix(keys >> np.uint64(8 * (DEPTH - 1))) % np.uint64(parts)).astype(np.int64)
+def _runs(keys: np.ndarray, parts: int) -> dict[int, list[slice]]:
+    """Where the sorted keys of each part of the tree stand: a part holds contexts whose two nearest bytes have its hash, and keys
+    of one such context are neighbours."""
+    nearest = keys >> np.uint64(8 * (DEPTH - 1))
+    head = np.flatnonzero(np.append(True, nearest[1:] != nearest[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    found: dict[int, list[slice]] = {}
+    for part, a, b in zip((mix(nearest[head]) % np.uint64(parts)).tolist(), head.tolist(), np.append(head[1:], len(keys)).tolist(), strict=True):
+        found.setdefault(part, []).append(slice(a, b))
+    return found
 
 
 def _gram_table(texts: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +132,7 @@ def _gram_table(texts: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndar
         if len(chosen):
             stream, spans = _stream(Words(chosen, lower=True))
             key, n = np.unique(_grams(stream)[_own(spans, len(stream))[DEPTH:]], return_counts=True)
-            found.append((key, n * int(flag)))
+            found.append((key, (n * int(flag)).astype(np.uint32)))
     return _merge(found)
 
 
@@ -142,12 +164,11 @@ def _count_block(parts: int):  # noqa: ANN202
                 words_seen = [pa.concat_tables(words_seen).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])]
         seen = pa.concat_tables(words_seen).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
         key, n = _block_grams(table)
-        part = _part(key, parts)
-        order = np.argsort(part, kind="stable")  # keys stay sorted in each part
-        edge = np.searchsorted(part[order], np.arange(parts + 1))
-        mine = [p for p in range(parts) if edge[p + 1] > edge[p]]
-        keys = [_pack(key[order[edge[p] : edge[p + 1]]]) for p in mine]
-        counts = [zlib.compress(n[order[edge[p] : edge[p + 1]]].astype("<u4").tobytes(), 1) for p in mine]
+        runs = _runs(key, parts)
+        mine = sorted(runs)
+        keys = [_pack(np.concatenate([key[r] for r in runs[p]])) for p in mine]
+        counts = [zlib.compress(np.concatenate([n[r] for r in runs[p]]).astype("<u4").tobytes(), 1) for p in mine]
+        del key, n
         block = table.column("block")[0].as_py()
         size, more = seen.num_rows, len(mine)
         release_memory()
@@ -217,8 +238,8 @@ def _tree(gram: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, list[t
 def _whole_part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """All grams of a part with their numbers, and the grams of each row."""
     rows = [_unpack(k) for k in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64) for c in table.column("counts").to_pylist()]
-    key, n = _merge(list(zip(rows, counts, strict=True)))
+    counts = [np.frombuffer(zlib.decompress(c), "<u4") for c in table.column("counts").to_pylist()]
+    key, n = _merge(list(zip(rows, counts, strict=True)), np.int64)  # numbers of the whole corpus
     return key, n, rows
 
 
@@ -279,14 +300,15 @@ def _log_probabilities(gram: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
     return out
 
 
-def price(texts: pa.Array, price_of: Slots) -> tuple[np.ndarray, np.ndarray]:
-    """Log10 probability and bytes of each text."""
+def price(texts: pa.Array, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log10 probability and bytes of each text, from sorted grams and their values."""
     stream, spans = _stream(Words(texts, lower=True))
     mine = _own(spans, len(stream))[DEPTH:]
     each = np.zeros(len(mine))
-    each[mine] = price_of.get(_grams(stream)[mine], math.nan)
-    value = np.concatenate([[0.0], np.cumsum(each)])
-    return value[spans[1] - DEPTH] - value[spans[0] - DEPTH], spans[1] - spans[0]
+    kinds, inverse = np.unique(_grams(stream)[mine], return_inverse=True)
+    each[mine] = value[np.searchsorted(key, kinds)][inverse]
+    total = np.concatenate([[0.0], np.cumsum(each)])
+    return total[spans[1] - DEPTH] - total[spans[0] - DEPTH], spans[1] - spans[0]
 
 
 RESULT = "n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double"
@@ -325,13 +347,14 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         is_gram = pc.greater_equal(known.column("part"), 0)
         own = known.filter(is_gram)
         key, _ = _block_grams(texts)
-        part = _part(key, parts)
-        order = np.argsort(part, kind="stable")
-        values = np.zeros(len(key), dtype=np.float32)
-        by_part = sorted(zip(own.column("part").to_pylist(), own.column("price").to_pylist(), strict=True))
-        values[order] = np.concatenate([np.frombuffer(v, "<f4") for _, v in by_part]) if by_part else np.zeros(0)
-        price_of = Slots(key, values)
-        del key, part, order, values, by_part
+        value = np.zeros(len(key), dtype=np.float32)
+        runs = _runs(key, parts)
+        for p, data in zip(own.column("part").to_pylist(), own.column("price"), strict=True):
+            sent, at = np.frombuffer(data.as_buffer(), "<f4"), 0
+            for r in runs[p]:
+                value[r] = sent[at : at + r.stop - r.start]
+                at += r.stop - r.start
+        del own, runs
         release_memory()
         own = known.filter(pc.invert(is_gram))
         names, count = own.column("word").combine_chunks().cast(pa.large_binary()), own.column("c").to_numpy()
@@ -349,7 +372,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             hit = np.bincount(doc, c > 0, words.n_docs).astype(np.int64) + int(ends > 0)
             tokens = words.counts.astype(np.int64) + 1
             del words, coded, doc, c
-            total, size = (np.concatenate(x) for x in zip(*(price(part.column("text"), price_of) for part in chunks(iter([batch]), limit=GRAM_CHUNK)), strict=True))
+            total, size = (np.concatenate(x) for x in zip(*(price(part.column("text"), key, value) for part in chunks(iter([batch]), limit=GRAM_CHUNK)), strict=True))
             out.append(
                 pa.table(
                     {
