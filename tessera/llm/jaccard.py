@@ -3,25 +3,33 @@
 A document's set holds the hashes of its distinct SHINGLE-word shingles. Two sets link when
 100 * |x & y| >= PERCENT * |x | y|.
 
-* Equal sets are one class; only its smallest document goes on. A class that holds a third of all rows costs one row.
+* Equal sets are one node, named by a hash of the set, with its smallest document. A task sends each node once, so a group of copies
+  that holds a third of all rows costs one row for each task.
 * Hashes are ordered from rare to frequent by a count sketch of fixed width (any order is correct, a good one is fast).
   Of each set only its prefix enters an index list: two linked sets share an element of their prefixes.
 * Index-level skipping: a list is sorted by set size, and its entries carry the position in their set. For an
-  entry, sizes that can't link are skipped by a binary search, and blocks of positions that leave too little of either
+  entry, sizes that can't link are skipped by a binary search, and positions that leave too little of either
   set behind are skipped as a whole.
+* Pairs are counted over the short lists. Two sets share at most what their prefixes share, and what lies behind the longer prefix;
+  pairs for which that isn't enough are dropped before any set is fetched.
 * Answer-level skipping: in a long list (over SHORT entries) every set is first compared with the list's leader only.
   Sets that link to it are answered by its component. What is left, sets of different components, derives its candidates
   from the leader's answers: d(x, y) >= |d(x, leader) - d(y, leader)|, so partners whose distance to the leader differs by
   more than the threshold are skipped without looking at them.
 * Candidates are verified on the whole sets. Components of the verified links are exact: two sets that link share a list;
-  there they are compared, or are in one component already, or a bound excludes the link.
+  there they are compared, or are in one component already, or a bound excludes the link. Only the texts of candidates are
+  fetched: a bit filter of fixed size lets through at least these, whatever their number.
+
+Equality of words and shingles is that of 64-bit hashes; two sets with one name, which would be two different sets, raise an error.
 
 Defined cases: null, empty and blank text have the empty set, link with nothing and are their own component; with fewer words
-than SHINGLE the whole sequence is one shingle; rows that repeat a doc_id belong to one node; a null doc_id has no component.
+than SHINGLE the whole sequence is one shingle; rows that repeat a doc_id are in one component, whatever their texts; a null doc_id
+has no component and no row; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +41,9 @@ from .components import components
 from .session import stored
 from .text import WORDS, Words, chunks, mix, signed, window_starts
 
-SHINGLE, PERCENT, SHORT, SKETCH = 5, 75, 12, 1 << 18
+SHINGLE, PERCENT, SHORT = 5, 75, 12
+#: Counters of the sketch, bits of the filter, and the slices in which either is added up.
+SKETCH, FILTER, SLICES = 1 << 18, 1 << 23, 64
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,20 +73,47 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        h, at = shingle_sets(batch.column("text"))
-        s1, s2 = _sums(mix(h), at), _sums(mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), at)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(signed(s1)), pa.array(signed(s2))], names=["doc_id", "n", "s1", "s2"])
+def _slices(values: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A task's array, cut into SLICES rows that hold something."""
+    cut = values.reshape(SLICES, -1)
+    used = [k for k in range(SLICES) if cut[k].any()]
+    return pa.array(used, pa.int32()), pa.array([zlib.compress(cut[k].astype("<i8").tobytes(), 1) for k in used], pa.binary())
+
+
+def _added(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' arrays (rows of slice and part); its size is fixed, whatever the input."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size // SLICES, dtype=np.int64)
+        for data in table.column("part"):
+            total += np.frombuffer(zlib.decompress(data.as_buffer()), "<i8")
+        return pa.table({"slice": table.column("slice").slice(0, 1), "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
+    out = np.zeros((SLICES, size // SLICES), dtype=np.int64)
+    # two steps: the rows of a slice are as many as tasks
+    some = rows.withColumn("salt", F.spark_partition_id() % 16).groupBy("slice", "salt").applyInArrow(add, "slice int, part binary")
+    for row in some.groupBy("slice").applyInArrow(add, "slice int, part binary").toArrow().to_pylist():
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["part"]), "<i8")
+    return out.reshape(-1)
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n, s1, s2) of all documents, and a task's part of the sketch."""
     total = np.zeros(SKETCH, dtype=np.int64)
     for batch in chunks(batches):
-        h, _ = shingle_sets(batch.column("text"))
+        h, at = shingle_sets(batch.column("text"))
         total += np.bincount(_bucket(h), minlength=SKETCH)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        s1, s2 = _names(h, at)
+        size = batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(s1), pa.array(s2), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=["doc_id", "n", "s1", "s2", "slice", "part"])
+    which, part = _slices(total)
+    none = pa.nulls(len(which), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, none, which, part], names=["doc_id", "n", "s1", "s2", "slice", "part"])
+
+
+def _names(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set; the first is its node."""
+    return signed(mix(_sums(mix(h), at))), signed(_sums(mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), at))
 
 
 def _least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,100 +125,151 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _pairs_of_list(doc: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray | None = None, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Viable pairs of one list, whose entries are sorted by size. With labels, only pairs of different labels; ``far`` is
-    the distance to the list's leader, by which pairs are excluded."""
+def _tail(n: np.ndarray) -> np.ndarray:
+    """Elements behind a set's prefix."""
+    return -(-PERCENT * n // 100) - 1
+
+
+def _pairs_of_list(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Viable pairs of different components in one long list, whose entries are sorted by size. ``far`` is an entry's distance to
+    the list's leader (NaN: not known), ``q`` the number of its elements that are in a list with others."""
+    node, label, far, q = (rows[c] for c in ("node", "label", "far", "q"))
+    n, pos = rows["meta"] >> 32, rows["meta"] & 0xFFFFFFFF
     left, right = [], []
-    common = None
-    if label is not None:
-        values, inverse = np.unique(label, return_inverse=True)
-        common = inverse == np.bincount(inverse, minlength=len(values)).argmax()
-    for i in range(len(doc)) if common is None else np.flatnonzero(~common):
+    values, inverse = np.unique(label, return_inverse=True)
+    common = inverse == np.bincount(inverse, minlength=len(values)).argmax()
+    for i in np.flatnonzero(~common):
         # index-level skipping: sizes that can't link are not touched
-        j = np.arange(np.searchsorted(n, -(-PERCENT * n[i] // 100)), i if common is None else np.searchsorted(n, 100 * n[i] // PERCENT, side="right"))
-        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= _least_overlap(n[i], n[j])
-        if common is not None:
-            ok &= (label[j] != label[i]) & (common[j] | (j < i))
-        if far is not None:  # answer-level skipping
-            ok &= np.abs(far[j] - far[i]) <= 1 - PERCENT / 100 + 1e-9
+        j = np.arange(np.searchsorted(n, -(-PERCENT * n[i] // 100)), np.searchsorted(n, 100 * n[i] // PERCENT, side="right"))
+        least = _least_overlap(n[i], n[j])
+        ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (np.minimum(q[i], q[j]) + np.maximum(_tail(n[i]), _tail(n[j])) >= least)
+        ok &= (label[j] != label[i]) & (common[j] | (j < i))
+        ok &= ~(np.abs(far[j] - far[i]) > 1 - PERCENT / 100 + 1e-9)  # answer-level skipping
         j = j[ok]
-        left.append(doc[j])
-        right.append(np.full(len(j), doc[i]))
+        left.append(node[j])
+        right.append(np.full(len(j), node[i]))
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Lists of two entries or more from rows sorted by token."""
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """From rows sorted by token and node: columns, and starts and sizes of whole lists of two entries or more."""
+
+    def cut(now: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        fresh = np.append(True, (now["token"][1:] != now["token"][:-1]) | (now["node"][1:] != now["node"][:-1]))
+        now = {c: v[fresh] for c, v in now.items()}
+        start = np.flatnonzero(np.append(True, now["token"][1:] != now["token"][:-1]))
+        return now, start, np.diff(np.append(start, len(now["token"])))
+
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
         now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         if held is not None:
             now = {c: np.concatenate([held[c], now[c]]) for c in now}
-        token = now["token"]
-        if not len(token):
+        if not len(now["token"]):
             continue
-        cut = np.flatnonzero(token[1:] != token[:-1]) + 1
-        edge = np.concatenate([[0], cut])
-        size = np.diff(np.append(edge, len(token)))
-        for k in np.flatnonzero(size[:-1] > 1):
-            yield int(token[edge[k]]), {c: v[edge[k] : edge[k] + size[k]] for c, v in now.items()}
-        held = {c: v[edge[-1] :] for c, v in now.items()}
-    if held is not None and len(held["token"]) > 1:
-        yield int(held["token"][0]), held
+        now, start, size = cut(now)
+        several = size[:-1] > 1
+        yield now, start[:-1][several], size[:-1][several]
+        held = {c: v[start[-1] :] for c, v in now.items()}
+    if held is not None and len(held["token"]):
+        now, start, size = cut(held)
+        yield now, start[size > 1], size[size > 1]
+
+
+_FOUND = "a long, b long, kind int, meta long, lead long, c long"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, kind, meta, lead): kind 0 viable pairs of short lists, 1 pairs with a leader, 2 entries (token, doc) of long lists."""
+    """Rows (a, b, kind, meta, lead, c): kind 0 pairs of nodes that c short lists hold, with their sizes (c is 0 for pairs with a
+    leader), 1 entries (token, node) of long lists, 2 nodes that c lists hold with others."""
     held: list[tuple[np.ndarray, ...]] = []
-    seen: set[tuple[int, int]] = set()
+    waiting = 0
+
+    def put(a: np.ndarray, b: np.ndarray, kind: int, meta: np.ndarray, lead: int, c: np.ndarray) -> None:
+        nonlocal waiting
+        held.append((a, b, np.full(len(a), kind), meta, np.full(len(a), lead), c))
+        waiting += len(a)
 
     def flush() -> pa.RecordBatch:
-        columns = [np.concatenate([x[k] for x in held]) if held else np.zeros(0, np.int64) for k in range(5)]
+        nonlocal waiting
+        a, b, kind, meta, lead, c = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64) for _ in range(6))
         held.clear()
-        columns[2] = columns[2].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "kind", "meta", "lead"])
-
-    def put(a: np.ndarray, b: np.ndarray, kind: int, meta: np.ndarray | None = None, lead: int = 0) -> None:
-        held.append((a, b, np.full(len(a), kind), np.zeros(len(a), np.int64) if meta is None else meta, np.full(len(a), lead)))
-
-    for token, rows in _lists(batches):
-        order = np.lexsort((rows["doc"], rows["meta"] >> 32))
-        doc, meta = rows["doc"][order], rows["meta"][order]
-        if len(doc) <= SHORT:
-            x, y = _pairs_of_list(doc, meta >> 32, meta & 0xFFFFFFFF)
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            fresh = [k for k, p in enumerate(zip(x.tolist(), y.tolist(), strict=True)) if p not in seen and not seen.add(p)]
-            if len(seen) > 500_000:  # repeats are dropped later in any case
-                seen.clear()
-            put(x[fresh], y[fresh], 0)
-        else:
-            lead = int(doc.min())
-            rest = doc[doc != lead]
-            put(np.full(len(rest), lead), rest, 1)
-            put(np.full(len(doc), token), doc, 2, meta, lead)
-        if len(held) > 2000 or len(doc) > 20_000:
+        waiting = 0
+        order = np.lexsort((lead, b, a, kind))
+        a, b, kind, meta, lead, c = (x[order] for x in (a, b, kind, meta, lead, c))
+        head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1]))) if len(a) else np.zeros(0, np.int64)
+        c = np.add.reduceat(c, head) if len(head) else c
+        return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(kind[head].astype(np.int32)), pa.array(meta[head]), pa.array(lead[head]), pa.array(c)], names=["a", "b", "kind", "meta", "lead", "c"])
+
+    def put_pairs(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, c: int) -> None:
+        near = 100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)
+        x, y, nx, ny = x[near], y[near], nx[near], ny[near]
+        swap = x > y
+        put(np.where(swap, y, x), np.where(swap, x, y), 0, (np.where(swap, ny, nx) << 32) | np.where(swap, nx, ny), 0, np.full(len(x), c))
+
+    for rows, start, size in _lists(batches):
+        node, n = rows["node"], rows["meta"] >> 32
+        for k in range(2, SHORT + 1):
+            at = start[size == k]
+            if len(at):
+                i, j = np.triu_indices(k, 1)
+                x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                put_pairs(node[x], node[y], n[x], n[y], 1)
+        for at, k in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+            own, sizes = node[at : at + k], n[at : at + k]
+            put(np.full(k, int(rows["token"][at])), own, 1, rows["meta"][at : at + k], int(own[0]), np.zeros(k, np.int64))
+            put_pairs(np.full(k - 1, own[0]), own[1:], np.full(k - 1, sizes[0]), sizes[1:], 0)
+        if len(start):
+            inside = np.zeros(len(node) + 1, dtype=np.int64)
+            inside[start] += 1
+            inside[start + size] -= 1
+            who, times = np.unique(node[np.cumsum(inside[:-1]) > 0], return_counts=True)
+            none = np.zeros(len(who), np.int64)
+            put(who, none, 2, none, 0, times)
+        if waiting > 500_000:
             yield flush()
     yield flush()
 
 
 def _later_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in long lists that the distances to the leader don't exclude."""
-    for _, rows in _lists(batches):
-        order = np.lexsort((rows["doc"], rows["meta"] >> 32))
-        r = {c: v[order] for c, v in rows.items()}
-        if len(set(r["label"].tolist())) < 2:
-            continue
-        x, y = _pairs_of_list(r["doc"], r["meta"] >> 32, r["meta"] & 0xFFFFFFFF, r["label"], r["far"])
-        tried = (x == r["lead"][0]) | (y == r["lead"][0])
-        x, y = x[~tried], y[~tried]
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-
-def _bytes_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        h, at = shingle_sets(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc", "set"])
+    """Pairs of different components in long lists that no bound excludes."""
+    for columns, start, size in _lists(batches):
+        for at, k in zip(start.tolist(), size.tolist(), strict=True):
+            rows = {c: v[at : at + k] for c, v in columns.items()}
+            order = np.lexsort((rows["node"], rows["meta"] >> 32))
+            x, y = _pairs_of_list({c: v[order] for c, v in rows.items()})
+            tried = (x == rows["lead"][0]) | (y == rows["lead"][0])
+            x, y = x[~tried], y[~tried]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def _bits_of(ids: np.ndarray) -> np.ndarray:
+    x = mix(ids.astype(np.int64).view(np.uint64))
+    return np.stack([x % np.uint64(FILTER), (x >> np.uint64(32)) % np.uint64(FILTER)]).astype(np.int64)
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit filter of the column doc_id: FILTER bits, whatever the input."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER, dtype=bool)
+        for batch in batches:
+            bits[_bits_of(batch.column("doc_id").to_numpy(zero_copy_only=False))] = True
+        which, part = _slices(np.packbits(bits).view("<i8").copy())
+        yield pa.RecordBatch.from_arrays([which, part], names=["slice", "part"])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = np.zeros(FILTER // 64 // SLICES, dtype=np.int64)
+        for data in table.column("part"):
+            total |= np.frombuffer(zlib.decompress(data.as_buffer()), "<i8")
+        return pa.table({"slice": table.column("slice").slice(0, 1), "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    out = np.zeros((SLICES, FILTER // 64 // SLICES), dtype=np.int64)
+    some = ids.mapInArrow(mark, "slice int, part binary").withColumn("salt", F.spark_partition_id() % 16).groupBy("slice", "salt").applyInArrow(join, "slice int, part binary")
+    for row in some.groupBy("slice").applyInArrow(join, "slice int, part binary").toArrow().to_pylist():
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["part"]), "<i8")
+    return np.unpackbits(out.reshape(-1).view(np.uint8)).astype(bool)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,12 +283,24 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "both"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs with the sizes of their intersection and union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of nodes with the sizes of their intersection and union."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select(F.col("rep").alias("doc_id"))
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter_of(ids)))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sent = np.unpackbits(wanted.value).astype(bool), set()
+        for batch in batches:
+            chosen = batch.filter(pa.array(bits[_bits_of(batch.column("doc_id").to_numpy(zero_copy_only=False))].all(axis=0)))
+            for some in chunks(iter([chosen])):
+                h, at = shingle_sets(some.column("text"))
+                node, _ = _names(h, at)
+                fresh = [k for k, x in enumerate(node.tolist()) if at[k + 1] > at[k] and x not in sent and not sent.add(x)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[fresh]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in fresh], pa.binary())], names=["node", "set"])
+
     # merge joins throughout: the same plan at every size, and no set of ids or texts is ever broadcast
-    sets = stored(docs.hint("merge").join(ids, "doc_id").mapInArrow(_bytes_of_sets, "doc long, set binary"))
-    x, y = sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
+    found = stored(docs.mapInArrow(sets, "node long, set binary").groupBy("node").agg(F.any_value("set").alias("set")))
+    x, y = found.select(F.col("node").alias("a"), F.col("set").alias("x")), found.select(F.col("node").alias("b"), F.col("set").alias("y"))
     return pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").mapInArrow(_verify, "a long, b long, common long, both long")
 
 
@@ -208,47 +308,66 @@ def _linked(verified: DataFrame) -> DataFrame:
     return verified.filter(100 * F.col("common") >= PERCENT * F.col("both")).select("a", "b")
 
 
+def _viable(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b, meta, c) that may link: what their prefixes share (c in short lists, and what long lists hold of either) and what
+    lies behind the longer prefix are enough."""
+    at = {side: held.select(F.col("node").alias(side), F.col("l").alias(f"l_{side}")) for side in "ab"}
+    both = pairs.join(at["a"], "a", "left").join(at["b"], "b", "left").withColumns({"na": F.expr("shiftright(meta, 32)"), "nb": F.expr("meta & 4294967295")})
+    least = F.expr(f"({PERCENT} * (na + nb) + {99 + PERCENT}) div {100 + PERCENT}")
+    tail = F.expr(f"({PERCENT} * greatest(na, nb) + 99) div 100 - 1")
+    return both.filter(F.col("c") + F.least(F.coalesce("l_a", F.lit(0)), F.coalesce("l_b", F.lit(0))) + tail >= least).select("a", "b")
+
+
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (doc_id, n, rep) and a set of verified links (a, b) between representatives that spans all components."""
     rows = _text(docs).filter("doc_id is not null")
-    signed_rows = stored(rows.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long"))
-    reps = signed_rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = signed_rows.join(reps, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    spark = docs.sparkSession
-    counts = np.zeros(SKETCH, dtype=np.int64)  # fixed width, whatever the input
-    sketch = rows.mapInArrow(_sketch, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts[sketch.column("bucket").to_numpy()] = sketch.column("n").to_numpy()
-    order = spark.sparkContext.broadcast(counts)
+    first = stored(rows.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, slice int, part binary"))
+    own = first.filter("slice is null").select("doc_id", "n", F.col("s1").alias("node"), "s2")
+    sets = stored(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("s2").alias("s"), F.max("s2").alias("t"), F.min("n").alias("m"), F.max("n").alias("n")))
+    if not sets.filter("s <> t or m <> n").isEmpty():
+        raise RuntimeError("two different sets have the same hash")
+    reps = sets.select("node", "rep")
+    classes = own.join(reps.withColumnRenamed("node", "_node"), (F.col("n") > 0) & (F.col("node") == F.col("_node")), "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    # fixed width, whatever the input
+    order = docs.sparkSession.sparkContext.broadcast(_added(first.filter("slice is not null").select("slice", "part"), SKETCH))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = order.value
+        frequency, sent = order.value, set()
         for batch in chunks(batches):
             h, at = shingle_sets(batch.column("text"))
             n = np.diff(at)
-            row = np.repeat(np.arange(len(n)), n)
+            node, _ = _names(h, at)
+            fresh = np.array([size > 0 and x not in sent and not sent.add(x) for x, size in zip(node.tolist(), n.tolist(), strict=True)], dtype=bool)
+            h, row = h[np.repeat(fresh, n)], np.repeat(np.arange(len(n)), n * fresh)
             by = np.lexsort((h, frequency[_bucket(h)], row))
-            position = np.arange(len(h)) - at[row]
-            keep = position < (n + (-PERCENT * n // 100) + 1)[row]
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            position = np.arange(len(h)) - np.repeat((np.cumsum(n * fresh) - n * fresh)[fresh], n[fresh])
+            keep = position < (n - _tail(n))[row]
             row = row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[by][keep])), pa.array(doc[row].astype(np.int64)), pa.array((n[row] << 32) | position[keep])], names=["token", "doc", "meta"])
-
-    alone = rows.hint("merge").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    lists = alone.mapInArrow(prefixes, "token long, doc long, meta long").repartition("token").sortWithinPartitions("token")
-    found = stored(lists.mapInArrow(_candidates, "a long, b long, kind int, meta long, lead long"))
-    pairs = found.filter("kind < 2").select("a", "b").distinct()
-    first = stored(_verified(pairs, rows))
-    links = _linked(first)
-    long = found.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("doc"), "meta", "lead")
-    if not long.limit(1).count():
-        return classes, links
-    label = components(links)
-    far = first.select(F.col("a").alias("lead"), F.col("b").alias("doc"), (1 - F.col("common") / F.col("both")).alias("far"))
-    known = long.join(label.withColumnRenamed("node", "doc"), "doc", "left").join(far, ["lead", "doc"], "left")
-    known = known.select("token", "doc", "meta", "lead", F.coalesce("component", "doc").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    later = known.repartition("token").sortWithinPartitions("token").mapInArrow(_later_pairs, "a long, b long").distinct()
-    second = _verified(stored(later), rows)
-    return classes, stored(links.unionByName(_linked(second)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[by][keep])), pa.array(node[row]), pa.array((n[row] << 32) | position[keep])], names=["token", "node", "meta"])
+
+    lists = rows.mapInArrow(prefixes, "token long, node long, meta long").repartition("token").sortWithinPartitions("token", "node")
+    found = stored(lists.mapInArrow(_candidates, _FOUND))
+    long = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "meta", "lead")
+    held = stored(long.groupBy("node").agg(F.count("*").alias("l")))
+    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.any_value("meta").alias("meta"))
+    tried = stored(_verified(stored(_viable(pairs, held)), rows, reps))
+    links = _linked(tried)
+    if not held.isEmpty():
+        label = components(links)
+        far = tried.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("common") / F.col("both")).alias("far"))
+        shared = found.filter("kind = 2").groupBy(F.col("a").alias("node")).agg(F.sum("c").alias("q"))
+        # a leader is the smallest node of its list
+        known = long.join(label, "node", "left").join(far, ["lead", "node"], "left").join(shared, "node")
+        known = known.select("token", "node", "meta", "lead", F.coalesce("component", "node").alias("label"), F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan")))).alias("far"), "q")
+        later = known.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_later_pairs, "a long, b long").distinct()
+        later = stored(later.join(tried, ["a", "b"], "left_anti"))
+        if not later.isEmpty():
+            links = stored(links.unionByName(_linked(_verified(later, rows, reps))))
+    names = [reps.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab"]
+    spanning = links.join(names[0], "a").join(names[1], "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    # several texts of one doc_id belong together
+    least = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_z")).filter("a < _z").select("doc_id", "a")
+    return classes, spanning.unionByName(classes.join(least, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b")))
 
 
 def join_classes(docs: DataFrame) -> DataFrame:
