@@ -11,7 +11,8 @@ A document's set holds the hashes of its distinct SHINGLE-word shingles. Two set
   entry, sizes that can't link are skipped by a binary search, and positions that leave too little of either
   set behind are skipped as a whole.
 * Pairs are counted over the short lists. Two sets share at most what their prefixes share, and what lies behind the longer prefix;
-  pairs for which that isn't enough are dropped before any set is fetched.
+  pairs for which that isn't enough are dropped before any set is fetched. Of the others, a set's best partner is compared
+  first; later only pairs of different components are, so a group of near copies doesn't cost all its pairs.
 * Answer-level skipping: in a long list (over SHORT entries) every set is first compared with the list's leader only.
   Sets that link to it are answered by its component. What is left, sets of different components, derives its candidates
   from the leader's answers: d(x, y) >= |d(x, leader) - d(y, leader)|, so partners whose distance to the leader differs by
@@ -176,18 +177,21 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.nda
         yield now, start[size > 1], size[size > 1]
 
 
+#: Marks pairs with a leader, above any number of lists.
+LEADER = 1 << 40
 _FOUND = "a long, b long, kind int, meta long, lead long, c long"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, kind, meta, lead, c): kind 0 pairs of nodes that c short lists hold, with their sizes (c is 0 for pairs with a
-    leader), 1 entries (token, node) of long lists, 2 nodes that c lists hold with others."""
+    """Rows (a, b, kind, meta, lead, c): kind 0 pairs of nodes that c short lists hold, with their sizes (lead: how many of these could
+    be the first that they share, and LEADER for a pair with the leader of a long list), 1 entries (token, node) of long
+    lists, 2 nodes that c lists hold with others."""
     held: list[tuple[np.ndarray, ...]] = []
     waiting = 0
 
-    def put(a: np.ndarray, b: np.ndarray, kind: int, meta: np.ndarray, lead: int, c: np.ndarray) -> None:
+    def put(a: np.ndarray, b: np.ndarray, kind: int, meta: np.ndarray, lead: np.ndarray | int, c: np.ndarray) -> None:
         nonlocal waiting
-        held.append((a, b, np.full(len(a), kind), meta, np.full(len(a), lead), c))
+        held.append((a, b, np.full(len(a), kind), meta, np.broadcast_to(lead, len(a)), c))
         waiting += len(a)
 
     def flush() -> pa.RecordBatch:
@@ -195,30 +199,32 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, kind, meta, lead, c = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64) for _ in range(6))
         held.clear()
         waiting = 0
-        order = np.lexsort((lead, b, a, kind))
+        order = np.lexsort((b, a, kind))
         a, b, kind, meta, lead, c = (x[order] for x in (a, b, kind, meta, lead, c))
         head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1]))) if len(a) else np.zeros(0, np.int64)
-        c = np.add.reduceat(c, head) if len(head) else c
-        return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(kind[head].astype(np.int32)), pa.array(meta[head]), pa.array(lead[head]), pa.array(c)], names=["a", "b", "kind", "meta", "lead", "c"])
-
-    def put_pairs(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, c: int) -> None:
-        near = 100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)
-        x, y, nx, ny = x[near], y[near], nx[near], ny[near]
-        swap = x > y
-        put(np.where(swap, y, x), np.where(swap, x, y), 0, (np.where(swap, ny, nx) << 32) | np.where(swap, nx, ny), 0, np.full(len(x), c))
+        if len(head):  # the entries of long lists are single
+            c, lead = np.add.reduceat(c, head), np.where(kind[head] == 0, np.add.reduceat(lead * (kind == 0), head), lead[head])
+        return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(kind[head].astype(np.int32)), pa.array(meta[head]), pa.array(lead), pa.array(c)], names=["a", "b", "kind", "meta", "lead", "c"])
+
+    def put_pairs(x: np.ndarray, y: np.ndarray, lead: int | None) -> None:
+        near = 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
+        x, y = x[near], y[near]
+        swap = node[x] > node[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        first = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= _least_overlap(n[x], n[y])
+        put(node[x], node[y], 0, (n[x] << 32) | n[y], first.astype(np.int64) if lead is None else lead, np.full(len(x), int(lead is None)))
 
     for rows, start, size in _lists(batches):
-        node, n = rows["node"], rows["meta"] >> 32
+        node, n, pos = rows["node"], rows["meta"] >> 32, rows["meta"] & 0xFFFFFFFF
         for k in range(2, SHORT + 1):
             at = start[size == k]
             if len(at):
                 i, j = np.triu_indices(k, 1)
                 x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                put_pairs(node[x], node[y], n[x], n[y], 1)
+                put_pairs(x, y, None)
         for at, k in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-            own, sizes = node[at : at + k], n[at : at + k]
-            put(np.full(k, int(rows["token"][at])), own, 1, rows["meta"][at : at + k], int(own[0]), np.zeros(k, np.int64))
-            put_pairs(np.full(k - 1, own[0]), own[1:], np.full(k - 1, sizes[0]), sizes[1:], 0)
+            put(np.full(k, int(rows["token"][at])), node[at : at + k], 1, rows["meta"][at : at + k], int(node[at]), np.zeros(k, np.int64))
+            put_pairs(np.full(k - 1, at), np.arange(at + 1, at + k), LEADER)
         if len(start):
             inside = np.zeros(len(node) + 1, dtype=np.int64)
             inside[start] += 1
@@ -309,13 +315,13 @@ def _linked(verified: DataFrame) -> DataFrame:
 
 
 def _viable(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs (a, b, meta, c) that may link: what their prefixes share (c in short lists, and what long lists hold of either) and what
-    lies behind the longer prefix are enough."""
+    """Pairs (a, b, lead, c) that may link: some list may be the first that they share, and what their prefixes share (c in short
+    lists, and what long lists hold of either) and what lies behind the longer prefix are enough."""
     at = {side: held.select(F.col("node").alias(side), F.col("l").alias(f"l_{side}")) for side in "ab"}
     both = pairs.join(at["a"], "a", "left").join(at["b"], "b", "left").withColumns({"na": F.expr("shiftright(meta, 32)"), "nb": F.expr("meta & 4294967295")})
     least = F.expr(f"({PERCENT} * (na + nb) + {99 + PERCENT}) div {100 + PERCENT}")
     tail = F.expr(f"({PERCENT} * greatest(na, nb) + 99) div 100 - 1")
-    return both.filter(F.col("c") + F.least(F.coalesce("l_a", F.lit(0)), F.coalesce("l_b", F.lit(0))) + tail >= least).select("a", "b")
+    return both.filter(F.col("c") + F.least(F.coalesce("l_a", F.lit(0)), F.coalesce("l_b", F.lit(0))) + tail >= least).select("a", "b", "lead", "c")
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -349,20 +355,25 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stored(lists.mapInArrow(_candidates, _FOUND))
     long = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "meta", "lead")
     held = stored(long.groupBy("node").agg(F.count("*").alias("l")))
-    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.any_value("meta").alias("meta"))
-    tried = stored(_verified(stored(_viable(pairs, held)), rows, reps))
+    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("lead").alias("lead"), F.any_value("meta").alias("meta")).filter("lead > 0")
+    viable = stored(_viable(pairs, held))
+    sides = viable.select(F.col("a").alias("node"), F.col("b").alias("other"), "c").unionByName(viable.select(F.col("b").alias("node"), F.col("a").alias("other"), "c"))
+    best = sides.groupBy("node").agg(F.max(F.struct("c", "other")).alias("m")).select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b"))
+    tried = stored(_verified(stored(viable.filter(F.col("lead") >= LEADER).select("a", "b").unionByName(best).distinct()), rows, reps))
     links = _linked(tried)
+    label = stored(components(links))
+    of = {side: label.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")) for side in "ab"}
+    later = viable.join(of["a"], "a", "left").join(of["b"], "b", "left").filter(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))).select("a", "b")
     if not held.isEmpty():
-        label = components(links)
         far = tried.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("common") / F.col("both")).alias("far"))
         shared = found.filter("kind = 2").groupBy(F.col("a").alias("node")).agg(F.sum("c").alias("q"))
         # a leader is the smallest node of its list
         known = long.join(label, "node", "left").join(far, ["lead", "node"], "left").join(shared, "node")
         known = known.select("token", "node", "meta", "lead", F.coalesce("component", "node").alias("label"), F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan")))).alias("far"), "q")
-        later = known.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_later_pairs, "a long, b long").distinct()
-        later = stored(later.join(tried, ["a", "b"], "left_anti"))
-        if not later.isEmpty():
-            links = stored(links.unionByName(_linked(_verified(later, rows, reps))))
+        later = later.unionByName(known.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_later_pairs, "a long, b long")).distinct()
+    later = stored(later.join(tried, ["a", "b"], "left_anti"))
+    if not later.isEmpty():
+        links = stored(links.unionByName(_linked(_verified(later, rows, reps))))
     names = [reps.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab"]
     spanning = links.join(names[0], "a").join(names[1], "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # several texts of one doc_id belong together
