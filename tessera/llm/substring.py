@@ -4,19 +4,19 @@ A window is WINDOW consecutive words of one document. Every window has one *anch
 smallest hash among the GRAM-word grams inside it. The anchor depends on the window's words alone, so
 equal windows have equal anchors. Neighbouring windows with the same anchor form a *segment*, and a
 document of n words has about n / 18 segments instead of n windows. The index keeps one row per
-distinct (anchor hash, segment hash): the smallest document that has it, and where.
+distinct segment (anchor hash, segment hash): the smallest document that has it, its places there, and the hashes of its windows.
 
-Index: immutable runs, each a bucketed and sorted table in the shared folder. A new batch of documents
-is merge-joined with every run on the anchor hash (same buckets, same order, so runs are not
-shuffled), then written as a run of its own; ``compact`` merges runs when there are FANOUT of them.
+Index: immutable runs, each a bucketed and sorted table in the shared folder. A new batch of documents becomes a run of its own;
+every earlier run is merge-joined with it on the anchor hash (same buckets, same order, so runs are not shuffled).
+``compact`` merges runs when there are ``fanout`` of them. Texts of earlier batches aren't needed again.
 
-Verification: a segment that a smaller document also has is covered as a whole. Anchors with two or more
-different segments may share only some windows, so the distinct segments of such anchors (at every place
-in the smallest document that has them, not every copy) are expanded into window hashes from the texts and compared.
+A segment that a smaller document also has is covered as a whole. Anchors with two or more different segments may share only some
+windows, so the window hashes of their segments, old and new, are compared one by one. A window is told by its anchor's hash (64
+bits over the anchor's words) and verified by WINDOW_BYTES bytes of another hash over all its words; a segment by anchor and 64 bits over all its words.
 
 Defined cases: null text has no words; documents of fewer than WINDOW words lose nothing; rows that repeat
 a doc_id are judged each on its own text and never against each other; a null doc_id is never a source and
-loses nothing; further columns are ignored (names that begin with an underscore are used inside).
+loses nothing; further columns, whatever their names, pass unchanged, but for n_words, n_removed and kept_text, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,22 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import partitions, releasing_shuffles, shared_folder, stored
-from .text import WORDS, Words, chunks, signed, sliding_min, window_starts
+from .session import free_name, partitions, releasing_shuffles, shared_folder, stored
+from .text import WORDS, Poly, Words, chunks, mix, signed, sliding_min, window_starts
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM, WINDOW_BYTES = 50, 16, 5
 _SPAN = WINDOW - GRAM + 1
 _LOW = np.uint64((1 << 28) - 1)
+_SECOND, _OTHER = Poly(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 SEGMENT = "h long, seg long, doc_id long, rk int, a int, n int"
+RUN = "h long, seg long, doc_id long, rk int, places array<int>, n int, w binary"
 
 
-def segments(texts: pa.Array) -> dict[str, np.ndarray]:
-    """Anchor hash, segment hash, document (row of ``texts``), first window and number of windows."""
+def segments(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Anchor hash, segment hash, document (row of ``texts``), first window, its word among all words, and number of windows;
+    and the hashes of all words."""
     words = Words(texts)
     h = words.hashes()
     if len(h) < WINDOW:
-        return {k: np.zeros(0, dtype=np.int64) for k in ("h", "seg", "row", "a", "n")}
+        return {k: np.zeros(0, dtype=np.int64) for k in ("h", "seg", "row", "a", "at", "n")}, h
     prefix = WORDS.prefix(h)
     at = np.arange(len(h) - GRAM + 1)
     gram = WORDS.span(prefix, at, at + GRAM)
@@ -57,12 +60,12 @@ def segments(texts: pa.Array) -> dict[str, np.ndarray]:
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(starts)))
     first = starts[head]
-    return {"h": signed(gram[anchor[head]]), "seg": signed(WORDS.span(prefix, first, first + count + WINDOW - 1)), "row": row[head], "a": first - words.first[row[head]], "n": count}
+    return {"h": signed(gram[anchor[head]]), "seg": signed(WORDS.span(prefix, first, first + count + WINDOW - 1)), "row": row[head], "a": first - words.first[row[head]], "at": first, "n": count}, h
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        s = segments(batch.column("text"))
+        s, _ = segments(batch.column("text"))
         row = pa.array(s["row"])
         yield pa.RecordBatch.from_arrays(
             [pa.array(s["h"]), pa.array(s["seg"]), batch.column("doc_id").take(row), batch.column("rk").take(row), pa.array(s["a"].astype(np.int32)), pa.array(s["n"].astype(np.int32))],
@@ -70,17 +73,46 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _each(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _with_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a run: of each chunk's equal segments those of the smallest document, with all its places and the hashes of the windows."""
+    for batch in chunks(batches):
+        s, words = segments(batch.column("text"))
+        doc, rk = (batch.column(c).to_numpy(zero_copy_only=False)[s["row"]] for c in ("doc_id", "rk"))
+        order = np.lexsort((s["a"], rk, doc, s["seg"], s["h"]))
+        h, seg, doc, rk, a, at, n = (x[order] for x in (s["h"], s["seg"], doc, rk, s["a"], s["at"], s["n"]))
+        head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1]))) if len(h) else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+        own = (doc == doc[head][group]) & (rk == rk[head][group])
+        places = np.concatenate([[0], np.cumsum(np.bincount(group[own], minlength=len(head)))]).astype(np.int32)
+        n = n[head]
+        start = _each(at[head], n)
+        prefix = _SECOND.prefix(mix(words ^ _OTHER))
+        window = _SECOND.span(prefix, start, start + WINDOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WINDOW_BYTES]
+        ends = np.concatenate([[0], np.cumsum(n) * WINDOW_BYTES]).astype(np.int32)
+        w = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(window))])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h[head]), pa.array(seg[head]), pa.array(doc[head].astype(np.int64)), pa.array(rk[head].astype(np.int32)), pa.ListArray.from_arrays(pa.array(places), pa.array(a[own].astype(np.int32))), pa.array(n.astype(np.int32)), w],
+            names=["h", "seg", "doc_id", "rk", "places", "n", "w"],
+        )
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("rk"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("rk"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return _keyed(docs).filter("doc_id is not null and text is not null").mapInArrow(_fingerprint, SEGMENT)
+    """All places of all segments."""
+    return _keyed(docs).mapInArrow(_fingerprint, SEGMENT)
 
 
-def _smallest(rows: DataFrame) -> DataFrame:
-    """One row per (h, seg): the smallest document with it."""
-    return rows.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "rk", "a", "n")).alias("_s")).select("h", "seg", "_s.*")
+def run_rows(docs: DataFrame) -> DataFrame:
+    """Rows for a run of the index; equal segments of different chunks aren't merged yet."""
+    return _keyed(docs).mapInArrow(_with_windows, RUN)
 
 
 class FingerprintIndex:
@@ -92,89 +124,106 @@ class FingerprintIndex:
         self.buckets = buckets or partitions(spark)
         self.runs: list[str] = []
 
-    def _write(self, rows: DataFrame) -> str:
+    def write(self, rows: DataFrame) -> str:
+        """A run of the distinct segments of ``rows``, each with its smallest document: one shuffle, on the anchor hash."""
         name = f"tessera_run_{uuid.uuid4().hex}"
+        least = rows.repartition(self.buckets, "h").groupBy("h", "seg").agg(F.min(F.struct("doc_id", "rk", "places", "n", "w")).alias("_s")).select("h", "seg", "_s.*")
         with releasing_shuffles(self.spark):
-            (rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name))
+            least.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
         return name
 
-    def append(self, batch: DataFrame) -> None:
-        """Add the distinct segments of a batch as a run, and compact when runs have become many."""
-        self.runs.append(self._write(_smallest(batch)))
+    def add(self, run: str) -> None:
+        """Count a written run in, and compact when runs have become many."""
+        self.runs.append(run)
         if len(self.runs) >= self.fanout:
             self.compact()
 
+    def append(self, rows: DataFrame) -> None:
+        self.add(self.write(rows))
+
     def compact(self) -> None:
         """Merge all runs into one; the old runs are dropped after the new one is complete."""
         old = self.runs
-        self.runs = [self._write(_smallest(reduce(DataFrame.unionByName, [self.spark.table(r) for r in old])))]
-        for name in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs = [self.write(reduce(DataFrame.unionByName, [self.spark.table(r) for r in old]))]
+        self._drop(old)
 
     def probe(self, anchors: DataFrame) -> DataFrame | None:
         """Historical segments whose anchor is among ``anchors`` (distinct column h): one merge join per run."""
         found = [self.spark.table(r).join(anchors.hint("merge"), "h", "left_semi") for r in self.runs]
         return reduce(DataFrame.unionByName, found) if found else None
 
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all windows of the marked segments."""
-    for batch in chunks(batches):
-        words = Words(batch.column("text"))
-        prefix = WORDS.prefix(words.hashes())
-        marks = batch.column("marks")
-        flat = marks.flatten()
-        row = np.repeat(np.arange(batch.num_rows), marks.value_lengths().to_numpy(zero_copy_only=False))
-        h, a, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        size = n.astype(np.int64)
-        base = np.repeat(np.cumsum(size) - size, size)
-        start = np.repeat(a.astype(np.int64), size) + np.arange(int(size.sum())) - base
-        row = np.repeat(row, size)
-        at = words.first[row] + start
-        take = pa.array(row)
+    def _drop(self, runs: list[str]) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            folder = path(f"{self.path}/{name}")  # of a table with a path of its own, the files stay
+            folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+    def drop(self) -> None:
+        """Remove all runs."""
+        self._drop(self.runs)
+        self.runs = []
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of segments, at each of their places."""
+    for batch in batches:
+        n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.frombuffer(b"".join(batch.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW_BYTES)
+        window = np.zeros((len(flat), 8), dtype=np.uint8)
+        window[:, :WINDOW_BYTES] = flat
+        row = np.repeat(np.arange(batch.num_rows), batch.column("places").value_lengths().to_numpy(zero_copy_only=False))
+        place = batch.column("places").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        at, size = (np.cumsum(n) - n)[row], n[row]
+        take = pa.array(np.repeat(row, size))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(h, size)), pa.array(signed(WORDS.span(prefix, at, at + WINDOW))), batch.column("doc_id").take(take), batch.column("rk").take(take), pa.array(start.astype(np.int32))],
-            names=["h", "w", "doc_id", "rk", "start"],
+            [batch.column("h").take(take), pa.array(window.view("<i8").ravel()[_each(at, size)]), batch.column("doc_id").take(take), batch.column("rk").take(take), pa.array(_each(place, size).astype(np.int32)), batch.column("fresh").take(take)],
+            names=["h", "w", "doc_id", "rk", "start", "fresh"],
         )
 
 
-def covered(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
-    """Ranges of window starts (doc_id, rk, a, n) whose windows also start in a smaller document.
+def _covered_in_batch(prints: DataFrame, run: DataFrame, old: DataFrame | None) -> DataFrame:
+    """Stored ranges of the windows of one batch that also start in a smaller document of it or of history."""
+    light = run.select("h", "seg", "doc_id", "rk")
+    if old is not None:
+        light = light.unionByName(old.select("h", "seg", "doc_id", "rk")).groupBy("h", "seg").agg(F.min(F.struct("doc_id", "rk")).alias("_s")).select("h", "seg", "_s.*")
+    least = stored(light.select("h", "seg", F.col("doc_id").alias("_min"), F.col("rk").alias("_rk")))
+    again = stored(prints.join(least, ["h", "seg"]).filter("doc_id > _min or doc_id = _min and rk <> _rk").select("h", "seg", "doc_id", "rk", "a", "n", F.expr("doc_id = _min").alias("twin")))
+    several = least.groupBy("h").agg(F.count("*").alias("_k")).filter("_k > 1").select("h")
+    parts = [run.withColumn("fresh", F.lit(True))] + ([old.withColumn("fresh", F.lit(False))] if old is not None else [])
+    parts = [x.join(several.hint("merge"), "h", "left_semi") for x in parts]
+    twins = again.filter("twin")
+    if not twins.isEmpty():  # other texts of a segment's smallest doc_id, which nothing covers as a whole
+        known = reduce(DataFrame.unionByName, parts).select("h", "seg", "w")
+        parts.append(twins.join(known, ["h", "seg"]).select("h", "seg", "doc_id", "rk", F.array("a").alias("places"), "n", "w", F.lit(True).alias("fresh")))
+    rows = reduce(DataFrame.unionByName, parts).select("h", "doc_id", "rk", "places", "n", "w", "fresh")
+    windows = stored(rows.mapInArrow(_expand, "h long, w long, doc_id long, rk int, start int, fresh boolean"))
+    smallest = windows.groupBy("h", "w").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max")).filter("_min < _max").select("h", "w", "_min")
+    single = windows.filter("fresh").join(smallest, ["h", "w"]).filter("doc_id > _min").select("doc_id", "rk", F.col("start").alias("a"), F.lit(1).alias("n"))
+    # A copy of a segment in a larger document is covered as a whole; so windows are needed of representatives and their twins only.
+    return stored(again.filter("not twin").select("doc_id", "rk", "a", "n").unionByName(single))
+
+
+def covered(docs: DataFrame, index: FingerprintIndex, batches: int = 2) -> DataFrame:
+    """Ranges of window starts (doc_id, rk, a, n) whose windows also start in a smaller document, of ``docs`` or of the index.
 
     Documents go through the index in ``batches`` ascending ranges of doc_id, as they would arrive over time.
     """
-    spark = docs.sparkSession
-    index = index or FingerprintIndex(spark)
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     cuts = known.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else None
     cuts = sorted(set(cuts or []))
-    prints = stored(fingerprints(docs))
-    whole, partial, twins = [], [], []
+    found = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        new = prints
+        new = docs
         if low is not None:
             new = new.filter(F.col("doc_id") > low)
         if high is not None:
             new = new.filter(F.col("doc_id") <= high)
-        distinct = stored(_smallest(new))
-        old = index.probe(distinct.select("h").distinct())
-        both = stored(_smallest(distinct.unionByName(old))) if old is not None else distinct
-        least = both.select("h", "seg", F.col("doc_id").alias("_min"), F.col("rk").alias("_rk"), F.col("a").alias("_a"))
-        again = stored(new.join(least, ["h", "seg"]).filter("doc_id > _min or doc_id = _min and (rk <> _rk or a <> _a)").select("h", "seg", "doc_id", "rk", "a", "n", F.expr("doc_id = _min").alias("twin")))
-        whole.append(again.filter("not twin").select("doc_id", "rk", "a", "n"))
-        twins.append(again.filter("twin").drop("twin"))
-        several = both.groupBy("h").agg(F.count("*").alias("_k")).filter("_k > 1").select("h")
-        partial.append(both.join(several, "h").select("h", "seg", "doc_id", "rk", "a", "n"))
-        index.append(distinct)
-    chosen, twin = reduce(DataFrame.unionByName, partial), reduce(DataFrame.unionByName, twins)
-    needed = chosen.unionByName(twin.join(chosen.select("h", "seg", "doc_id"), ["h", "seg", "doc_id"], "left_semi"))
-    marks = stored(needed.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("h", "a", "n")).alias("marks")))
-    windows = stored(_keyed(docs).join(marks, ["doc_id", "rk"]).mapInArrow(_windows, "h long, w long, doc_id long, rk int, start int"))
-    least = windows.groupBy("h", "w").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max")).filter("_min < _max").select("h", "w", "_min")
-    single = windows.join(least, ["h", "w"]).filter("doc_id > _min").select("doc_id", "rk", F.col("start").alias("a"), F.lit(1).alias("n"))
-    # A copy of a segment in a larger document is covered as a whole. So windows are needed of representatives only, and of
-    # the segment's further places in the representative's own doc_id (its twins), which nothing covers as a whole.
-    return reduce(DataFrame.unionByName, [*whole, single])
+        run = index.write(run_rows(new))
+        rows = docs.sparkSession.table(run)
+        found.append(_covered_in_batch(stored(fingerprints(new)), rows, index.probe(rows.select("h").distinct())))
+        index.add(run)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _kept_words(text: str | None, ranges: list | None) -> tuple[list[bytes], int]:
@@ -191,23 +240,35 @@ def _kept_words(text: str | None, ranges: list | None) -> tuple[list[bytes], int
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], len(words)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": []}
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            kept, n = _kept_words(text, ranges)
-            out["n_words"].append(n)
-            out["n_removed"].append(n - len(kept))
-            out["kept_text"].append(b" ".join(kept).decode())
-        rest = [c for c in batch.schema.names if c != "ranges"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_text"], pa.string())], names=[*rest, *out])
+def _cut(names: tuple[str, str]):  # noqa: ANN202
+    """Adds n_words, n_removed and kept_text by the columns of a text and its ranges, which go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, names[0]):
+            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": []}
+            for text, ranges in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                kept, n = _kept_words(text, ranges)
+                out["n_words"].append(n)
+                out["n_removed"].append(n - len(kept))
+                out["kept_text"].append(b" ".join(kept).decode())
+            rest = [c for c in batch.schema.names if c not in names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_text"], pa.string())], names=[*rest, *out])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
-    """``docs`` with n_words, n_removed and kept_text (the remaining words joined by one space)."""
+    """``docs`` with n_words, n_removed and kept_text (the remaining words joined by one space).
+
+    With an ``index``, passages of the documents that went through it before count as well, and the index learns ``docs``.
+    """
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    ranges = stored(covered(docs, batches, index).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("a", "n")).alias("ranges")).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "ranges"))
-    rows = docs.select(*columns).withColumn("_k", F.hash("text"))
-    joined = rows.join(ranges, (rows["doc_id"].cast("long") == ranges["_id"]) & (rows["_k"] == ranges["_rk"]), "left").select(*columns, "ranges")
+    text, ranges, key, hashed, left = (free_name(docs, c) for c in ("text", "ranges", "key", "hash", "left"))
+    used = index or FingerprintIndex(docs.sparkSession)
+    found = stored(covered(docs.select("doc_id", "text"), used, batches).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("a", "n")).alias(ranges)).select(F.col("doc_id").alias(key), F.col("rk").alias(hashed), ranges))
+    if index is None:
+        used.drop()
+    rows = docs.select(*columns, F.col("text").cast("string").alias(text)).withColumn(left, F.hash(text))
+    joined = rows.join(found, (rows["doc_id"].cast("long") == found[key]) & (rows[left] == found[hashed]), "left").select(*columns, text, ranges)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
-    return joined.mapInArrow(_cut, f"{schema}, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(_cut((text, ranges)), f"{schema}, n_words long, n_removed long, kept_text string")

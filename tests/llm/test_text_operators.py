@@ -115,12 +115,45 @@ def test_substring_copies_in_one_document(spark, batches):
 
 def test_index_is_incremental(spark, odd):
     index = substring.FingerprintIndex(spark, fanout=2)
-    prints = substring.fingerprints(odd)
+    rows = substring.run_rows(odd)
     for doc in (1, 2, 10):
-        index.append(prints.filter(f"doc_id = {doc}"))
+        index.append(rows.filter(f"doc_id = {doc}"))
     assert len(index.runs) < 3  # compacted
-    hit = index.probe(prints.filter("doc_id = 3").select("h").distinct())
+    hit = index.probe(rows.filter("doc_id = 3").select("h").distinct())
     assert {r["doc_id"] for r in hit.collect()} <= {1, 2, 10} and hit.count() > 0
+    index.drop()
+    assert not index.runs
+
+
+def test_batches_lose_no_window(spark):
+    """Documents that come in several calls lose the same words as in one, although earlier texts aren't there any more."""
+    draw = random.Random(3)
+    pool = [" ".join(f"p{k}_{i}" for i in range(draw.randrange(51, 130))) for k in range(6)]
+    rows = []
+    for doc in range(40):
+        parts = [f"u{doc}_{i}" for i in range(draw.randrange(30))]
+        for _ in range(draw.randrange(3)):
+            passage = draw.choice(pool).split()
+            cut = draw.randrange(20)
+            parts += passage[cut:] + [f"v{doc}_{draw.randrange(99)}_{i}" for i in range(draw.randrange(25))]
+        rows.append((doc, " ".join(parts)))
+    want = brute_repeats(rows)
+    assert sum(n * k for (_, _, n, _), k in want.items()) > 500
+    index, got = substring.FingerprintIndex(spark, fanout=3), Counter()
+    cuts = [0, *sorted(draw.sample(range(1, 40), 3)), 40]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = substring.remove_repeats(spark.createDataFrame(rows[a:b], "doc_id long, text string"), batches=1, index=index)
+        got += Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in part.collect())
+    assert got == want
+    index.drop()
+
+
+def test_substring_keeps_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "a", "b", "c", 1), (2, text, "a", "b", "c", 2)], "doc_id long, text string, ranges string, TEXT_ string, key string, n_removed int")
+    got = substring.remove_repeats(docs, batches=1)
+    assert got.columns == ["doc_id", "text", "ranges", "TEXT_", "key", "n_words", "n_removed", "kept_text"]
+    assert {tuple(r)[2:7] for r in got.collect()} == {("a", "b", "c", 60, 0), ("a", "b", "c", 60, 60)}
 
 
 # quality
