@@ -1,23 +1,30 @@
 """HTML extraction with wrappers inferred as union-free regular expressions.
 
-A page is a stream of tokens: block-level tags and text. Inline tags and white space are no structure; scripts, styles and comments
-are skipped. Adjacent repeats of a group of tokens collapse into a repeated group, ``(...)+``. The streams of one host's
-pages are aligned one after the other with the host's wrapper: a group that only one side has becomes optional, ``(...)?``; a group that
-is repeated on one side becomes repeated; every text is a slot. Only distinct streams travel, with their numbers of pages and of
-characters in each slot, so a host with a third of all pages costs its distinct streams.
-
-Slots are labelled once per host. A slot is boilerplate if an element around it says so, by its tag, role, class or id (menus, headers,
-footers, sidebars, notices, adverts, forms, comments). Among the others, those inside an article or main element are content; in a host
-without one, those inside the container that holds the most text over all pages. Then each page is parsed by its host's
-wrapper, and the texts of content slots, cut into blocks by block-level tags, are the main text.
-
-Defined cases: null or empty html gives the empty text; a null or odd url belongs to host ''; a stream that a wrapper can't parse
-(none of the pages that made it) takes the labels by the elements around its slots; rows that repeat a page are kept.
+A page is a stream of tokens: block-level tags (with their classes, digits made alike; ids differ from page to page and are left out)
+and text. Inline tags and white space are no structure; scripts, styles and comments are skipped. Adjacent equal elements collapse
+into a repeated group, ``(...)+``, whatever their size. The streams of one host's pages are aligned one after the other with
+the host's wrapper: a group that only one side has becomes optional, ``(...)?``; a group that is repeated on one side becomes repeated; every
+text is a slot. Only distinct streams travel, with sums over the texts of each slot, so a host with a third of all pages costs its distinct streams.
+
+Slots are labelled once per host, from all texts that the host's pages have there:
+
+* *template*: a single slot that holds the same text on CONSTANT pages or more, while other slots of the host vary;
+* *set apart*: most of its texts stand in elements that say so by tag, role, class or id (menus, headers, footers, sidebars, notices,
+  adverts, forms, comments), a prior that needs no second page;
+* *marked*: most stand in an article or main element, or in one whose class or id says content;
+* *body*: what neither holds a constant text nor mostly links, inside the element that holds the most such text of the host.
+
+Then each page is parsed by its host's wrapper. If it has marked slots, those of the best mark are its main text (of a class or id,
+without template slots), otherwise its body slots are; their texts, cut into blocks by block-level tags, in page order.
+
+Defined cases: null or empty html gives the empty text; a null or odd url belongs to host ''; a page that its wrapper can't parse
+is labelled by the elements around its own slots; rows that repeat a page are kept; a tag that never ends is text; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as entities
 import json
 import re
@@ -28,9 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS, MAX_GROUP = 16, 12
+from .session import stored
+
+#: Streams of a host are folded in steps, by so many salts; constant texts need so many pages.
+SALTS, CONSTANT, LINKS = (256, 16), 3, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>")
+_DIGITS = re.compile(r"\d+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -49,48 +61,79 @@ _SPACES = re.compile(r"\s+")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, value): kind is 'open', 'close' or 'text'; value holds the attributes or the text."""
-    at, size = 0, len(page)
+    """(kind, name, value): kind is 'open', 'close' or 'text'; value holds the attributes or the text. In linear time: what
+    looks for an end and doesn't find it isn't looked for again."""
+    at, size, last = 0, len(page), page.rfind(">")
+    cdata, quotes = True, True
     while at < size:
-        m = _TOKEN.match(page, at)
-        if m is None:  # a tag that never ends
+        start = page.find("<", at)
+        if start < 0:
             yield "text", "", page[at:]
             return
-        at = m.end()
-        name = m[2]
-        if name is None:
-            whole = m[0]
-            if whole.startswith("<![CDATA["):
-                yield "text", "", whole[9:-3]
-            elif not whole.startswith(("<!", "<?")):
-                yield "text", "", whole
+        if start > at:
+            yield "text", "", page[at:start]
+        at = start
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
             continue
-        name = name.lower()
-        if m[1]:
-            yield "close", name, ""
+        if cdata and page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at + 9)
+            if end >= 0:
+                yield "text", "", page[at + 9 : end]
+                at = end + 3
+                continue
+            cdata = False
+        if at > last:  # no tag ends any more
+            yield "text", "", page[at:]
+            return
+        if page.startswith(("<!", "<?"), at):
+            at = page.find(">", at) + 1
             continue
-        if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+        m = _NAME.match(page, at)
+        if m is None:
+            yield "text", "", "<"
+            at += 1
             continue
-        yield "open", name, m[3] or ""
+        rest = _REST.match(page, m.end()) if quotes else None
+        if rest is None:  # from here on, quotes don't hide the end of a tag
+            quotes = False
+        end = rest.end() if rest else page.find(">", m.end()) + 1
+        closing, name, value = page[at + 1] == "/", m[1].lower(), page[m.end() : end - 1]
+        at = end
+        if closing:
+            yield "close", name, ""
+        elif name in _RAW:
+            found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = found.end() if found else size
+        else:
+            yield "open", name, value
 
 
 class Element:
-    __slots__ = ("bad", "good", "name", "path", "tag")
+    """A block-level element: what its and its ancestors' names say, and a key of the tags down to it."""
+
+    __slots__ = ("bad", "good", "key", "name", "parent", "tag")
 
     def __init__(self, name: str, attributes: str, parent: Element | None) -> None:
-        self.name = name
+        self.name, self.parent = name, parent
         found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         label = _CAMEL.sub("-", f"{found.get('class', '')} {found.get('id', '')}").strip()
         role = found.get("role", "").lower()
-        kind = "bad" if name in _BOILERPLATE_TAG or role in _BOILERPLATE_ROLE or (label and name not in ("body", "html", "article", "main") and _BOILERPLATE_NAME.search(label)) or "hidden" in found else ""
-        self.bad = bool(parent and parent.bad) or bool(kind)
+        bad = name in _BOILERPLATE_TAG or role in _BOILERPLATE_ROLE or (label and name not in ("body", "html", "article", "main") and _BOILERPLATE_NAME.search(label)) or "hidden" in found
+        self.bad = bool(parent and parent.bad) or bool(bad)
         own = name in _CONTENT_TAG or role in ("main", "article")
         soft = bool(label and _CONTENT_NAME.search(label)) and name not in ("body", "html")
         self.good = max(parent.good if parent else 0, 2 if own else 1 if soft else 0)
-        self.tag = name + (f".{'.'.join(sorted(label.lower().replace('/', '-').split()))}" if label else "") + (f"[{role}]" if role else "")
-        self.path = f"{parent.path if parent else ''}/{self.tag}"
+        classes = sorted(set(_DIGITS.sub("0", found.get("class", "").lower()).replace("/", "-").split()))
+        self.tag = name + (f".{'.'.join(classes)}" if classes else "") + (f"[{role}]" if role else "")
+        self.key = hashlib.blake2b(f"{parent.key if parent else ''}/{self.tag}".encode(), digest_size=8).hexdigest()
+
+    def inside(self, key: str) -> bool:
+        element: Element | None = self
+        while element is not None and element.key != key:
+            element = element.parent
+        return element is not None
 
 
 _ELEMENTS: dict[tuple, Element] = {}
@@ -108,31 +151,44 @@ def _element(name: str, attributes: str, parent: Element | None) -> Element:
 
 
 class Page:
-    """Structure tokens, and for each slot its element and its raw text."""
+    """Structure tokens, and for each slot its element, its raw text and how many characters of it are links."""
 
     def __init__(self, page: str) -> None:
         self.stream: list[str] = []
-        self.slots: list[tuple[Element | None, str]] = []
+        self.slots: list[tuple[Element | None, str, int]] = []
         stack: list[Element] = []
+        opened: Counter[str] = Counter()
         text: list[str] = []
+        links = linked = 0
 
         def flush() -> None:
+            nonlocal linked
             raw = "".join(text)
             text.clear()
             if raw.strip():
                 self.stream.append("#")
-                self.slots.append((stack[-1] if stack else None, raw))
+                self.slots.append((stack[-1] if stack else None, raw, linked))
+            linked = 0
+
+        def close() -> str:
+            name = stack.pop().name
+            opened[name] -= 1
+            self.stream.append("/" + name)
+            return name
 
         for kind, name, value in tokens(page):
             if kind == "text":
                 text.append(value)
+                linked += len(value) if links else 0
                 continue
+            if name == "a":
+                links = int(kind == "open")
             inline = name in _INLINE and not (kind == "open" and value and ("class" in value or "id" in value or "hidden" in value or "role" in value))
             if kind == "open" and inline:
                 if name in ("br", "img"):
                     text.append(" ")
                 continue
-            if kind == "close" and not any(e.name == name for e in stack):
+            if kind == "close" and not opened[name]:
                 if name == "p":
                     flush()
                 continue
@@ -140,55 +196,84 @@ class Page:
             if kind == "open":
                 if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "div", "ul", "ol", "section", "article", "table", "blockquote", "pre"):
                     while stack and (stack[-1].name == "p" or (stack[-1].name == name and name in ("li", "dt", "dd", "tr", "td", "th"))):
-                        self.stream.append("/" + stack.pop().name)
+                        close()
                 element = _element(name, value, stack[-1] if stack else None)
                 self.stream.append(element.tag)
                 if name in _VOID or value.rstrip().endswith("/"):
                     continue
                 stack.append(element)
+                opened[name] += 1
             else:
-                while stack:
-                    top = stack.pop()
-                    self.stream.append("/" + top.name)
-                    if top.name == name:
-                        break
+                while stack and close() != name:
+                    pass
         flush()
 
 
 # wrappers: lists of nodes; a node is a token (str), ["+", nodes] or ["?", nodes]
 
 
-def _key(node) -> str:  # noqa: ANN001
-    return node if isinstance(node, str) else json.dumps(_core(node), separators=(",", ":"))
+def _tag_name(token: str) -> str:
+    return token.split(".")[0].split("[")[0]
 
 
-def _core(node):  # noqa: ANN001, ANN202
-    return node if isinstance(node, str) else [_core(n) for n in node[1]]
+def collapse_with_slots(stream: list[str]) -> tuple[list, list[list[int]]]:
+    """Adjacent equal elements become one repeated group, from the inside out; and for each slot of the result the slots of ``stream``."""
+    kinds: dict[object, int] = {}
+    # a frame is an open element: its items are (kind, nodes, slots, is it an element)
+    frames: list[list[tuple[int, list, list[list[int]], bool]]] = [[]]
+    names: list[str] = []
 
+    def kind(of: object) -> int:
+        return kinds.setdefault(of, len(kinds))
 
-def collapse(stream: list) -> list:
-    """Adjacent repeats of up to MAX_GROUP nodes become repeated groups, shortest groups first."""
-    nodes = list(stream)
-    size = 1
-    while size <= MAX_GROUP:
-        keys = [_key(n) for n in nodes]
-        out, i, hit = [], 0, False
-        while i < len(nodes):
-            group = keys[i : i + size]
-            n = 1
-            # a group opens with a tag that it also closes, so that repeats are elements and not halves of them
-            whole = len(group) == size and (size == 1 and not isinstance(nodes[i], str) or (size > 1 and isinstance(nodes[i], str) and isinstance(nodes[i + size - 1], str) and nodes[i + size - 1] == "/" + nodes[i].split(".")[0].split("[")[0]))
-            while whole and keys[i + n * size : i + (n + 1) * size] == group:
-                n += 1
-            if n > 1:
-                out.append(["+", nodes[i : i + size]] if size > 1 else nodes[i])
-                i, hit = i + n * size, True
+    def put(item: tuple[int, list, list[list[int]], bool]) -> None:
+        own = frames[-1]
+        if item[3] and own and own[-1][3] and own[-1][0] == item[0]:
+            same, nodes, slots, _ = own[-1]
+            for kept, more in zip(slots, item[2], strict=True):
+                kept.extend(more)
+            own[-1] = (same, nodes if _is(nodes, "+") else [["+", nodes]], slots, True)
+        else:
+            own.append(item)
+
+    def flat(items: list) -> tuple[list, list[list[int]]]:
+        return [n for x in items for n in x[1]], [k for x in items for k in x[2]]
+
+    seen = 0
+    for token in stream:
+        if token == "#":
+            put((kind("#"), ["#"], [[seen]], False))
+            seen += 1
+        elif token[0] != "/":
+            name = _tag_name(token)
+            if name in _VOID:
+                put((kind(token), [token], [], False))
             else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
-        size = 1 if hit and size > 1 else size + 1
-    return nodes
+                frames.append([(kind(token), [token], [], False)])
+                names.append(name)
+        elif names and names[-1] == token[1:]:
+            names.pop()
+            items = frames.pop()
+            nodes, slots = flat(items)
+            put((kind(tuple(x[0] if not _is(x[1], "+") else -1 - x[0] for x in items)), [*nodes, token], slots, True))
+        else:
+            put((kind(token), [token], [], False))
+    while len(frames) > 1:  # elements that never end
+        items = frames.pop()
+        frames[-1].extend(items)
+    return flat(frames[0])
+
+
+def collapse(stream: list[str]) -> list:
+    return collapse_with_slots(stream)[0]
+
+
+def unrolled(nodes: list) -> list[str]:
+    """The stream in which each group of a collapsed one stands once."""
+    out: list[str] = []
+    for n in nodes:
+        out.extend([n] if isinstance(n, str) else unrolled(n[1]))
+    return out
 
 
 def _plain(node) -> str:  # noqa: ANN001
@@ -208,9 +293,9 @@ def _units(nodes: list) -> list[tuple[str, list]]:
             i += 1
             continue
         if n[0] != "/" and n != "#":
-            depth_name = "/" + n.split(".")[0].split("[")[0]
+            depth_name = "/" + _tag_name(n)
             j = i + 1
-            while j < len(nodes) and j - i < MAX_GROUP and isinstance(nodes[j], str) and nodes[j] == "#":
+            while j < len(nodes) and isinstance(nodes[j], str) and nodes[j] == "#":
                 j += 1
             if j < len(nodes) and nodes[j] == depth_name:
                 out.append(("(" + "".join(x + " " for x in nodes[i : j + 1]) + ")", nodes[i : j + 1]))
@@ -292,82 +377,61 @@ def parse(wrapper: list, stream: list[str]) -> list[tuple[int, ...]] | None:
     return slots if run(wrapper, 0, ()) == len(stream) else None
 
 
-def _slot_elements(wrapper: list) -> dict[tuple[int, ...], Element | None]:
-    """The element around each slot, from the wrapper's own tags."""
-    found: dict[tuple[int, ...], Element | None] = {}
-    stack: list[Element] = []
+#: Sums of a slot over texts: texts, those in elements that are set apart, in a marked element, in an article or main, characters, of these in links.
+_SUMS = ("n", "bad", "soft", "good", "chars", "link")
 
-    def run(nodes: list, place: tuple[int, ...]) -> None:
-        for k, node in enumerate(nodes):
-            if not isinstance(node, str):
-                run(node[1], (*place, k))
-            elif node == "#":
-                found[(*place, k)] = stack[-1] if stack else None
-            elif node[0] == "/":
-                for n in range(len(stack) - 1, -1, -1):
-                    if stack[n].name == node[1:]:
-                        del stack[n:]
-                        break
-            else:
-                name, _, role = node.partition("[")
-                name, *classes = name.split(".")
-                attributes = (f' class="{" ".join(classes)}"' if classes else "") + (f' role="{role[:-1]}"' if role else "")
-                element = Element(name, attributes, stack[-1] if stack else None)
-                if name not in _VOID:
-                    stack.append(element)
-
-    run(wrapper, ())
-    return found
+
+def _block(raw: str) -> str:
+    return _SPACES.sub(" ", entities.unescape(raw)).strip()
 
 
 class Wrapper:
-    def __init__(self, nodes: list, volume: dict[str, int]) -> None:
-        """volume: characters of all pages of the host by the path of the element around them."""
+    """A host's expression and the labels of its slots."""
+
+    def __init__(self, nodes: list, slots: list[dict]) -> None:
+        """slots: per place its sums, the pages that have it, the least and largest hash of its texts, and the element around its own."""
         self.nodes = nodes
-        self.explicit = max([0, *(self._grade(p) for p in volume)])
-        self.container = ""
-        if not self.explicit:
-            inside: Counter[str] = Counter()
-            for path, n in volume.items():
-                if not self._bad(path):
-                    inside[path.rsplit("/", 1)[0]] += n
-            self.container = max(inside, key=lambda p: (inside[p], -len(p), p), default="")
-        self.labels = {place: self.wanted(element) for place, element in _slot_elements(nodes).items()}
-
-    @staticmethod
-    def _element(path: str) -> Element | None:
-        element = None
-        for part in path.split("/")[1:]:
-            name, _, role = part.partition("[")
-            name, *classes = name.split(".")
-            element = Element(name, (f' class="{" ".join(classes)}"' if classes else "") + (f' role="{role[:-1]}"' if role else ""), element)
-        return element
-
-    def _bad(self, path: str) -> bool:
-        element = self._element(path)
-        return bool(element and element.bad)
-
-    def _grade(self, path: str) -> int:
-        element = self._element(path)
-        return element.good if element and not element.bad else 0
-
-    def wanted(self, element: Element | None) -> bool:
-        if element is None:
-            return not self.explicit and not self.container
-        if element.bad:
-            return False
-        return element.good >= self.explicit if self.explicit else element.path.startswith(self.container)
+        self.apart, self.template, self.mark, self.linked = set(), set(), {}, set()
+        constant = {tuple(x["place"]) for x in slots if x["lo"] == x["hi"] and x["pages"] >= CONSTANT and x["n"] == x["pages"]}
+        varies = any(tuple(x["place"]) not in constant and 2 * x["bad"] <= x["n"] for x in slots)
+        weight: Counter[str] = Counter()
+        for x in slots:
+            place = tuple(x["place"])
+            if 2 * x["bad"] > x["n"]:
+                self.apart.add(place)
+                continue
+            self.mark[place] = 2 if 2 * x["good"] > x["n"] else 1 if 2 * x["soft"] > x["n"] else 0
+            if varies and place in constant:
+                self.template.add(place)
+            elif x["link"] > LINKS * x["chars"]:
+                self.linked.add(place)
+            else:
+                weight[x["around"]] += x["chars"]
+        self.container = max(weight, key=lambda k: (weight[k], k), default="")
+
+    def _main(self, slots: list, places: list | None) -> list[bool]:
+        """Which slots of a page are its main text."""
+        if places is None:
+            apart = [bool(e and e.bad) for e, _, _ in slots]
+            mark = [e.good if e else 0 for e, _, _ in slots]
+            off, linked = [False] * len(slots), [link > LINKS * len(raw) for _, raw, link in slots]
+        else:
+            apart = [p in self.apart for p in places]
+            mark = [self.mark.get(p, 0) for p in places]
+            off, linked = [p in self.template for p in places], [p in self.linked for p in places]
+        best = max((m for m, x in zip(mark, apart, strict=True) if not x), default=0)
+        if best == 2:
+            return [m == 2 and not x for m, x in zip(mark, apart, strict=True)]
+        if best == 1:
+            return [m == 1 and not x and not t for m, x, t in zip(mark, apart, off, strict=True)]
+        body = [not x and not t and not k for x, t, k in zip(apart, off, linked, strict=True)]
+        inside = [b and (not self.container or bool(e and e.inside(self.container))) for b, (e, _, _) in zip(body, slots, strict=True)]
+        return inside if any(inside) else body
 
     def text(self, page: Page) -> str:
-        places = parse(self.nodes, page.stream)
-        blocks = []
-        for k, (element, raw) in enumerate(page.slots):
-            wanted = self.labels.get(places[k]) if places is not None else None
-            if self.wanted(element) if wanted is None else wanted and not (element and element.bad):
-                block = _SPACES.sub(" ", entities.unescape(raw)).strip()
-                if block:
-                    blocks.append(block)
-        return "\n\n".join(blocks)
+        main = self._main(page.slots, parse(self.nodes, page.stream))
+        blocks = (_block(raw) for (_, raw, _), wanted in zip(page.slots, main, strict=True) if wanted)
+        return "\n\n".join(b for b in blocks if b)
 
 
 def host(url: str | None) -> str:
@@ -375,24 +439,45 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+_STAT = "n long, bad long, soft long, good long, chars long, link long, pages long, lo long, hi long, around string"
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct streams of each host with their pages, and characters by path."""
-    pages: Counter[tuple[str, str]] = Counter()
-    volume: Counter[tuple[str, str]] = Counter()
+    """Distinct streams of each host with sums over each of their slots (slot -1: over pages)."""
+    found: dict[tuple[str, str, int], list] = {}
+    names = ["host", "stream", "slot", *_SUMS, "pages", "lo", "hi", "around"]
+    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 9, pa.string()]
 
     def flush() -> pa.RecordBatch:
-        rows = [(h, s, None, n) for (h, s), n in pages.items()] + [(h, None, p, n) for (h, p), n in volume.items()]
-        pages.clear(), volume.clear()
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["host", "stream", "path", "n"])
+        rows = [(*k, *v) for k, v in found.items()]
+        found.clear()
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    def add(key: tuple[str, str, int], row: list) -> None:
+        old = found.get(key)
+        if old is None:
+            found[key] = row
+        else:
+            old[:7] = [a + b for a, b in zip(old[:7], row[:7], strict=True)]
+            old[7], old[8], old[9] = min(old[7], row[7]), max(old[8], row[8]), min(old[9], row[9])
 
     for batch in batches:
         for h, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(text or "")
-            pages[h, json.dumps(collapse(page.stream), separators=(",", ":"))] += 1
-            for element, raw in page.slots:
-                volume[h, element.path if element else ""] += len(raw)
-        if len(pages) + len(volume) > 20_000:
+            nodes, slots = collapse_with_slots(page.stream)
+            stream = json.dumps(nodes, separators=(",", ":"))
+            add((h, stream, -1), [0, 0, 0, 0, 0, 0, 1, 0, 0, ""])
+            for k, own in enumerate(slots):
+                row = [0, 0, 0, 0, 0, 0, 1, 2**63 - 1, -(2**63), ""]
+                for element, raw, link in (page.slots[i] for i in own):
+                    x = int.from_bytes(hashlib.blake2b(_block(raw).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                    bad, good = bool(element and element.bad), element.good if element else 0
+                    row[:6] = [a + b for a, b in zip(row[:6], (1, bad, good > 0, good > 1, len(raw), link), strict=True)]
+                    row[7], row[8] = min(row[7], x), max(row[8], x)
+                    row[9] = element.parent.key if element and element.parent else ""
+                add((h, stream, k), row)
+        if len(found) > 20_000:
             yield flush()
     yield flush()
 
@@ -408,25 +493,46 @@ def _fold_salted(table: pa.Table) -> pa.Table:
     return pa.table({"host": pa.array([table.column("host")[0].as_py()]), "stream": pa.array([_fold(streams)]), "n": pa.array([sum(n for _, n in streams)], pa.int64())})
 
 
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The place in its host's wrapper of each slot of a stream."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for h, stream, wrapper, slots in zip(*(batch.column(c).to_pylist() for c in ("host", "stream", "wrapper", "slots")), strict=True):
+            places = parse(json.loads(wrapper), unrolled(json.loads(stream)))
+            if places is not None:
+                rows.extend((h, json.dumps(places[x["slot"]]), *(x[c] for c in (*_SUMS, "pages", "lo", "hi", "around"))) for x in slots)
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 12
+        names = ["host", "place", *_SUMS, "pages", "lo", "hi", "around"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), *[pa.int64()] * 9, pa.string()], strict=True)], names=names)
+
+
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in (*_SUMS, "pages")]
+    return rows.groupBy(*keys).agg(*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("around").alias("around"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, volume): a host's wrapper and its characters by path, both as JSON."""
-    found = pages.mapInArrow(_streams, "host string, stream string, path string, n long").groupBy("host", "stream", "path").agg(F.sum("n").alias("n"))
-    streams = found.filter("stream is not null").select("host", "stream", "n", F.pmod(F.xxhash64("stream"), F.lit(SALTS)).alias("salt"))
-    salted = streams.groupBy("host", "salt").applyInArrow(_fold_salted, "host string, stream string, n long")
-    whole = salted.groupBy("host").applyInArrow(_fold_salted, "host string, stream string, n long").select("host", F.col("stream").alias("wrapper"))
-    volume = found.filter("path is not null").groupBy("host").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "n"))))).alias("volume"))
-    return whole.join(volume, "host", "left")
+    """(host, wrapper, slots): a host's wrapper, and what its labels are made of, both as JSON."""
+    found = stored(_summed(pages.mapInArrow(_streams, f"host string, stream string, slot int, {_STAT}"), "host", "stream", "slot"))
+    folded = found.filter("slot < 0").select("host", "stream", F.col("pages").alias("n"))
+    for salts in SALTS:
+        folded = folded.groupBy("host", F.pmod(F.xxhash64("stream"), F.lit(salts)).alias("salt")).applyInArrow(_fold_salted, "host string, stream string, n long")
+    whole = stored(folded.groupBy("host").applyInArrow(_fold_salted, "host string, stream string, n long").select("host", F.col("stream").alias("wrapper")))
+    slots = found.filter("slot >= 0").groupBy("host", "stream").agg(F.collect_list(F.struct("slot", *_SUMS, "pages", "lo", "hi", "around")).alias("slots"))
+    placed = _summed(slots.join(whole, "host").mapInArrow(_place, f"host string, place string, {_STAT}"), "host", "place")
+    labels = placed.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.from_json("place", "array<int>").alias("place"), *_SUMS, "pages", "lo", "hi", "around")))).alias("slots"))
+    return whole.join(labels, "host", "left")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, Wrapper] = {}
     for batch in batches:
         out = []
-        for h, text, wrapper, volume in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper", "volume")), strict=True):
+        for h, text, wrapper, slots in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper", "slots")), strict=True):
             if h not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[h] = Wrapper(json.loads(wrapper or "[]"), json.loads(volume or "{}"))
+                known[h] = Wrapper(json.loads(wrapper or "[]"), json.loads(slots or "[]"))
             out.append(known[h].text(Page(text or "")))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -1,8 +1,10 @@
 """Chat, neighbours, extraction, pieces and scoring against plain restatements."""
 
 import hashlib
+import json
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -155,6 +157,52 @@ def test_wrapper_is_a_regular_expression():
     assert w == ["hr", ["?", [["+", p]]]]
 
 
+def opaque(k, template=True):
+    """A page of a host whose tags and classes tell nothing; what is the same on all pages is template."""
+    same = ["<div class=x1><div>Our company has the best offers of all</div></div>", "<div class=x2><div>Terms and conditions apply to everything here</div></div>"]
+    paragraphs = "".join(f"<div class=t{k}{i}>Paragraph {i} of story {k} has its own words</div>" for i in range(1 + k % 3))
+    return page((same[0] if template else "") + f"<div class=x3 id=n{k}><div>Title {k}</div><div class=x4>Read it to the end, dear reader</div>{paragraphs}</div>" + same[1])
+
+
+def test_wrapper_decides_without_telling_tags(spark, monkeypatch):
+    rows = [(k, f"http://o.example/{k}", opaque(k)) for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(df).collect()}
+    for k in range(9):
+        assert got[k].split("\n\n") == [f"Title {k}"] + [f"Paragraph {i} of story {k} has its own words" for i in range(1 + k % 3)]
+    # ids and numbers in classes don't make every page a kind of its own: a few streams, one short wrapper
+    streams = {json.dumps(extraction.collapse(extraction.Page(html).stream)) for _, _, html in rows}
+    assert len(streams) <= 3
+    # without the wrapper, the same text that stands on every page stays
+    page_of, alone = extraction.Page(opaque(1)), extraction.Wrapper([], [])
+    assert "Read it to the end" in alone.text(page_of) and "best offers" in alone.text(page_of)
+
+
+def test_one_article_does_not_empty_its_host(spark):
+    rows = [(k, f"http://m.example/{k}", page(f"<article><p>Story {k}</p></article>" if k == 0 else f"<div class=content><p>Note {k}</p></div>" if k < 4 else f"<div><p>Plain words {k}</p></div>")) for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "Story 0", **{k: f"Note {k}" for k in range(1, 4)}, **{k: f"Plain words {k}" for k in range(4, 8)}}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    rows = [(k, "http://c.example/1", page("<div><p>The same words on each copy</p><p>and more of them</p></div>")) for k in range(5)]
+    got = {r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"The same words on each copy\n\nand more of them"}
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<a '", '<a ">" ', "<![CDATA[", "<!--", "</a ", "<", "<svg>", "<div>", "<b class=x>"])
+def test_odd_markup_takes_linear_time(bad):
+    html = bad * (1_000_000 // len(bad))
+    start = time.time()
+    for _ in extraction.tokens(html + "<p>end</p>"):
+        pass
+    for _ in extraction.tokens(html):
+        pass
+    assert time.time() - start < 20
+    deep = extraction.Page(bad * 4000 + "<p>end")
+    assert extraction.parse(extraction.collapse(deep.stream), deep.stream) is not None
+
+
 def test_extraction_query(spark):
     rows = QUERIES["op8_extraction"](spark, MIDDLE).collect()
     html = pq.read_table(f"{MIDDLE}/pages.parquet").to_pydict()
