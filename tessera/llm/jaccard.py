@@ -13,7 +13,8 @@ A document's set holds the hashes of its distinct SHINGLE-word shingles. Two set
 * Pairs are counted over the short lists. Two sets share at most what their prefixes share, and what lies behind the longer prefix;
   pairs for which that isn't enough are dropped before any set is fetched. Of the others, a set's best partner is compared
   first; later only pairs of different components are, so a group of near copies doesn't cost all its pairs.
-* Answer-level skipping: in a long list (over SHORT entries) every set is first compared with the list's leader only.
+* Answer-level skipping: in a long list (over SHORT entries) every set is first compared with the list's leader only, the set with
+  the fewest elements that long lists don't have: what a group of near copies has in common is likest to that.
   Sets that link to it are answered by its component. What is left, sets of different components, derives its candidates
   from the leader's answers: d(x, y) >= |d(x, leader) - d(y, leader)|, so partners whose distance to the leader differs by
   more than the threshold are skipped without looking at them.
@@ -184,8 +185,7 @@ _FOUND = "a long, b long, kind int, meta long, lead long, c long"
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, kind, meta, lead, c): kind 0 pairs of nodes that c short lists hold, with their sizes (lead: how many of these could
-    be the first that they share, and LEADER for a pair with the leader of a long list), 1 entries (token, node) of long
-    lists, 2 nodes that c lists hold with others."""
+    be the first that they share), 1 entries (token, node) of long lists, 2 nodes that c lists hold with others."""
     held: list[tuple[np.ndarray, ...]] = []
     waiting = 0
 
@@ -206,13 +206,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, lead = np.add.reduceat(c, head), np.where(kind[head] == 0, np.add.reduceat(lead * (kind == 0), head), lead[head])
         return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(kind[head].astype(np.int32)), pa.array(meta[head]), pa.array(lead), pa.array(c)], names=["a", "b", "kind", "meta", "lead", "c"])
 
-    def put_pairs(x: np.ndarray, y: np.ndarray, lead: int | None) -> None:
+    def put_pairs(x: np.ndarray, y: np.ndarray) -> None:
         near = 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
         x, y = x[near], y[near]
         swap = node[x] > node[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         first = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= _least_overlap(n[x], n[y])
-        put(node[x], node[y], 0, (n[x] << 32) | n[y], first.astype(np.int64) if lead is None else lead, np.full(len(x), int(lead is None)))
+        put(node[x], node[y], 0, (n[x] << 32) | n[y], first.astype(np.int64), np.ones(len(x), np.int64))
 
     for rows, start, size in _lists(batches):
         node, n, pos = rows["node"], rows["meta"] >> 32, rows["meta"] & 0xFFFFFFFF
@@ -221,10 +221,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(at):
                 i, j = np.triu_indices(k, 1)
                 x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                put_pairs(x, y, None)
+                put_pairs(x, y)
         for at, k in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-            put(np.full(k, int(rows["token"][at])), node[at : at + k], 1, rows["meta"][at : at + k], int(node[at]), np.zeros(k, np.int64))
-            put_pairs(np.full(k - 1, at), np.arange(at + 1, at + k), LEADER)
+            put(np.full(k, int(rows["token"][at])), node[at : at + k], 1, rows["meta"][at : at + k], 0, np.zeros(k, np.int64))
         if len(start):
             inside = np.zeros(len(node) + 1, dtype=np.int64)
             inside[start] += 1
@@ -237,6 +236,22 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of long lists with their list's leader, and its size."""
+    for rows, start, size in _lists(batches):
+        n = rows["meta"] >> 32
+        alone = n - _tail(n) - rows["l"]  # elements of the prefix that no long list has
+        out = {c: [] for c in ("token", "node", "meta", "lead", "size")}
+        for at, k in zip(start.tolist(), size.tolist(), strict=True):
+            best = at + int(np.lexsort((rows["node"][at : at + k], alone[at : at + k]))[0])
+            for c in ("token", "node", "meta"):
+                out[c].append(rows[c][at : at + k])
+            out["lead"].append(np.full(k, rows["node"][best]))
+            out["size"].append(np.full(k, n[best]))
+        if len(start):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
+
+
 def _later_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in long lists that no bound excludes."""
     for columns, start, size in _lists(batches):
@@ -353,9 +368,18 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     lists = rows.mapInArrow(prefixes, "token long, node long, meta long").repartition("token").sortWithinPartitions("token", "node")
     found = stored(lists.mapInArrow(_candidates, _FOUND))
-    long = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "meta", "lead")
-    held = stored(long.groupBy("node").agg(F.count("*").alias("l")))
-    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("lead").alias("lead"), F.any_value("meta").alias("meta")).filter("lead > 0")
+    entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "meta")
+    held = stored(entries.groupBy("node").agg(F.count("*").alias("l")))
+    led = entries.join(held, "node").repartition("token").sortWithinPartitions("token", "node").mapInArrow(_leaders, "token long, node long, meta long, lead long, size long")
+    long = stored(led) if not held.isEmpty() else None
+    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("lead").alias("lead"), F.any_value("meta").alias("meta"))
+    if long is not None:
+        lead, own = F.col("lead") < F.col("node"), F.expr("shiftright(meta, 32)")
+        sizes = F.shiftleft(F.when(lead, F.col("size")).otherwise(own), 32) + F.when(lead, own).otherwise(F.col("size"))
+        near = 100 * F.least("size", own) >= PERCENT * F.greatest("size", own)
+        with_leaders = long.filter((F.col("lead") != F.col("node")) & near).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"), F.lit(0).cast("long").alias("c"), F.lit(LEADER).alias("lead"), sizes.alias("meta")).distinct()
+        pairs = pairs.unionByName(with_leaders).groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("lead").alias("lead"), F.any_value("meta").alias("meta"))
+    pairs = pairs.filter("lead > 0")
     viable = stored(_viable(pairs, held))
     sides = viable.select(F.col("a").alias("node"), F.col("b").alias("other"), "c").unionByName(viable.select(F.col("b").alias("node"), F.col("a").alias("other"), "c"))
     best = sides.groupBy("node").agg(F.max(F.struct("c", "other")).alias("m")).select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b"))
@@ -364,10 +388,10 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = stored(components(links))
     of = {side: label.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")) for side in "ab"}
     later = viable.join(of["a"], "a", "left").join(of["b"], "b", "left").filter(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))).select("a", "b")
-    if not held.isEmpty():
-        far = tried.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("common") / F.col("both")).alias("far"))
+    if long is not None:
+        distance = (1 - F.col("common") / F.col("both")).alias("far")
+        far = tried.select(F.col("a").alias("lead"), F.col("b").alias("node"), distance).unionByName(tried.select(F.col("b").alias("lead"), F.col("a").alias("node"), distance))
         shared = found.filter("kind = 2").groupBy(F.col("a").alias("node")).agg(F.sum("c").alias("q"))
-        # a leader is the smallest node of its list
         known = long.join(label, "node", "left").join(far, ["lead", "node"], "left").join(shared, "node")
         known = known.select("token", "node", "meta", "lead", F.coalesce("component", "node").alias("label"), F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan")))).alias("far"), "q")
         later = later.unionByName(known.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_later_pairs, "a long, b long")).distinct()
