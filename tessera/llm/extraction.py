@@ -521,7 +521,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     slots = found.filter("slot >= 0").groupBy("host", "stream").agg(F.collect_list(F.struct("slot", *_SUMS, "pages", "lo", "hi", "around")).alias("slots"))
     placed = _summed(slots.join(whole, "host").mapInArrow(_place, f"host string, place string, {_STAT}"), "host", "place")
     labels = placed.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.from_json("place", "array<int>").alias("place"), *_SUMS, "pages", "lo", "hi", "around")))).alias("slots"))
-    return whole.join(labels, "host", "left")
+    # stored, so that the join with the pages has two plain sides and a host with a third of all pages is split
+    return stored(whole.join(labels, "host", "left"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
