@@ -52,13 +52,13 @@ def ece_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH x AS (SELECT l_suppkey AS g, l_extendedprice AS s, l_returnflag = 'N' AS y FROM lineitem WHERE l_orderkey % 4 = 0)
+WITH x AS (SELECT l_suppkey AS g, l_extendedprice AS s, l_returnflag = 'N' AS y FROM lineitem)
 SELECT p.g AS l_suppkey, count(DISTINCT p.id)::BIGINT AS positives, (SELECT count(*) FROM x z WHERE z.g = p.g AND NOT z.y)::BIGINT AS negatives, round(avg(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END), 9) AS accuracy
 FROM (SELECT g, s, row_number() OVER () AS id FROM x WHERE y) p JOIN (SELECT g, s FROM x WHERE NOT y) n ON n.g = p.g GROUP BY p.g"""
 )
 def pairwise_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E6 (also the area under the curve of a group): by ranks, without pairs. Over one order in four; ``pairwise_accuracy_whole`` has all."""
-    return order_accuracy(table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0"))
+    """E6 (also the area under the curve of a group): by ranks, without pairs."""
+    return order_accuracy(table(spark, sf_dir, "lineitem"))
 
 
 def order_accuracy(x: DataFrame) -> DataFrame:
@@ -68,13 +68,13 @@ def order_accuracy(x: DataFrame) -> DataFrame:
 
 @query(
     """
-WITH r AS (SELECT l_returnflag = 'N' AS y, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS k FROM lineitem WHERE l_suppkey = 7),
-h AS (SELECT y, k, sum(CASE WHEN y THEN 1 ELSE 0 END) OVER (ORDER BY k) AS hits FROM r) SELECT count(*)::BIGINT AS positives, round(avg(hits / k), 9) AS average_precision FROM h WHERE y"""
+WITH r AS (SELECT l_suppkey, l_returnflag = 'N' AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS k FROM lineitem),
+h AS (SELECT l_suppkey, y, k, sum(CASE WHEN y THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY k) AS hits FROM r) SELECT l_suppkey, count(*)::BIGINT AS positives, round(avg(hits / k), 9) AS average_precision FROM h WHERE y GROUP BY l_suppkey"""
 )
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of one supplier; ``average_precision_whole`` has all."""
-    x = table(spark, sf_dir, "lineitem").filter("l_suppkey = 7").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return metrics.average_precision(x, "l_extendedprice", F.col("l_returnflag") == "N", "id").select("positives", F.round("average_precision", 9).alias("average_precision"))
+    """Of every supplier."""
+    x = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return metrics.average_precision(x, "l_extendedprice", F.col("l_returnflag") == "N", "id", "l_suppkey").select("l_suppkey", "positives", F.round("average_precision", 9).alias("average_precision"))
 
 
 @query(
@@ -103,12 +103,12 @@ def oracle_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_+\-.]+')[1:96]) AS tok FROM conversations WHERE conv_id % 4 = 0)
+WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_+\-.]+')[1:96]) AS tok FROM conversations)
 SELECT conv_id, turn, ('0x' || substr(sha1(tok), 1, 12))::BIGINT % 256 AS "column", count(*)::DOUBLE AS value FROM t GROUP BY ALL"""
 )
 def token_hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E8, over one conversation in four; ``token_hash_features_whole`` has all."""
-    return turn_features(table(spark, sf_dir, "conversations").filter("conv_id % 4 = 0"))
+    """E8."""
+    return turn_features(table(spark, sf_dir, "conversations"))
 
 
 def turn_features(c: DataFrame) -> DataFrame:
@@ -118,11 +118,11 @@ def turn_features(c: DataFrame) -> DataFrame:
 @query(
     """
 SELECT doc_id, len(messages)::INTEGER AS n_messages, messages[1] AS first_content, md5(array_to_string(messages, '|')) AS digest FROM (
-SELECT doc_id, list_filter(['You are ' || lang, 'Edit document ' || doc_id || ' from ' || source, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substr(text, 1, 40) END], lambda x: x IS NOT NULL) AS messages FROM documents)"""
+SELECT doc_id, list_filter(['You are ' || lang, 'Edit document ' || doc_id || ' from ' || source, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END], lambda x: x IS NOT NULL) AS messages FROM documents)"""
 )
 def sft_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E14, F29."""
     d = table(spark, sf_dir, "documents")
-    m = features.chat_messages(("system", F.concat(F.lit("You are "), "lang")), ("user", F.format_string("Edit document %d from %s", "doc_id", "source")), ("assistant", F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 40))))
+    m = features.chat_messages(("system", F.concat(F.lit("You are "), "lang")), ("user", F.format_string("Edit document %d from %s", "doc_id", "source")), ("assistant", F.when(F.col("doc_id") % 3 != 0, F.col("text"))))
     x = d.select("doc_id", F.transform(m, lambda t: t["content"]).alias("c"))
     return x.select("doc_id", F.size("c").alias("n_messages"), F.col("c")[0].alias("first_content"), F.md5(F.array_join("c", "|")).alias("digest"))
