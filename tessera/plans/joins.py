@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -165,7 +165,7 @@ WITH {_PARTS} SELECT a.id AS a, b.id AS b, a.core, round(b.v - a.v, 6) AS delta
 def mmp_core_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one core whose sizes differ little."""
     p = table(spark, sf_dir, "part").filter("p_size between 5 and 20").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("atoms"), F.col("p_retailprice").alias("v"), F.array("p_type").alias("cores"))
-    x = pairs.shared_part_pairs(p, [], "id", "cores", ["atoms", "v"]).filter((F.abs(F.col("a_atoms") - F.col("b_atoms")) <= 2) & pairs.improved(F.col("a_v"), F.col("b_v"), least=1))
+    x = pairs.shared_part_pairs(p, [], "id", "cores", ["atoms", "v"], (F.abs(F.col("a_atoms") - F.col("b_atoms")) <= 2) & pairs.improved(F.col("a_v"), F.col("b_v"), least=1))
     return x.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("part").alias("core"), F.round(F.col("b_v") - F.col("a_v"), 6).alias("delta"))
 
 
@@ -181,7 +181,8 @@ def fragment_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("f"))
     # the two largest: longer first, ties in ascending text order
     top = F.transform(F.slice(F.array_sort(F.transform("f", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("x")))), 1, 2), lambda s: s["x"])
-    x = pairs.shared_part_pairs(p.withColumn("top", top), [], "id", "top", ["f"]).filter("a_id < b_id and n_parts >= 2")
+    x = pairs.shared_part_pairs(p.withColumn("top", top), [], "id", "top", [], F.col("a_id") < F.col("b_id")).filter("n_parts >= 2")
+    x = x.join(p.select(F.col("id").alias("a_id"), F.col("f").alias("a_f")), "a_id").join(p.select(F.col("id").alias("b_id"), F.col("f").alias("b_f")), "b_id")
     return x.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("n_parts").alias("shared"), F.round(S.jaccard(F.col("a_f"), F.col("b_f")), 9).alias("similarity"))
 
 
