@@ -53,6 +53,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> None:
+    """Delete the folder of a ``stored`` frame that nothing reads any more."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` doesn't have, in any case of letters."""
     taken = {c.lower() for c in docs.columns}

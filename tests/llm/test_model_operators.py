@@ -100,6 +100,47 @@ def test_neighbours(spark):
     assert neighbours.near_duplicates(df.limit(0))[0].count() == 0
 
 
+def test_neighbours_of_every_length(spark):
+    rows = [(k, [float(k + 1), 1.0, 0.0, 2.0]) for k in range(5)] + [(10, [1.0, 2.0, 3.0]), (11, [1.0, 2.0, 3.0]), (12, [1.1, 2.0, 3.0]), (13, [-1.0, 2.0])]
+    got, reached = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = brute_neighbours(rows[:5]) | brute_neighbours(rows[5:8]) | {(13, 0, 13, True)}
+    assert {tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()} == want and reached == 1
+
+
+def test_neighbours_of_tight_subgroups(spark):
+    """Two groups, tight inside and linked across, and a vector near to all: longer lists hold the own group only."""
+    rng = np.random.default_rng(8)
+
+    def turned(a, b, cosine):
+        b = b - a * (a @ b)
+        return cosine * a + math.sqrt(1 - cosine**2) * b / np.linalg.norm(b)
+
+    first = np.eye(64)[0]
+    second, third = turned(first, rng.normal(size=64), 0.96), turned(first, rng.normal(size=64), 0.88)
+    rows = [(100 * g + k, turned(base, rng.normal(size=64), 0.9995).tolist()) for g, base in enumerate((first, second)) for k in range(90)]
+    rows += [(500, third.tolist())] + [(1000 + k, rng.normal(size=64).tolist()) for k in range(400)]
+    got, _ = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()} == brute_neighbours(rows)
+
+
+def test_ties_outlive_lists(spark, monkeypatch):
+    """Links that no list keeps still join components."""
+    monkeypatch.setattr(neighbours, "K", 2)
+    monkeypatch.setattr(neighbours, "MOST", 2)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=16)
+    rows = [(k, (base + rng.normal(size=16) * 0.15).tolist()) for k in range(120)]
+    got, _ = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()} == brute_neighbours(rows)
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "recall", lambda *_: 0.5)
+    monkeypatch.setattr(neighbours, "RETRIES", 0)
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_duplicates(spark.createDataFrame([(1, [1.0]), (2, [1.0])], "vec_id long, embedding array<double>"))
+
+
 def test_block_pairs(spark, monkeypatch):
     """Components larger than a block are compared block by block."""
     monkeypatch.setattr(neighbours, "BLOCK", 16)
