@@ -166,9 +166,12 @@ def _refine(lists: DataFrame, nodes: DataFrame, turn: int, most: int) -> DataFra
 
 
 def _parted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges and ties of compared runs; the ties are stored."""
+    """Edges and ties of compared runs. A node with several ties keeps the one to the smallest node; the other nodes are tied
+    to that one instead. The ties are stored."""
     tie = F.isnan("sim")
-    return found.filter(~tie), stored(found.filter(tie).select("a", "b").distinct())
+    least = found.filter(tie).select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
+    ties = least.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("t")).select("t.*")
+    return found.filter(~tie), stored(ties.filter("a <> b").distinct())
 
 
 def _descend(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:

@@ -8,26 +8,29 @@ Short texts have noisy histograms, so each distance has a minimum length below w
 Two base rules stand before the method: fewer than 10 words, or more than a fifth of the words in 5-word
 windows that the text repeats.
 
-Defined cases: null or empty text has no words and fails the base rules; a language with fewer than
-MIN_SHARE of all documents (or null) has no reference of its own, and such documents are held against the
-nearest of the references there are, the largest FALLBACK at most; without any reference only the base rules
-hold. At most 1 / MIN_SHARE languages have a reference, which bounds what goes to the executors.
+Every language with MIN_REFERENCE words or more has a reference (some 700 bytes). They go to the executors
+PASS languages at a time; a table with more takes further passes over its rows.
+
+Defined cases: null or empty text has no words and fails the base rules; for a language with fewer words than
+MIN_REFERENCE no distance can be counted (they are 0), so only the base rules hold; documents without a language
+are held against the nearest of all references, or the base rules alone if there is none.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import stored
+from .session import free_name, stored
 from .text import WORDS, Words, chunks, mix, per_document, signed, window_starts
 
-COMMON, MIN_SHARE, FALLBACK = 40, 0.001, 16
+COMMON, MIN_REFERENCE, PASS = 40, 1000, 8192
 #: A distance over LIMIT + SLACK / sqrt(words) is too far: the histogram of a short text is noisy.
 CHAR_LIMIT, CHAR_SLACK, WORD_LIMIT, WORD_SLACK = 0.25, 0.35, 0.42, 0.5
 MIN_CHAR_WORDS, MIN_WORD_WORDS = 20, 30
@@ -130,13 +133,10 @@ def references(docs: DataFrame) -> dict[str, dict]:
     top = top.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).filter(F.col("_r") <= COMMON).select("lang", "kind", "key", "n")
     total = per_word.groupBy("lang").agg(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), F.sum("n").alias("n"))
     small = counts.filter("kind = 1")
-    size = small.filter(F.col("key") == N_CLASSES).select("lang", F.col("n").alias("_docs"))
-    everything = size.agg(F.sum("_docs").alias("_all"))
-    known = size.filter("lang is not null").crossJoin(F.broadcast(everything)).filter(F.col("_docs") >= MIN_SHARE * F.col("_all")).select("lang", "_docs")
-    found: dict[str, dict] = defaultdict(lambda: {"words": [], "classes": np.zeros(N_CLASSES), "total": 0, "docs": 0})
-    for lang, kind, key, n, docs_of in top.unionByName(total).unionByName(small).join(known, "lang").collect():
+    known = total.filter((F.col("n") >= MIN_REFERENCE) & F.col("lang").isNotNull()).select("lang")
+    found: dict[str, dict] = defaultdict(lambda: {"words": [], "classes": np.zeros(N_CLASSES), "total": 0})
+    for lang, kind, key, n in top.unionByName(total).unionByName(small).join(known, "lang").collect():
         ref = found[lang]
-        ref["docs"] = docs_of
         if kind == 0:
             ref["words"].append((n, key))
         elif kind == 2:
@@ -144,7 +144,7 @@ def references(docs: DataFrame) -> dict[str, dict]:
         elif key < N_CLASSES:
             ref["classes"][key] = n
     out = {}
-    for lang, ref in sorted(found.items(), key=lambda x: (-x[1]["docs"], x[0])):
+    for lang, ref in sorted(found.items()):
         if ref["total"] and ref["classes"].sum():
             pairs = sorted((key, n) for n, key in ref["words"])
             share = np.array([n for _, n in pairs] + [ref["total"] - sum(n for _, n in pairs)]) / ref["total"]
@@ -166,14 +166,15 @@ def _shares(counts: np.ndarray) -> np.ndarray:
 
 
 def distances(words: Words, h: np.ndarray, classes: np.ndarray, langs: list, model: dict[str, dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Per document the distance of its classes and of its common words; zeros where there is no reference."""
-    by_class, by_word = np.zeros(words.n_docs), np.zeros(words.n_docs)
+    """Per document the distance of its classes and of its common words; infinite where there is no reference."""
+    by_class, by_word = np.full(words.n_docs, np.inf), np.full(words.n_docs, np.inf)
     row_of = words.doc_of_word()
-    known = np.array([x in model for x in langs], dtype=bool)
-    other = list(model)[:FALLBACK]
-    for lang in ({x for x in langs if x in model} | (set(other) if not known.all() else set())):
+    missing = np.array([x is None for x in langs], dtype=bool)
+    for lang in model if missing.any() else {x for x in langs if x in model}:
         ref = model[lang]
-        docs = np.array([x == lang for x in langs], dtype=bool) | (~known if lang in other else False)
+        docs = np.array([x == lang for x in langs], dtype=bool) | missing
+        if not docs.any():
+            continue
         at = np.flatnonzero(docs)
         place = np.full(words.n_docs, -1)
         place[at] = np.arange(len(at))
@@ -185,8 +186,7 @@ def distances(words: Words, h: np.ndarray, classes: np.ndarray, langs: list, mod
         hist = np.bincount(row * (k + 1) + slot, minlength=len(at) * (k + 1)).reshape(len(at), k + 1)
         c, w = js_distance(_shares(classes[at]), ref["classes"]), js_distance(_shares(hist), ref["words"])
         for store, value in ((by_class, c), (by_word, w)):
-            fresh = known[at] | (store[at] == 0)
-            store[at] = np.where(fresh, value, np.minimum(store[at], value))
+            store[at] = np.minimum(store[at], value)
     return by_class, by_word
 
 
@@ -196,20 +196,31 @@ def judge(docs: DataFrame, model: dict[str, dict] | None = None) -> DataFrame:
     added = f"{BASE}, js_chars double, js_words double, base_failed boolean, kept boolean"
     names = [x.split()[0] for x in added.split(", ")]
     columns = [c for c in docs.columns if c not in names]
+    text_name, lang_name = free_name(docs, "_text"), free_name(docs, "_lang")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            text = batch.column("_text")
+    def measured(batches: Iterator[pa.RecordBatch], part: dict[str, dict], first: bool, carried: list[str]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text_name):
+            text = batch.column(text_name)
             words = Words(text)
-            base = base_counts(text, words)
-            n, repeat = base[0], base[4]
-            by_class, by_word = distances(words, Words(text, lower=True).hashes(), class_counts(words), batch.column("_lang").to_pylist(), model)
-            failed = (n < 10) | (100 * repeat > 20 * n)
-            noise = 1 / np.sqrt(np.maximum(n, 1))
-            off = ((n >= MIN_CHAR_WORDS) & (by_class > CHAR_LIMIT + CHAR_SLACK * noise)) | ((n >= MIN_WORD_WORDS) & (by_word > WORD_LIMIT + WORD_SLACK * noise))
-            rest = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, base), pa.array(by_class), pa.array(by_word), pa.array(failed), pa.array(~failed & ~off)], names=[*columns, *names])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
-    rows = docs.select(*columns).withColumn("_text", F.col("text").cast("string")).withColumn("_lang", F.col("lang").cast("string"))
-    return rows.mapInArrow(score, f"{schema}, {added}")
+            found = distances(words, Words(text, lower=True).hashes(), class_counts(words), batch.column(lang_name).to_pylist(), part)
+            if first:
+                base = [pa.array(c) for c in base_counts(text, words)]
+            else:
+                base = [batch.column(c) for c in names[:5]]
+                found = tuple(np.minimum(new, batch.column(c).to_numpy()) for new, c in zip(found, names[5:7], strict=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *base, *map(pa.array, found)], names=[*carried, *names[:7]])
+
+    rows = docs.select(*columns).withColumn(text_name, F.col("text").cast("string")).withColumn(lang_name, F.col("lang").cast("string"))
+    types, langs = dict(rows.dtypes), list(model)
+    for start in range(0, max(len(langs), 1), PASS):
+        part = {x: model[x] for x in langs[start : start + PASS]}
+        carried = columns if start + PASS >= len(langs) else [*columns, text_name, lang_name]
+        schema = ", ".join(f"`{c}` {types[c]}" for c in carried)
+        rows = rows.mapInArrow(partial(measured, part=part, first=start == 0, carried=carried), f"{schema}, {BASE}, js_chars double, js_words double")
+    for c in names[5:7]:
+        rows = rows.withColumn(c, F.when(F.col(c) < float("inf"), F.col(c)).otherwise(0.0))
+    n = F.col("n_words")
+    noise = 1 / F.sqrt(F.greatest(n, F.lit(1)))
+    failed = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
+    off = ((n >= MIN_CHAR_WORDS) & (F.col("js_chars") > CHAR_LIMIT + CHAR_SLACK * noise)) | ((n >= MIN_WORD_WORDS) & (F.col("js_words") > WORD_LIMIT + WORD_SLACK * noise))
+    return rows.select(*columns, *names[:7], failed.alias("base_failed"), (~failed & ~off).alias("kept"))

@@ -197,6 +197,66 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality.judge(empty).count() == 0
 
 
+def brute_distance(p, q):
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    half = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+    return math.sqrt(max((half(p) + half(q)) / 2, 0))
+
+
+def brute_classes(text):
+    kinds = [0] * 7
+    for c in text:
+        k = 6 if ord(c) > 127 else 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if c in " \t\n\x0b\f\r" else 4 if c in ".,;:?'\"()-" else 5
+        kinds[k] += 1
+    return [k / max(sum(kinds), 1) for k in kinds]
+
+
+def brute_verdict(rows):
+    """(js_chars, js_words, kept) by row; no language has more than 40 different words."""
+    held = defaultdict(list)
+    for _, text, lang in rows:
+        held[lang].append(text)
+    refs = {}
+    for lang, parts in held.items():
+        count = Counter(w.lower() for t in parts for w in words(t))
+        if lang is not None and count.total() >= quality.MIN_REFERENCE:
+            refs[lang] = (brute_classes("".join(parts)), count)
+    out = []
+    for _, text, lang in rows:
+        own = Counter(w.lower() for w in words(text))
+        n = own.total()
+        chars, near = [], []
+        for name, (classes, count) in refs.items():
+            if lang in (name, None):
+                vocabulary = sorted(count)
+                chars.append(brute_distance(brute_classes(text), classes))
+                mine = [own[w] / n for w in vocabulary]
+                near.append(brute_distance([*mine, 1 - sum(mine) if any(w not in count for w in own) else 0], [*(count[w] / count.total() for w in vocabulary), 0]))
+        c, w = min(chars, default=0), min(near, default=0)
+        off = (n >= 20 and c > 0.25 + 0.35 / math.sqrt(n)) or (n >= 30 and w > 0.42 + 0.5 / math.sqrt(n))
+        out.append((c, w, not off and not brute_base(text)[-1]))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [8192, 1])
+def test_quality_verdict(spark, monkeypatch, at_once):
+    """A language of few documents has its own reference, one of few words has none, and those without a language take the nearest."""
+    monkeypatch.setattr(quality, "PASS", at_once)
+    rng = random.Random(5)
+    vocabulary = {"en": [f"The{i}" if i % 3 else f"and-{i}," for i in range(30)], "ja": [f"日本{chr(0x3041 + i)}" for i in range(30)], "xx": ["q0", "q1", "q2", "q3", "q4", "q5", "q6"]}
+
+    def text(lang, n):
+        return " ".join(rng.choices(vocabulary[lang], weights=range(1, len(vocabulary[lang]) + 1), k=n))
+
+    rows = [(k, text("en", 60), "en") for k in range(400)] + [(1000 + k, text("ja", 60), "ja") for k in range(17)] + [(2000, text("xx", 60), "xx")]
+    rows += [(3000 + k, text(lang, 80), None) for k, lang in enumerate(("en", "ja", "xx"))] + [(4000, " ".join(rng.choices(vocabulary["ja"][:9], k=90)), "en"), (4001, "#$% " * 3 + text("xx", 70), "ja")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for (doc, _, _), (c, w, kept) in zip(rows, brute_verdict(rows), strict=True):
+        r = got[doc]
+        assert abs(r["js_chars"] - c) < 1e-6 and abs(r["js_words"] - w) < 1e-6 and r["kept"] == kept
+    assert got[1000]["kept"] and got[2000]["js_words"] == 0 and got[3000]["kept"] and got[3001]["kept"] and not got[4000]["kept"]
+
+
 def test_js_distance():
     import numpy as np
 
