@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     if found is None:
         context = spark.sparkContext
         known = context._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tessera-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
