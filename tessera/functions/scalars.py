@@ -6,6 +6,7 @@ that reproduce a text rule treat NULL as the empty string and say so.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -226,6 +227,11 @@ def ligand_id(monomer: Column, reactant_set: Column) -> Column:
     return F.coalesce(F.concat(F.lit("BDBM"), some(monomer)), F.concat(F.lit("BDBR"), some(reactant_set)), F.lit(""))
 
 
+def graded_confidence(relation: Column) -> Column:
+    """F16: three levels: exact, censored, anything else."""
+    return F.when(relation == "=", 0.8).when(relation.isin("<", ">", "<=", ">="), 0.65).otherwise(0.55)
+
+
 def id_after(c: Column, mark: str = "_cid") -> Column:
     """what follows a mark, up to the next underscore."""
     return F.regexp_extract(text(c), mark + "([^_]+)", 1)
@@ -236,6 +242,11 @@ def has_p_suffix(endpoint: Column) -> Column:
     return text(endpoint).rlike("_p(" + "|".join(STRICT_TYPES) + ")$")
 
 
+def has_dynamic_suffix(endpoint: Column, suffixes: Sequence[str] = ("_pChEMBL", "_pKi", "_pIC50", "_pKd", "_pEC50")) -> Column:
+    """endpoint names that end in one of the given suffixes, case included."""
+    return reduce(lambda a, b: a | b, (text(endpoint).endswith(s) for s in suffixes))
+
+
 def year(c: Column) -> Column:
     """the last four characters, if they are digits."""
     return F.when(text(c).rlike("[0-9]{4}$"), F.right(text(c), F.lit(4)).cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,34 @@ def violations(df: DataFrame, row_id: str, rules: Sequence[tuple[str, Column]])
     return df.select(F.col(row_id).cast("string").alias("row_id"), F.explode(broken).alias("rule"))
 
 
+def schema_rules(schema: Mapping) -> list[tuple[str, Column]]:
+    """V7: rules for ``violations`` from a JSON schema: required (present, not NULL), const and enum; a NULL breaks
+    its required rule only."""
+    rules = [(f"required:{name}", F.col(name).isNull()) for name in schema.get("required", ())]
+    for name, rule in schema.get("properties", {}).items():
+        if "const" in rule:
+            rules.append((f"const:{name}", F.col(name) != F.lit(rule["const"])))
+        if "enum" in rule:
+            rules.append((f"enum:{name}", ~F.col(name).isin(*rule["enum"])))
+    return rules
+
+
+def split_statistics(df: DataFrame, split: str, kind: str, molecules: Sequence[str], endpoint: str) -> DataFrame:
+    """V6: per split its rows, positives, negatives, molecules (over several columns, empty ones apart) and endpoints."""
+    counts = df.groupBy(split).agg(F.count("*").alias("rows"), F.count_if(F.col(kind) == "positive").alias("positive"), F.count_if(F.col(kind) == "negative").alias("negative"), F.count_distinct(endpoint).alias("unique_endpoints"))
+    every = df.select(split, F.explode(F.array(*(F.col(m).cast("string") for m in molecules))).alias("m")).filter("m <> ''")
+    return counts.join(every.groupBy(split).agg(F.count_distinct("m").alias("unique_molecules")), split, "left").fillna(0, ["unique_molecules"])
+
+
+def prompt_audit(df: DataFrame, split: str, source: str, messages: str, most: float = 0.6) -> DataFrame:
+    """V5: rows and prompt lengths of each split and source, and whether one source has more than ``most`` of its split.
+    ``messages`` is an array of structs with a content; NULL contents and lists count 0 characters."""
+    chars = F.aggregate(F.coalesce(F.transform(messages, lambda m: F.coalesce(F.length(m["content"]), F.lit(0))), F.array().cast("array<int>")), F.lit(0), lambda a, b: a + b)
+    per = df.withColumn("_chars", chars).groupBy(split, F.coalesce(F.col(source), F.lit("unknown")).alias(source)).agg(F.count("*").alias("rows"), F.avg("_chars").alias("mean_prompt_chars"), F.max("_chars").alias("max_prompt_chars"))
+    total = per.groupBy(split).agg(F.sum("rows").alias("_total"), F.count("*").alias("_sources"))
+    return per.join(total, split).withColumn("imbalanced", (F.col("_sources") > 1) & (F.col("rows") > most * F.col("_total"))).drop("_total", "_sources")
+
+
 def duplicates(df: DataFrame, key: str, rule: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).cast("string").alias("row_id"), F.lit(rule).alias("rule"))
 

@@ -20,6 +20,32 @@ def ranked_metrics(queries: DataFrame, ranked: DataFrame, answers: DataFrame, k:
     return out.select("query_id", F.coalesce("success", F.lit(0)).alias("success"), F.coalesce(1 / F.col("_first"), zero).alias("mrr"), F.coalesce(F.when(F.col("_ideal") > 0, F.col("_dcg") / F.col("_ideal")), zero).alias("ndcg"), F.coalesce("diversity", zero).alias("diversity"))
 
 
+def prediction_summary(queries: DataFrame, ranked: DataFrame, answers: DataFrame, k: int = 10) -> DataFrame:
+    """E1-E3 over all queries, in one row. ``ranked``: query_id, pos (from 1), item (NULL if the structure is invalid); ``answers``:
+    query_id, item, seq, confidence, success, experimental, scaffold_retained. The last answer of an item is its match, the ideal
+    order counts every answer; queries without predictions score 0, predictions without a query are only counted."""
+    known = queries.select("query_id").distinct()
+    top = ranked.filter(F.col("pos") <= k).join(known, "query_id", "left_semi")
+    valid = answers.filter(F.col("item").isNotNull())
+    last = valid.groupBy("query_id", "item").agg(F.max_by(F.struct("confidence", "success", "experimental", "scaffold_retained"), "seq").alias("m"))
+    hits = top.join(last, ["query_id", "item"], "left").withColumn("gain", F.when(F.coalesce("m.success", F.lit(True)), F.coalesce("m.confidence", F.lit(0.0))).otherwise(0.0))
+    dcg = F.sum(F.col("gain") / F.log2(F.col("pos") + 1))
+    seen = lambda c: F.max(F.coalesce(F.col(c), F.lit(False)).cast("int"))
+    per = hits.groupBy("query_id").agg(
+        F.max((F.col("gain") > 0).cast("int")).alias("success"), seen("m.experimental").alias("fidelity"), seen("m.scaffold_retained").alias("scaffold"),
+        (F.count_distinct("item") / F.count("*")).alias("diversity"), (1 / F.min(F.when(F.col("gain") > 0, F.col("pos")))).alias("mrr"), dcg.alias("_dcg"), F.count("*").alias("_n"), F.count("item").alias("_valid"),
+    )
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence")))
+    ideal = valid.select("query_id", F.col("confidence").alias("gain"), "confidence").withColumn("pos", place).filter(F.col("pos") <= k).groupBy("query_id").agg(dcg.alias("_ideal"))
+    out = known.join(per, "query_id", "left").join(ideal, "query_id", "left").withColumn("ndcg", F.when(F.col("_ideal") > 0, F.col("_dcg") / F.col("_ideal")))
+    mean = [F.avg(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("success", "fidelity", "scaffold", "diversity", "mrr", "ndcg")]
+    total = out.agg(F.count("*").alias("n_queries"), F.count_if(F.col("_n").isNull()).alias("missing"), (F.sum("_valid") / F.sum("_n")).alias("validity"), *mean)
+    unique = top.agg((F.count_distinct("item") / F.nullif(F.count("item"), F.lit(0))).alias("uniqueness"))
+    extra = ranked.join(known, "query_id", "left_anti").agg(F.count_distinct("query_id").alias("extra"))
+    # three tables of one row
+    return total.crossJoin(F.broadcast(unique)).crossJoin(F.broadcast(extra)).fillna(0.0)
+
+
 def calibration_bins(df: DataFrame, confidence: str, outcome: str, bins: int = 10) -> DataFrame:
     """Per bin its rows, mean confidence and accuracy, and the share of |difference| in the error; values outside 0 to 1 count
     in the denominator only."""
