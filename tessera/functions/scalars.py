@@ -346,6 +346,12 @@ def grouped_number(c: Column) -> Column:
     return F.format_number(c, 0)
 
 
+def badge(recommendation: Column) -> Column:
+    """class of a recommendation by its words."""
+    low = F.lower(text(recommendation))
+    return F.when(low.contains("strong"), "strong").when(low.contains("usable"), "usable").when(low.contains("lower"), "low").otherwise("proxy")
+
+
 def number_text(c: Column, digits: int = 6) -> Column:
     """rounded to text; empty for missing numbers."""
     return F.coalesce(F.round(number(c), digits).cast("string"), F.lit(""))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import frequent, hash_sample
+
 
 def distinct_text(c: str) -> Column:
     """Distinct non-empty values of a text column."""
@@ -27,6 +29,34 @@ def replicates(df: DataFrame, keys: Sequence[str], value: str, evidence: Sequenc
     return out.select(*(c for c in out.columns if c != "_first"), *((F.col("_first")[c].alias(c)) for c in first)) if first else out
 
 
+def supported_replicates(df: DataFrame, molecule: str, endpoint: str, keys: Sequence[str], value: str, supported: Column, least: int) -> DataFrame:
+    """A3: replicates of the supported endpoints (NULL: not supported), for molecules with ``least`` different ones or more. A molecule
+    is judged on the collapsed rows, which are fewer than the observations."""
+    collapsed = replicates(df.filter(supported), [molecule, endpoint, *keys], value)
+    enough = collapsed.groupBy(molecule).agg(F.count_distinct(endpoint).alias("_n")).filter(F.col("_n") >= least).select(molecule)
+    return collapsed.join(enough, molecule, "left_semi")
+
+
+def capped_replicates(df: DataFrame, molecule: str, endpoint: str, value: str, top: int, cap: int, seed: str) -> DataFrame:
+    """A4: replicates of the ``top`` endpoints with the most molecules (ties by name), at most ``cap`` molecules of each by a seeded
+    hash; the cap is the feature."""
+    collapsed = replicates(df, [molecule, endpoint], value)
+    largest = frequent(collapsed, endpoint, top).select(endpoint)
+    return hash_sample(collapsed.join(F.broadcast(largest), endpoint, "left_semi"), [endpoint], F.col(molecule), cap, seed)
+
+
+def answer_records(df: DataFrame, keys: Sequence[str], seq: Column, target: str, positive: Column, order: Sequence[Column], negative_order: Sequence[Column], core: str, first: Sequence[str], least: int = 2) -> DataFrame:
+    """One row per query with the attributes of its first row by ``seq``, all its cores, and its positives and negatives (rows
+    whose ``positive`` is false), each target once (its first row wins), sorted; queries with fewer than ``least`` positives go.
+    Empty targets and cores don't count; rows with a NULL ``positive`` give attributes and cores only."""
+    x = df.withColumns({"_seq": seq, "_positive": positive, "_up": F.struct(*order, F.col(target)), "_down": F.struct(*negative_order, F.col(target))})
+    one = x.filter(F.col(target).cast("string") != "").filter(F.col("_positive").isNotNull()).groupBy(*keys, "_positive", target).agg(F.min_by(F.struct("_up", "_down"), "_seq").alias("_a"))
+    listed = lambda which, c: F.transform(F.array_sort(F.collect_list(F.when(which, F.col(f"_a.{c}")))), lambda a: a[target])
+    answers = one.groupBy(*keys).agg(listed(F.col("_positive"), "_up").alias("positives"), listed(~F.col("_positive"), "_down").alias("negatives")).filter(F.size("positives") >= least)
+    whole = x.groupBy(*keys).agg(F.min_by(F.struct(*first), "_seq").alias("_first"), F.array_sort(F.collect_set(F.when(F.col(core) != "", F.col(core)))).alias("cores"))
+    return answers.join(whole, list(keys)).select(*keys, *(F.col("_first")[c].alias(c) for c in first), "cores", "positives", "negatives")
+
+
 def profiles(df: DataFrame, molecule: str, endpoint: str, value: str, least: int = 1) -> DataFrame:
     """Median per molecule and endpoint, for molecules with ``least`` endpoints or more."""
     medians = df.groupBy(molecule, endpoint).agg(F.median(value).alias("median_value"))

@@ -48,6 +48,18 @@ def prompt_audit(df: DataFrame, split: str, source: str, messages: str, most: fl
     return per.join(total, split).withColumn("imbalanced", (F.col("_sources") > 1) & (F.col("rows") > most * F.col("_total"))).drop("_total", "_sources")
 
 
+def shape_audit(df: DataFrame, counts: Sequence[tuple[str, str, int]], texts: Sequence[str], direction: str, delta: str) -> DataFrame:
+    """V3: one row: per (number, JSON list, wanted) how often the number is another and how often the list's length is; per text how
+    often it is NULL or empty; changes against the direction. A list that is no JSON array has the wrong length."""
+    made = [F.count("*").alias("rows")]
+    for number, listed, wanted in counts:
+        made.append(F.count_if(~F.col(number).eqNullSafe(wanted)).alias(f"not_{wanted}_{number}"))
+        made.append(F.count_if(F.coalesce(F.json_array_length(F.col(listed)), F.lit(-1)) != wanted).alias(f"length_{listed}"))
+    made += [F.count_if(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "").alias(f"empty_{c}") for c in texts]
+    wrong = F.coalesce(F.when(F.col(direction) == "decrease", F.col(delta) >= 0).otherwise(F.col(delta) <= 0), F.lit(True))
+    return df.agg(*made, F.count_if(wrong).alias("wrong_direction"))
+
+
 def duplicates(df: DataFrame, key: str, rule: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).cast("string").alias("row_id"), F.lit(rule).alias("rule"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,13 @@ def prediction_summary(queries: DataFrame, ranked: DataFrame, answers: DataFrame
     return total.crossJoin(F.broadcast(unique)).crossJoin(F.broadcast(extra)).fillna(0.0)
 
 
+def pairwise_baselines(df: DataFrame, scores: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """For heuristics given as (score of the positive, score of the negative) the share of pairs in the right order, ties and
+    missing scores for one half, beside the 0.5 of chance; one pass for all of them."""
+    right = {name: F.when(a > b, 1.0).when(a < b, 0.0).otherwise(0.5) for name, (a, b) in scores.items()}
+    return df.agg(F.count("*").alias("pairs"), *(F.avg(c).alias(name) for name, c in right.items())).withColumn("chance", F.lit(0.5))
+
+
 def calibration_bins(df: DataFrame, confidence: str, outcome: str, bins: int = 10) -> DataFrame:
     """Per bin its rows, mean confidence and accuracy, and the share of |difference| in the error; values outside 0 to 1 count
     in the denominator only."""

@@ -272,3 +272,30 @@ def graded_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.when(k % 5 == 0, "=").when(k % 5 == 1, "<").when(k % 5 == 2, ">=").when(k % 5 == 3, "~")
     e = F.concat("event_type", F.when(k % 4 == 0, "_pKi").when(k % 4 == 1, "_pChEMBL").when(k % 4 == 2, "_pki").otherwise("_pKi_x"))
     return table(spark, sf_dir, "events").select(k, S.graded_confidence(r).alias("confidence"), S.has_dynamic_suffix(e).alias("dynamic"))
+
+
+@query(
+    """
+WITH x AS (SELECT l_orderkey, list(l_partkey) AS a, min(l_linenumber) + 1 AS n, CASE WHEN l_orderkey % 8 = 0 THEN ' ' WHEN l_orderkey % 9 <> 0 THEN 'edit' END AS t, CASE WHEN l_orderkey % 3 = 0 THEN 'decrease' ELSE 'increase' END AS d, round(max(l_discount) - max(l_tax), 6) AS c FROM lineitem GROUP BY l_orderkey)
+SELECT count(*)::BIGINT AS "rows", count_if(n <> 2)::BIGINT AS not_2_n, count_if(l_orderkey % 10 = 0 OR len(a) <> 2)::BIGINT AS length_answers, count_if(coalesce(trim(t), '') = '')::BIGINT AS empty_instruction,
+ count_if(CASE WHEN d = 'decrease' THEN c >= 0 ELSE c <= 0 END)::BIGINT AS wrong_direction FROM x"""
+)
+def shape_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: numbers, list lengths, empty texts and directions of final rows."""
+    k = F.col("l_orderkey")
+    x = table(spark, sf_dir, "lineitem").groupBy(k).agg(F.to_json(F.collect_list("l_partkey")).alias("a"), (F.min("l_linenumber") + 1).alias("n"), F.round(F.max("l_discount") - F.max("l_tax"), 6).alias("delta"))
+    x = x.withColumns({"answers": F.when(k % 10 == 0, "[broken").otherwise(F.col("a")), "instruction": F.when(k % 8 == 0, " ").when(k % 9 != 0, "edit"), "direction": F.when(k % 3 == 0, "decrease").otherwise("increase")})
+    return audit.shape_audit(x, [("n", "answers", 2)], ["instruction"], "direction", "delta")
+
+
+@query(
+    """
+WITH x AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q, max(l_discount) AS d FROM lineitem GROUP BY ALL), p AS (SELECT a.q AS aq, b.q AS bq, a.d AS ad, b.d AS bd FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)
+SELECT count(*)::BIGINT AS pairs, round(avg(CASE WHEN aq > bq THEN 1.0 WHEN aq < bq THEN 0.0 ELSE 0.5 END), 9) AS similarity, round(avg(CASE WHEN ad > bd THEN 1.0 WHEN ad < bd THEN 0.0 ELSE 0.5 END), 9) AS evidence, 0.5::DOUBLE AS chance FROM p"""
+)
+def pairwise_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two heuristics and chance on pairs of a positive and a negative."""
+    x = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("d"))
+    side = lambda n, p: x.filter(F.col("l_linenumber") == n).select("l_orderkey", F.col("q").alias(f"{p}q"), F.col("d").alias(f"{p}d"))
+    m = metrics.pairwise_baselines(side(1, "a").join(side(2, "b"), "l_orderkey"), {"similarity": (F.col("aq"), F.col("bq")), "evidence": (F.col("ad"), F.col("bd"))})
+    return m.select("pairs", F.round("similarity", 9).alias("similarity"), F.round("evidence", 9).alias("evidence"), "chance")

@@ -127,15 +127,66 @@ def audit_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH b AS (SELECT o_custkey, p_brand, arg_max(l_partkey, (l_extendedprice, -l_partkey)) AS best, max(l_extendedprice) AS delta FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)
-SELECT o_custkey, p_brand, best, delta FROM b"""
+WITH x AS (SELECT o_custkey, p_brand, l_partkey, l_extendedprice, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+c AS (SELECT o_custkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), '|') AS cores FROM x GROUP BY 1)
+SELECT o_custkey, p_brand, arg_max(l_partkey, (l_extendedprice, -l_partkey)) AS best, max(l_extendedprice) AS delta, any_value(cores) AS cores FROM x JOIN c USING (o_custkey) GROUP BY ALL"""
 )
 def best_answer_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer with the largest gain for every target."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    """The answer with the largest gain for every target of a query, and all cores of the query."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag")
     o, p = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     x = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey"))
-    return x.groupBy("o_custkey", "p_brand").agg(F.max_by("l_partkey", F.struct("l_extendedprice", -F.col("l_partkey"))).alias("best"), F.max("l_extendedprice").alias("delta"))
+    best = x.groupBy("o_custkey", "p_brand").agg(F.max_by("l_partkey", F.struct("l_extendedprice", -F.col("l_partkey"))).alias("best"), F.max("l_extendedprice").alias("delta"), F.collect_set("l_returnflag").alias("c"))
+    cores = best.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("c")))), "|").alias("cores"))
+    return best.drop("c").join(cores, "o_custkey")
+
+
+@query(
+    """
+WITH f AS (SELECT *, l_discount > 0.05 AS good, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, row_number() OVER (PARTITION BY l_orderkey, l_discount > 0.05, l_partkey ORDER BY l_linenumber, l_suppkey, l_extendedprice) AS z FROM lineitem),
+p AS (SELECT l_orderkey, to_json(list(l_partkey ORDER BY l_extendedprice DESC, l_partkey)) AS positives, count(*) AS n FROM f WHERE z = 1 AND good GROUP BY 1),
+n AS (SELECT l_orderkey, to_json(list(l_partkey ORDER BY l_tax DESC, l_extendedprice DESC, l_partkey)) AS negatives FROM f WHERE z = 1 AND NOT good GROUP BY 1)
+SELECT l_orderkey, max(CASE WHEN i = 1 THEN l_suppkey END) AS l_suppkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), '|') AS cores, any_value(positives)::VARCHAR AS positives, coalesce(any_value(negatives)::VARCHAR, '[]') AS negatives FROM f JOIN p USING (l_orderkey) LEFT JOIN n USING (l_orderkey) WHERE p.n >= 2 GROUP BY l_orderkey"""
+)
+def answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14 in full: attributes of the first row, cores, positives and negatives as JSON."""
+    li = table(spark, sf_dir, "lineitem").withColumns({"gain": -F.col("l_extendedprice"), "near": -F.col("l_tax")})
+    x = aggregate.answer_records(
+        li, ["l_orderkey"], F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), "l_partkey", F.col("l_discount") > 0.05, [F.col("gain")], [F.col("near"), F.col("gain")], "l_returnflag", ["l_suppkey"]
+    )
+    return x.select("l_orderkey", "l_suppkey", F.array_join("cores", "|").alias("cores"), F.to_json("positives").alias("positives"), F.to_json("negatives").alias("negatives"))
+
+
+@query(
+    """
+WITH m AS (SELECT user_id, event_type, event_id % 3 AS b, median(value) AS v, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL)
+SELECT user_id, event_type, b, v AS median_value, n::BIGINT AS n_values FROM m WHERE user_id IN (SELECT user_id FROM m GROUP BY user_id HAVING count(DISTINCT event_type) >= 3)"""
+)
+def supported_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: replicates of supported endpoints by bucket, for molecules with three endpoints or more."""
+    e = table(spark, sf_dir, "events").withColumn("b", F.col("event_id") % 3)
+    return aggregate.supported_replicates(e, "user_id", "event_type", ["b"], "value", F.col("event_type") != "error", 3).select("user_id", "event_type", "b", "median_value", "n_values")
+
+
+@query(
+    """
+WITH m AS (SELECT l_suppkey, l_partkey, median(l_extendedprice) AS v FROM lineitem GROUP BY ALL), t AS (SELECT l_suppkey FROM m GROUP BY 1 ORDER BY count(*) DESC, l_suppkey LIMIT 7),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY sha1('3|' || l_partkey)) AS k FROM m WHERE l_suppkey IN (SELECT l_suppkey FROM t)) SELECT l_suppkey, l_partkey, v AS median_value FROM r WHERE k <= 12"""
+)
+def capped_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: the largest endpoints, a sample of each."""
+    return aggregate.capped_replicates(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_extendedprice", 7, 12, "3").select("l_suppkey", "l_partkey", "median_value")
+
+
+@query(
+    """
+WITH b AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'Use as secondary constraint or silver training signal' WHEN p_partkey * 100 >= 10000 THEN 'Strong candidate for benchmark property' WHEN p_partkey * 100 >= 3000 THEN 'Usable candidate; inspect assay buckets' ELSE 'Lower coverage; use selectively or after expansion' END AS r FROM part)
+SELECT p_partkey, CASE WHEN r LIKE 'Strong%' THEN 'strong' WHEN r LIKE 'Usable%' THEN 'usable' WHEN r LIKE 'Lower%' THEN 'low' ELSE 'proxy' END AS badge FROM b"""
+)
+def recommendation_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F38, F39."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k, S.badge(S.sample_band(k * 100, F.when(k % 9 == 0, "proxy").otherwise("experimental"))).alias("badge"))
 
 
 @query(

@@ -67,3 +67,13 @@ def test_schema_rules(spark):
     df = spark.createDataFrame([(1, "train", 3), (2, None, 2), (3, "x", None)], "id int, split string, n int")
     rules = audit.schema_rules({"required": ["split"], "properties": {"split": {"enum": ["train"]}, "n": {"const": 3}, "id": {"type": "string"}}})
     assert sorted(map(tuple, audit.violations(df, "id", rules).collect())) == [("2", "const:n"), ("2", "required:split"), ("3", "enum:split")]
+
+
+def test_answer_records_keep_first_rows_and_all_cores(spark):
+    kind = "q int, i int, t string, d double, s double, good boolean, core string, a string"
+    df = spark.createDataFrame([(1, 2, "x", 9.0, 0.1, True, "c2", "late"), (1, 1, "x", 1.0, 0.1, True, "c1", "first"), (1, 3, "y", 5.0, 0.1, True, "", "z"), (1, 4, "n", 1.0, 0.2, False, None, "z"), (1, 5, "m", 1.0, 0.9, False, "c3", "z"), (1, 6, "", 1.0, 0.9, True, "c3", "z"), (1, 7, "k", 1.0, 0.9, None, "c4", "z"), (2, 1, "x", 1.0, 0.0, True, "c", "z")], kind)
+    from tessera.operators import aggregate
+
+    x = df.withColumns({"up": -F.col("d"), "near": -F.col("s")})
+    r = aggregate.answer_records(x, ["q"], F.col("i"), "t", F.col("good"), [F.col("up")], [F.col("near"), F.col("up")], "core", ["a"]).collect()
+    assert len(r) == 1 and (r[0]["a"], r[0]["cores"], r[0]["positives"], r[0]["negatives"]) == ("first", ["c1", "c2", "c3", "c4"], ["y", "x"], ["m", "n"])
