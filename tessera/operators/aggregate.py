@@ -48,7 +48,8 @@ def capped_replicates(df: DataFrame, molecule: str, endpoint: str, value: str, t
 def answer_records(df: DataFrame, keys: Sequence[str], seq: Column, target: str, positive: Column, order: Sequence[Column], negative_order: Sequence[Column], core: str, first: Sequence[str], least: int = 2) -> DataFrame:
     """One row per query with the attributes of its first row by ``seq``, all its cores, and its positives and negatives (rows
     whose ``positive`` is false), each target once (its first row wins), sorted; queries with fewer than ``least`` positives go.
-    Empty targets and cores don't count; rows with a NULL ``positive`` give attributes and cores only."""
+    Empty targets and cores don't count; rows with a NULL ``positive`` give attributes and cores only, and rows with
+    a NULL key go."""
     x = df.withColumns({"_seq": seq, "_positive": positive, "_up": F.struct(*order, F.col(target)), "_down": F.struct(*negative_order, F.col(target))})
     one = x.filter(F.col(target).cast("string") != "").filter(F.col("_positive").isNotNull()).groupBy(*keys, "_positive", target).agg(F.min_by(F.struct("_up", "_down"), "_seq").alias("_a"))
     listed = lambda which, c: F.transform(F.array_sort(F.collect_list(F.when(which, F.col(f"_a.{c}")))), lambda a: a[target])
@@ -85,6 +86,15 @@ def endpoint_summary(df: DataFrame, endpoint: str, molecule: str, value: str, bu
     return stats.join(mode, endpoint)
 
 
+def first_wins_summary(df: DataFrame, endpoint: str, molecule: str, bucket: str, value: str, attributes: Sequence[str], seq: str) -> DataFrame:
+    """Counts, distinct molecules and buckets, the range of values, and the attributes of each endpoint's first row by ``seq``."""
+    g = df.groupBy(endpoint).agg(
+        F.count("*").alias("n_rows"), F.count_distinct(molecule).alias("n_molecules"), F.count_distinct(bucket).alias("n_buckets"), F.min(value).alias("min_value"), F.max(value).alias("max_value"),
+        F.min_by(F.struct(*attributes), seq).alias("_first"),
+    )
+    return g.select(*(c for c in g.columns if c != "_first"), *(F.col("_first")[c].alias(c) for c in attributes))
+
+
 def group_size_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest, median and largest group."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.min("n").alias("least"), F.median("n").alias("middle"), F.max("n").alias("most"))

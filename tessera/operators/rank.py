@@ -20,7 +20,8 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 def capped_groups(df: DataFrame, cap_keys: Sequence[str], group: Sequence[str], order: Sequence[Column], emitted: Column, cap: int, least: int = 3) -> DataFrame:
     """Groups of ``least`` rows or more within each cap key, larger ones first (ties by ``group``); of the rows that are emitted
-    the first ``cap`` of each cap key. Sizes count all rows of a group, the cap only the emitted ones."""
+    the first ``cap`` of each cap key. Sizes count all rows of a group, the cap only the emitted ones;
+    rows with a NULL key are in no group and go."""
     keys = [*cap_keys, *group]
     sizes = df.groupBy(*keys).agg(F.count("*").alias("group_n")).filter(F.col("group_n") >= least)
     return top_k(df.filter(emitted).join(sizes, keys), cap_keys, [F.desc("group_n"), *(F.col(g) for g in group), *order], cap)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -26,9 +26,22 @@ SELECT l_partkey, l_suppkey, l_returnflag, median(l_extendedprice) AS median_val
  array_to_string(list_sort(list(l_orderkey))[1:3], ',') AS first_orders FROM lineitem GROUP BY ALL"""
 )
 def replicate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collected evidence, cut to the first three."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey", "l_returnflag")
-    return li.agg(F.median("l_extendedprice").alias("median_value"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), "|").alias("statuses"), F.array_join(F.slice(F.array_sort(F.collect_list("l_orderkey")), 1, 3).cast("array<string>"), ",").alias("first_orders"))
+    """Collected evidence, cut to the first three: only these rows are collected, whatever the group's size."""
+    keys = ["l_partkey", "l_suppkey", "l_returnflag"]
+    li = table(spark, sf_dir, "lineitem")
+    x = li.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("l_orderkey")))
+    g = x.groupBy(*keys).agg(F.median("l_extendedprice").alias("median_value"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), "|").alias("statuses"), F.array_sort(F.collect_list(F.when(F.col("_k") <= 3, F.col("l_orderkey")))).alias("a"))
+    return g.select(*keys, "median_value", "n", "statuses", F.array_join(F.col("a").cast("array<string>"), ",").alias("first_orders"))
+
+
+@query(
+    """
+SELECT event_type, count(*)::BIGINT AS n_rows, count(DISTINCT user_id)::BIGINT AS n_molecules, count(DISTINCT event_id % 90)::BIGINT AS n_buckets, min(value) AS min_value, max(value) AS max_value, arg_min(user_id, event_id) AS user_id, arg_min(props, event_id) AS props FROM events GROUP BY event_type"""
+)
+def first_wins_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12."""
+    e = table(spark, sf_dir, "events").withColumn("bucket", F.col("event_id") % 90)
+    return aggregate.first_wins_summary(e, "event_type", "user_id", "bucket", "value", ["user_id", "props"], "event_id")
 
 
 @query(
