@@ -72,4 +72,35 @@ comp AS (SELECT node, least(node, min(other)) AS c FROM reach GROUP BY node),
 same AS (SELECT a, least(a, min(b)) AS c FROM pairs WHERE c = na AND c = nb GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(same.c, doc_id) AS class_id, coalesce(comp.c, doc_id) AS component_id
 FROM sets LEFT JOIN same ON a = doc_id LEFT JOIN comp ON node = doc_id""",
+    "op12_urls": r"""
+WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+cut AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM (
+  SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
+  FROM u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)) WHERE k = 1""",
+    "op13_negatives": r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER w)::INTEGER AS rank, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) QUALIFY row_number() OVER w <= 10""",
+    "op11_resampling": rf"""
+WITH w AS (SELECT 0 AS kind, doc_id AS id, regexp_extract_all({_LOWER.replace("text", "coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all({_LOWER.replace("text", "coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT kind, id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS f FROM w, range(1, 4) r(n) WHERE len(w) >= n),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x) // 2 + 1), lambda k: ('0x' || substr(x, 2 * k - 1, 2))::BIGINT)), lambda c, y: xor(c // 256, tab[xor(c % 256, y) + 1])), 4294967295) % 10000 AS b
+      FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)), crc),
+fb AS (SELECT kind, id, b FROM f JOIN b USING (f)),
+n AS (SELECT b, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM fb GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+d AS (SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM fb JOIN g USING (b) WHERE kind = 0 GROUP BY id),
+s AS (SELECT id AS doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM w LEFT JOIN d USING (id) WHERE kind = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS k, count(*) FILTER (fit) OVER () AS m FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND k <= 5 * m // 100 THEN k END::BIGINT AS rank FROM r""",
 }

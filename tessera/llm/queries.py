@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extraction, jaccard, neighbours, packing, pieces, quality, scoring, substring, toxicity
+from . import chat, extraction, jaccard, negatives, neighbours, packing, pieces, quality, resampling, scoring, substring, toxicity, urls
 from .oracles import ORACLES
 from .session import table
 
@@ -70,9 +70,23 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"))
+    return negatives.mine(told, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat, op2_packing, op3_substring, op4_neighbours, op5_quality, op6_jaccard, op7_toxicity, op8_extraction, op9_pieces, op10_scoring)
+    for f in (op1_chat, op2_packing, op3_substring, op4_neighbours, op5_quality, op6_jaccard, op7_toxicity, op8_extraction, op9_pieces, op10_scoring, op11_resampling, op12_urls, op13_negatives)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
