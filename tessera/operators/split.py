@@ -27,7 +27,7 @@ def by_component(root: Column) -> Column:
     return F.when(x < 80, "train").when(x < 90, "val").otherwise("test_seen")
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Cut lineage in the cluster's checkpoint folder (a reliable checkpoint, never a local one)."""
     spark = df.sparkSession
     context = spark.sparkContext
@@ -46,7 +46,7 @@ def _kept(df: DataFrame) -> DataFrame:
 def component_labels(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, label): the smallest node of each component of the edges (a, b). Minimum labels spread along edges, a node's
     old label learns what the node learns, and labels jump to their own labels, so chains halve each round."""
-    both = _kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null").distinct())
+    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null").distinct())
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
@@ -54,7 +54,7 @@ def component_labels(edges: DataFrame, rounds: int = 64) -> DataFrame:
         hooks = seen.groupBy("label").agg(F.min("new").alias("hook")).withColumnRenamed("label", "_node")
         hooked = seen.join(hooks, seen["node"] == hooks["_node"], "left").select("node", F.least("new", F.coalesce("hook", "new")).alias("label"))
         parents = hooked.select(F.col("node").alias("_p"), F.col("label").alias("_l"))
-        jumped = _kept(hooked.join(parents, F.col("label") == F.col("_p"), "left").select("node", F.least("label", F.coalesce("_l", "label")).alias("label")))
+        jumped = kept(hooked.join(parents, F.col("label") == F.col("_p"), "left").select("node", F.least("label", F.coalesce("_l", "label")).alias("label")))
         moved = jumped.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
         labels = jumped
         if not moved:
