@@ -62,19 +62,6 @@ def component_labels(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("component labels didn't settle")
 
 
-def fill_bins(sizes: list[tuple[str, int]], ratios: dict[str, float]) -> dict[str, str]:
-    """Largest component first, each to the split that it fills least. Components are few: this runs on the driver."""
-    total = sum(n for _, n in sizes)
-    share = {s: total * r / sum(ratios.values()) for s, r in ratios.items()}
-    filled = dict.fromkeys(ratios, 0)
-    out = {}
-    for key, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        best = min(share, key=lambda s: (filled[s] + n) / max(share[s], 1.0))
-        out[key] = best
-        filled[best] += n
-    return out
-
-
 def leakage_matrix(rows: DataFrame, split: str, key: str) -> DataFrame:
     """For every two splits the number of keys that both hold: splits of a key are few, so the key's set is exploded, not joined."""
     sets = rows.groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("s")).filter(F.size("s") > 1)

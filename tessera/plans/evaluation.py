@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import features, metrics
+from ..operators import features, metrics, ordered
 from .catalog import query, table
 
 # Predictions: the lines of an order by price; answers: lines by discount with a gain.
@@ -77,6 +77,23 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.average_precision(x, "l_extendedprice", F.col("l_returnflag") == "N", "id", "l_suppkey").select("l_suppkey", "positives", F.round("average_precision", 9).alias("average_precision"))
 
 
+@query(
+    """
+WITH r AS (SELECT l_returnflag = 'N' AS y, l_extendedprice AS s, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag) AS k FROM lineitem),
+h AS (SELECT y, k, sum(CASE WHEN y THEN 1 ELSE 0 END) OVER (ORDER BY k) AS hits FROM r), ap AS (SELECT avg(hits / k) AS ap FROM h WHERE y),
+c AS (SELECT s, count_if(y) AS p, count_if(NOT y) AS n FROM r GROUP BY s), u AS (SELECT p, n, sum(n) OVER (ORDER BY s) - n / 2 AS below FROM c)
+SELECT any_value(ap) IS NOT NULL AS found, sum(p)::BIGINT AS positives, sum(n)::BIGINT AS negatives, round(sum(p * below) / (sum(p) * sum(n)), 9) AS accuracy, round(any_value(ap), 9) AS average_precision FROM u CROSS JOIN ap"""
+)
+def overall_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6 over all lines at once."""
+    x = table(spark, sf_dir, "lineitem")
+    y = F.col("l_returnflag") == "N"
+    right = ordered.overall_accuracy(x, "l_extendedprice", y)
+    precision = ordered.overall_precision(x.select("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "l_extendedprice", y, [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")])
+    both = right.crossJoin(F.broadcast(precision.select("average_precision")))  # one row each
+    return both.select(F.col("average_precision").isNotNull().alias("found"), "positives", "negatives", F.round("accuracy", 9).alias("accuracy"), F.round("average_precision", 9).alias("average_precision"))
+
+
 @query(
     """
 WITH r AS (SELECT l_orderkey AS q, l_returnflag = 'N' AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_returnflag) AS k FROM lineitem),

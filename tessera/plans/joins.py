@@ -164,9 +164,9 @@ WITH {_PARTS} SELECT a.id AS a, b.id AS b, a.core, round(b.v - a.v, 6) AS delta
 )
 def mmp_core_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one core whose sizes differ little."""
-    p = table(spark, sf_dir, "part").filter("p_size between 5 and 20").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("atoms"), F.col("p_retailprice").alias("v"), F.array("p_type").alias("cores"))
-    x = pairs.shared_part_pairs(p, [], "id", "cores", ["atoms", "v"], (F.abs(F.col("a_atoms") - F.col("b_atoms")) <= 2) & pairs.improved(F.col("a_v"), F.col("b_v"), least=1))
-    return x.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("part").alias("core"), F.round(F.col("b_v") - F.col("a_v"), 6).alias("delta"))
+    p = table(spark, sf_dir, "part").filter("p_size between 5 and 20").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("atoms"), F.col("p_retailprice").alias("v"), F.col("p_type").alias("core"))
+    x = pairs.band_pairs(p, ["core"], "id", ["v"], {"atoms": 2.0}).filter(pairs.improved(F.col("a_v"), F.col("b_v"), least=1))
+    return x.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "core", F.round(F.col("b_v") - F.col("a_v"), 6).alias("delta"))
 
 
 @query(
@@ -181,11 +181,23 @@ def fragment_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("f"))
     # the two largest: longer first, ties in ascending text order
     top = F.transform(F.slice(F.array_sort(F.transform("f", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("x")))), 1, 2), lambda s: s["x"])
-    x = pairs.shared_part_pairs(p.withColumn("top", top), [], "id", "top", [], F.col("a_id") < F.col("b_id")).filter("n_parts >= 2")
-    x = x.join(p.select(F.col("id").alias("a_id"), F.col("f").alias("a_f")), "a_id").join(p.select(F.col("id").alias("b_id"), F.col("f").alias("b_f")), "b_id")
+    x = pairs.overlap_pairs(p.withColumn("top", top), [], "id", "top", 2, ["f"])
     return x.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("n_parts").alias("shared"), F.round(S.jaccard(F.col("a_f"), F.col("b_f")), 9).alias("similarity"))
 
 
+@query(
+    f"""
+WITH {_PARTS}, e AS (SELECT id, len(f) AS n, unnest(f) AS x FROM (SELECT p_partkey AS id, list_distinct(string_split(p_name || ' ' || p_brand || ' ' || p_container_, ' ')) AS f FROM (SELECT *, 'size' || (p_size // 5) AS p_container_ FROM part))),
+k AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS s FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id)
+SELECT a, b, round(s, 9) AS similarity FROM k WHERE s >= 0.6"""
+)
+def fragment_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by the similarity of all their fragments."""
+    f = F.split(F.concat_ws(" ", "p_name", "p_brand", F.concat(F.lit("size"), F.expr("p_size div 5").cast("string"))), " ")
+    x = pairs.similar_pairs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), f.alias("f")), "id", "f", 0.6)
+    return x.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("similarity", 9).alias("similarity"))
+
+
 @query(
     """
 WITH m AS (SELECT user_id AS u, event_type AS e, median(value) AS v FROM events GROUP BY ALL),
@@ -210,11 +222,21 @@ x AS (SELECT a.id AS a, b.id AS b, abs(b.mw - a.mw) <= 100 AS c1, abs(b.logp - a
 SELECT count(*)::BIGINT AS n, count_if(c1)::BIGINT AS mw, count_if(c2)::BIGINT AS logp, count_if(c3)::BIGINT AS qed, count_if(c4)::BIGINT AS sa, count_if(c1 AND c2 AND c3 AND c4)::BIGINT AS success FROM x"""
 )
 def descriptor_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P7."""
+    """How many pairs of a brand satisfy each check, and all of them: near ones by cells, single checks of few values by counts."""
     k = F.col("p_partkey")
-    d = F.struct(F.col("p_retailprice").alias("mw"), (F.col("p_size") / 10).alias("logp"), ((k % 100) / 100).alias("qed"), (k % 7).alias("sa"))
-    x = pairs.group_pairs(table(spark, sf_dir, "part").select("p_partkey", "p_brand", d.alias("d")), ["p_brand"], "p_partkey", ["d"]).select(pairs.descriptor_window("a_d", "b_d").alias("c"))
-    return x.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"c.{name}")).alias(name) for name in ("mw", "logp", "qed", "sa", "success")))
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("mw"), (F.col("p_size") / 10).alias("logp"), ((k % 100) / 100).alias("qed"), (k % 7).alias("sa"))
+    one = lambda x, name: x.agg(F.coalesce(F.sum("held"), F.lit(0)).alias(name))
+    counted = lambda name, holds: one(pairs.value_pairs(d, ["p_brand"], name, holds), name)
+    every = one(d.groupBy("p_brand").agg((F.count("*") * (F.count("*") - 1)).alias("held")), "n")
+    mw = pairs.band_pairs(d, ["p_brand"], "p_partkey", ["mw"], {"mw": 100.0}).agg(F.count("*").alias("mw"))
+    near = pairs.band_pairs(d, ["p_brand"], "p_partkey", ["qed", "sa"], {"mw": 100.0, "logp": 2.0})
+    success = near.agg(F.count_if((F.col("a_qed") - F.col("b_qed") <= 0.1) & (F.col("b_sa") - F.col("a_sa") <= 1)).alias("success"))
+    logp = counted("logp", lambda a, b: F.abs(b - a) <= 2)
+    qed, sa = counted("qed", lambda a, b: a - b <= 0.1), counted("sa", lambda a, b: b - a <= 1)
+    out = every
+    for part in (mw, logp, qed, sa, success):  # tables of one row
+        out = out.crossJoin(F.broadcast(part))
+    return out
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, dedupe, split
+from ..operators import audit, dedupe, ordered, split
 from .catalog import query, table
 
 _FRACTION = "(('0x' || substr(sha1({0}), 1, 8))::BIGINT / 4294967295.0)"
@@ -55,17 +55,25 @@ def order_part_split(li: DataFrame) -> DataFrame:
     return split.component_labels(e).select("node", F.col("label").alias("root"), split.by_component(F.col("label")).alias("split"))
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE c AS (SELECT 'c' || o_custkey AS label, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), o AS (SELECT label, n, row_number() OVER (ORDER BY n DESC, label) AS k FROM c),
+t AS (SELECT greatest(sum(n) * 0.8, 1) AS s1, greatest(sum(n) * 0.1, 1) AS s2 FROM c),
+g(k, label, split, f1, f2, f3) AS (
+  SELECT 0::BIGINT, '', '', 0::BIGINT, 0::BIGINT, 0::BIGINT
+  UNION ALL
+  SELECT o.k, o.label, CASE w WHEN 1 THEN 'train' WHEN 2 THEN 'val' ELSE 'test' END, f1 + CASE WHEN w = 1 THEN n ELSE 0 END, f2 + CASE WHEN w = 2 THEN n ELSE 0 END, f3 + CASE WHEN w = 3 THEN n ELSE 0 END
+  FROM (SELECT o.k, o.label, o.n, g.f1, g.f2, g.f3, CASE WHEN (f1 + n) / s1 <= (f2 + n) / s2 AND (f1 + n) / s1 <= (f3 + n) / s2 THEN 1 WHEN (f2 + n) / s2 <= (f3 + n) / s2 THEN 2 ELSE 3 END AS w FROM g JOIN o ON o.k = g.k + 1 CROSS JOIN t) o)
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'c' || o_custkey END AS component, coalesce(split, 'train') AS split FROM orders LEFT JOIN g ON label = 'c' || o_custkey AND o_orderstatus <> 'P'"""
+)
 def component_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components packed into splits, largest first; rows without a component go to train."""
-    li = table(spark, sf_dir, "lineitem")
-    e = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.when(F.col("l_linenumber") < 6, F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("b"))
-    labels = split.component_labels(e.filter("b is not null"))
-    rows = e.join(labels.withColumnRenamed("node", "a"), "a", "left")
-    sizes = rows.filter("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()
-    bins = split.fill_bins([(r["label"], r["n"]) for r in sizes], {"train": 0.8, "val": 0.1, "test": 0.1})
-    assigned = spark.createDataFrame(list(bins.items()), "label string, split string")
-    return rows.join(assigned, "label", "left").select(F.coalesce("split", F.lit("train")).alias("split")).groupBy("split").agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("b"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("a"))
+    labels = split.component_labels(o.filter("b is not null").select("a", "b"))
+    rows = o.join(labels.withColumnRenamed("node", "a"), "a", "left")
+    sizes = rows.filter("label is not null").groupBy("label").agg(F.count("*").alias("n"))
+    assigned = ordered.filled_bins(sizes, "label", "n", {"train": 0.8, "val": 0.1, "test": 0.1})
+    return rows.join(assigned, "label", "left").select("o_orderkey", F.col("label").alias("component"), F.coalesce("split", F.lit("train")).alias("split"))
 
 
 _ROWS = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 < 8 THEN 'train' WHEN o_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM orders"

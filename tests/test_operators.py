@@ -42,7 +42,6 @@ def test_components_and_bins(spark):
     got = dict(map(tuple, split.component_labels(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert all(got[k] == 0 for k in range(41)) and got[101] == 100
     assert split.component_labels(spark.createDataFrame([], "a long, b long")).count() == 0
-    assert split.fill_bins([("a", 80), ("b", 10), ("c", 10)], {"train": 0.8, "val": 0.1, "test": 0.1}) == {"a": "train", "b": "val", "c": "test"}
 
 
 def test_leakage(spark):
