@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash48, hash_fraction
@@ -27,9 +27,8 @@ def by_component(root: Column) -> Column:
     return F.when(x < 80, "train").when(x < 90, "val").otherwise("test_seen")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's checkpoint folder (a reliable checkpoint, never a local one)."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a folder of this machine only where that is unset and Spark is local."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +39,12 @@ def kept(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix=f"tessera-{uuid.uuid4().hex[:8]}-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut lineage in the cluster's checkpoint folder (a reliable checkpoint, never a local one)."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

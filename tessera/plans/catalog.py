@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import editing, evaluation, joins, measurements, molecules, ranking, splits, summaries  # noqa: E402, F401
+from . import editing, evaluation, joins, measurements, molecules, ranking, splits, storage, summaries  # noqa: E402, F401
