@@ -211,7 +211,7 @@ def preserved_secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
     the users, as the pairs do."""
     profile = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.median("value").alias("median_value"))
     pr = pairs.group_pairs(profile, ["event_type"], "user_id", []).filter("a_user_id < b_user_id").select(F.col("a_user_id").alias("a"), F.col("b_user_id").alias("b"), F.col("event_type").alias("primary"))
-    out = pairs.preserved_secondary(pr, profile, "user_id", "event_type", S.tolerance(F.col("endpoint"), F.col("a_value")), 2)
+    out = pairs.preserved_secondary(pr, profile, "user_id", "event_type", S.tolerance, 2)
     return out.select("a", "b", "primary", "endpoint", F.round("ratio", 9).alias("ratio"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -257,6 +257,43 @@ def hard_negative_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.select("t", F.col("a_u").alias("input"), "positive", "negative")
 
 
+_SCOPED = """
+f AS (SELECT vec_id, list_filter(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN i END), lambda x: x IS NOT NULL) AS b FROM embeddings),
+x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS e, l_linestatus AS k, l_suppkey AS i, p_brand || p_type AS core, l_partkey AS t, l_discount AS d, l_quantity AS q, f.b FROM lineitem JOIN part ON p_partkey = l_partkey JOIN f ON vec_id = l_partkey % 50),
+pos AS (SELECT * FROM x WHERE q > 45), neg AS (SELECT * FROM x WHERE q < 3),
+m AS (SELECT p.id AS positive_id, n.id AS negative_id, p.i = n.i AS near, p.d - n.d AS margin, len(list_intersect(p.b, n.b)) / (len(p.b) + len(n.b) - len(list_intersect(p.b, n.b))) AS s FROM pos p JOIN neg n ON p.e = n.e AND p.k = n.k AND p.core = n.core AND p.id <> n.id AND p.t <> n.t)"""
+
+
+@query(
+    f"""
+WITH {_SCOPED}, ok AS (SELECT * FROM m WHERE s >= 0.3), r AS (SELECT *, row_number() OVER (PARTITION BY positive_id ORDER BY near DESC, s DESC, margin DESC, negative_id) AS k FROM ok)
+SELECT positive_id, negative_id, round(s, 9) AS similarity, CASE WHEN near THEN 'same_input' ELSE 'same_core' END AS scope FROM r WHERE k = 1"""
+)
+def scoped_hard_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J18 with the core in its keys, and the fallback to the core alone."""
+    f = table(spark, sf_dir, "embeddings").select("vec_id", BitsProvider.fingerprint(F.col("embedding")).alias("b"))
+    x = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).join(f, F.col("vec_id") == F.col("l_partkey") % 50)
+    x = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("e"), F.col("l_linestatus").alias("k"), F.col("l_suppkey").alias("i"), F.concat("p_brand", "p_type").alias("core"), F.col("l_partkey").alias("t"), F.col("l_discount").alias("d"), "l_quantity", "b")
+    y = pairs.scoped_hard_negative(x.filter("l_quantity > 45"), x.filter("l_quantity < 3"), ["e", "k", "i", "core"], ["e", "k", "core"], "id", "t", "d", "b", 0.3)
+    return y.select("positive_id", "negative_id", F.round("similarity", 9).alias("similarity"), "scope")
+
+
+@query(
+    """
+WITH pos AS (SELECT DISTINCT event_type || user_id % 30 AS e, user_id AS q, user_id % 40 AS item FROM events WHERE value > 100), uni AS (SELECT DISTINCT event_type || user_id % 30 AS e, user_id % 40 AS item FROM events),
+allx AS (SELECT DISTINCT item FROM uni), ring AS (SELECT e, item, row_number() OVER (PARTITION BY e ORDER BY sha1('7|' || item), item) - 1 AS at, count(*) OVER (PARTITION BY e) AS n FROM uni),
+whole AS (SELECT item, row_number() OVER (ORDER BY sha1('7|' || item), item) - 1 AS at, count(*) OVER () AS n FROM allx),
+q AS (SELECT DISTINCT e, q, ('0x' || substr(sha1('7|' || q), 1, 8))::BIGINT AS h FROM pos),
+near AS (SELECT q.e, q.q, r.item, (r.at - h % r.n + r.n) % r.n AS turn, 0 AS tier FROM q JOIN ring r USING (e)), far AS (SELECT q.e, q.q, w.item, (w.at - h % w.n + w.n) % w.n AS turn, 1 AS tier FROM q CROSS JOIN whole w WHERE (q.e, w.item) NOT IN (SELECT e, item FROM uni)),
+free AS (SELECT * FROM (SELECT * FROM near UNION ALL SELECT * FROM far) WHERE (e, q, item) NOT IN (SELECT e, q, item FROM pos)), k AS (SELECT *, row_number() OVER (PARTITION BY e, q ORDER BY tier, turn) AS k FROM free)
+SELECT e, q, item, tier FROM k WHERE k <= 3"""
+)
+def ring_decoys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J22 with the fallback to all items, from rings of hashed items."""
+    e = table(spark, sf_dir, "events").select(F.concat("event_type", (F.col("user_id") % 30).cast("string")).alias("e"), F.col("user_id").alias("q"), (F.col("user_id") % 40).alias("item"), "value")
+    return features.ring_decoys(e.filter("value > 100").select("e", "q", "item"), e.select("e", "item"), "e", "q", "item", 3, "7")
+
+
 @query(
     """
 WITH pos AS (SELECT DISTINCT event_type AS e, user_id AS q, user_id % 40 AS item FROM events WHERE value > 100), uni AS (SELECT DISTINCT event_type AS e, user_id % 40 AS item FROM events),
