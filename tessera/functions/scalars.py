@@ -284,19 +284,42 @@ def tokenize(c: Column, most: int = 96) -> Column:
     return F.slice(F.regexp_extract_all(F.lower(text(c)), F.lit(f"({TOKEN})"), 1), 1, most)
 
 
+def number_or_lowest(c: Column) -> Column:
+    """F26, for sorting: text that is no number counts as less than all; NaN and infinities stay."""
+    return F.coalesce(c.cast("string").try_cast("double"), F.lit(float("-inf")))
+
+
+def integer(c: Column) -> Column:
+    """a tolerant whole number, cut towards zero; NULL beyond the range of a long."""
+    x = number(c)
+    return F.when(F.abs(x) < 9.2e18, F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long"))
+
+
+def pair_confidence(a: Column, b: Column) -> Column:
+    """F50 of a measured pair: the lesser of both, three digits; NULL if one is missing."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.round(F.least(a, b), 3))
+
+
+#: The keys under which a model's answers are looked for, in this order, and those of an answer that is an object.
+ANSWER_KEYS = ("edited_smiles", "smiles", "molecules", "answers", "predictions")
+OBJECT_KEYS = ("smiles", "SMILES", "target_smiles")
+
+
 def truncate(c: Column, most: int = 800, mark: str = "...[truncated]") -> Column:
     """F34."""
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(mark))).otherwise(c)
 
 
 def parse_answers(c: Column, most: int = 2) -> Column:
-    """structure strings from a model's output: a JSON object's first known key, a JSON array, lines, then tokens."""
+    """structure strings from a model's output: a JSON object's first known key, a JSON array, lines, then tokens; an item that is
+    an object gives the first of OBJECT_KEYS that it has."""
     t = clean_text_lines(c)
     body = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    listed = [safe_json(body, f"{key} array<string>")[key] for key in ("edited_smiles", "smiles", "molecules", "answers", "predictions")]
-    single = [F.when(~F.startswith(F.get_json_object(body, f"$.{key}"), F.lit("[")), F.array(F.get_json_object(body, f"$.{key}"))) for key in ("edited_smiles", "smiles", "molecules", "answers", "predictions")]
+    listed = [safe_json(body, f"{key} array<string>")[key] for key in ANSWER_KEYS]
+    single = [F.when(~F.startswith(F.get_json_object(body, f"$.{key}"), F.lit("[")), F.array(F.get_json_object(body, f"$.{key}"))) for key in ANSWER_KEYS]
+    inner = lambda x: F.when(x.startswith("{"), F.coalesce(*(F.nullif(F.get_json_object(x, f"$.{key}"), F.lit("")) for key in OBJECT_KEYS))).otherwise(x)
     array = F.from_json(F.regexp_extract(t, r"(?s)(\[.*\])", 1), "array<string>")
-    tidy = lambda a: F.nullif(F.array_distinct(F.filter(F.transform(a, clean_text), lambda x: x != "")), F.array().cast("array<string>"))
+    tidy = lambda a: F.nullif(F.array_distinct(F.filter(F.transform(a, lambda x: clean_text(inner(x))), lambda x: x != "")), F.array().cast("array<string>"))
     lines = F.transform(F.split(F.replace(t, F.lit(","), F.lit("\n")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[-*`'\" ]+|[-*`'\" ]+$", "")))
     lines = F.filter(lines, lambda x: (F.length(x) >= 2) & x.rlike(r"^[A-Za-z0-9@+\-\[\]()=#$\\/%.:]+$"))
     tokens = F.regexp_extract_all(t, F.lit(r"([A-Za-z0-9@+\-\[\]()=#$\\/%.:]{3,})"), 1)
@@ -321,6 +344,9 @@ def repair_list(c: Column, field: str) -> Column:
     return F.coalesce(good, F.regexp_extract_all(inner, F.lit(r'"([^"]+)"'), 1))
 
 
+# The sentences of F38 and the classes of F39.
+
+
 def coverage_band(samples: Column, molecules: Column, buckets: Column, tier: Column) -> Column:
     """recommendation of a broad endpoint by its counts."""
     return (

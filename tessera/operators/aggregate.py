@@ -37,6 +37,19 @@ def supported_replicates(df: DataFrame, molecule: str, endpoint: str, keys: Sequ
     return collapsed.join(enough, molecule, "left_semi")
 
 
+def profiled_replicates(df: DataFrame, molecule: str, endpoint: str, keys: Sequence[str], value: str, observation: str, assay: str, least: int) -> DataFrame:
+    """A5: replicates with their distinct observation and assay ids, for molecules with ``least`` different endpoints or more, and with the
+    molecule's profile: for each endpoint its median over all keys and its observations. Rows without a molecule or value go; empty ids don't
+    count. Ids are part of the result, so a group holds its own."""
+    x = df.filter((F.col(molecule).cast("string") != "") & F.col(value).isNotNull() & F.col(endpoint).isNotNull())
+    ids = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c).cast("string"), F.lit(""))))
+    per = x.groupBy(molecule, endpoint).agg(F.median(value).alias("median_value"), ids(observation).alias("observations"))
+    entry = F.struct(F.col(endpoint).alias("endpoint"), "median_value", "observations")
+    profiles = per.groupBy(molecule).agg(F.array_sort(F.collect_list(entry)).alias("profile")).filter(F.size("profile") >= least)
+    collapsed = x.groupBy(molecule, endpoint, *keys).agg(F.median(value).alias("median_value"), F.count(value).alias("n_values"), ids(observation).alias("observations"), ids(assay).alias("assays"))
+    return collapsed.join(profiles, molecule)
+
+
 def capped_replicates(df: DataFrame, molecule: str, endpoint: str, value: str, top: int, cap: int, seed: str) -> DataFrame:
     """A4: replicates of the ``top`` endpoints with the most molecules (ties by name), at most ``cap`` molecules of each by a seeded
     hash; the cap is the feature."""

@@ -108,3 +108,22 @@ def rate_summary(rates: DataFrame, views: Sequence[str]) -> DataFrame:
     per = rows.groupBy("view").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in RATES))
     macro = per.filter("view <> 'all'").groupBy(F.concat(F.lit("macro:"), F.substring_index("view", ":", 1)).alias("view")).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in RATES))
     return per.unionByName(macro)
+
+
+def replacement_summary(records: DataFrame, predictions: DataFrame) -> DataFrame:
+    """E12, one row: predictions of a single replacement against a positive, a negative and the input. ``records``: sample_id (unique),
+    positive, negative, input (canonical texts) with positive_fp and input_fp (bits); ``predictions``: sample_id, parsed (as read),
+    canonical (NULL if it is no structure), fp, error. Predictions without a record are only counted; every prediction of a record counts, so
+    coverage can exceed 1."""
+    joined = predictions.withColumnRenamed("sample_id", "_id").join(records, F.col("_id") == F.col("sample_id"), "left")
+    here = F.col("sample_id").isNotNull()
+    rate = lambda c: F.coalesce(F.avg(F.when(here, F.coalesce(c.cast("int"), F.lit(0)))), F.lit(0.0))
+    near = lambda fp: F.coalesce(F.avg(F.when(here & F.col("canonical").isNotNull(), jaccard(F.col("fp"), F.col(fp)))), F.lit(0.0))
+    same = lambda c: F.col("canonical") == F.col(c)
+    got = joined.agg(
+        F.count("*").alias("n_predictions"), F.count_if(here).alias("n_evaluated"), rate(F.col("canonical").isNotNull()).alias("valid_rate"), rate(same("positive")).alias("positive_rate"),
+        rate(same("negative")).alias("negative_rate"), rate(same("input")).alias("unchanged_rate"), near("positive_fp").alias("similarity_to_positive"), near("input_fp").alias("similarity_to_input"),
+        F.count_if(~here).alias("without_record"), F.count_if(here & (F.coalesce("error", F.lit("")) != "")).alias("errors"), F.count_if(here & (F.coalesce("parsed", F.lit("")) == "")).alias("empty"),
+    )
+    total = records.agg(F.count("*").alias("n_samples"))
+    return got.crossJoin(F.broadcast(total)).withColumn("coverage", F.coalesce(F.col("n_evaluated") / F.nullif("n_samples", F.lit(0)), F.lit(0.0)))

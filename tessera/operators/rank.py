@@ -53,8 +53,10 @@ def content_id(prefix: str, n: int, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary")), 1, n))
 
 
-def budgeted(df: DataFrame, order: Sequence[str], size: str, most_each: float, most: float) -> DataFrame:
-    """Rows in order while the running sum stays in the budget; rows that are too large alone are passed over, and the
-    first overflow ends the choice. A catalogue of files is small, so one ordered window is enough."""
+def budgeted(df: DataFrame, order: Sequence[str], size: str, most_each: float, most: float, count: int | None = None) -> DataFrame:
+    """Rows in order while the running sum stays in the budget, ``count`` of them at most; rows that are too large alone are passed
+    over, and the first overflow ends the choice. A catalogue of files is small, so one ordered window is enough."""
     fits = df.filter((F.col(size) > 0) & (F.col(size) <= most_each))
-    return fits.withColumn("running", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("running") <= most)
+    w = Window.orderBy(*order)
+    chosen = fits.withColumn("running", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("running") <= most)
+    return chosen if count is None else chosen.orderBy(*order).limit(count)

@@ -244,8 +244,10 @@ def _unescaped(c: str) -> str:
 
 @query(
     rf"""
-WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2)) AS label FROM pages)
-SELECT page_id, {_unescaped("href")} AS href, trim(regexp_replace({_unescaped("regexp_replace(label, '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g'), ' ') AS label, count(*)::BIGINT AS n FROM p GROUP BY ALL"""
+WITH t AS (SELECT page_id, ' ' || unnest(string_split_regex(html, '(?i)<a\s')[2:]) AS t FROM pages), o AS (SELECT page_id, t, regexp_extract(t, '(?s)^((?:"[^"]*"|''[^'']*''|[^>"''])*)>', 1) AS o FROM t WHERE regexp_matches(t, '(?i)</a\s*>')),
+p AS (SELECT page_id, coalesce(nullif(regexp_extract(o, '(?is)\shref\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(o, '(?is)\shref\s*=\s*''([^'']*)''', 1), ''), nullif(regexp_extract(o, '(?is)\shref\s*=\s*([^\s"''>]+)', 1), '')) AS href,
+  string_split_regex(substr(t, length(o) + 2), '(?i)</a\s*>')[1] AS label FROM o)
+SELECT page_id, {_unescaped("href")} AS href, trim(regexp_replace({_unescaped("regexp_replace(label, '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g'), ' ') AS label, count(*)::BIGINT AS n FROM p WHERE href IS NOT NULL GROUP BY ALL"""
 )
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S11."""
@@ -264,3 +266,26 @@ r AS (SELECT p_partkey, round(sum(mb) OVER (ORDER BY p_partkey), 6) AS running F
 def budgeted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", S.size_in_mb(F.concat((F.col("p_size") * 100).cast("string"), F.lit("K"))).alias("mb"))
     return rank.budgeted(p, ["p_partkey"], "mb", 4.0, 100.0).select("p_partkey", F.round("running", 6).alias("running"))
+
+
+@query(
+    """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type || ',X' || user_id % 7 WHEN 1 THEN 'X' || user_id % 7 || ',' || event_type WHEN 2 THEN event_type WHEN 3 THEN 'X' || user_id % 7 ELSE event_type END AS answers,
+ CASE WHEN value IS NOT NULL AND user_id IS NOT NULL THEN round(least(round(value) / 100, user_id % 100 / 100), 3) END AS confidence, floor(value * 10)::BIGINT AS tenths, CASE WHEN event_id % 3 = 0 THEN -1 ELSE round(value) END AS sorted_by FROM events"""
+)
+def answer_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F35 with items that are objects; F26 and F50 in their other forms."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 5
+    x, name = F.concat(F.lit("X"), (F.col("user_id") % 7).cast("string")), F.col("event_type")
+    text = (
+        F.when(k == 0, F.concat(F.lit('ok: {"answers": [{"smiles": "'), name, F.lit('"}, {"smiles": "", "SMILES": "'), x, F.lit('"}]}')))
+        .when(k == 1, F.concat(F.lit('{"smiles": ["'), x, F.lit('", {"target_smiles": "'), name, F.lit('"}, {"none": 1}]}')))
+        .when(k == 2, F.concat(F.lit('{"edited_smiles": "'), name, F.lit('"}')))
+        .when(k == 3, F.concat(F.lit('["'), x, F.lit('", {"SMILES": "'), x, F.lit('"}]')))
+        .otherwise(name)
+    )
+    scored = F.round(S.number_or_lowest(F.when(F.col("event_id") % 3 == 0, "none").otherwise(F.col("value").cast("string"))))
+    return e.select(
+        "event_id", F.array_join(S.parse_answers(text), ",").alias("answers"), S.pair_confidence(F.round("value") / 100, (F.col("user_id") % 100) / 100).alias("confidence"),
+        S.integer((F.col("value") * 10).cast("string")).alias("tenths"), F.when(scored < 0, -1.0).otherwise(scored).alias("sorted_by"),
+    )

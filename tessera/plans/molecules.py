@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import structures
+from ..operators import objectives, structures
+from ..operators.split import kept
 from .catalog import query, table
 
 #: r1, r2: ring sizes; arom: the second one aromatic; c: chain; b: its atom with a branch (0: none); e: last atom. id: the smallest part of the structure.
@@ -133,3 +134,33 @@ def accessibility_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = structures.accessibility(known, "id").join(known.select("id", "canonical"), "id")
     x = parts.join(scored, "canonical")
     return x.select("p_partkey", F.round("mw", 4).alias("mw"), *(F.col(c).cast("long").alias(c) for c in ("hba", "hbd", "rotatable_bonds", "rings", "heavy_atoms")), F.round("sa_score", 6).alias("sa_score"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {_G.format(bonds=5)}, bits AS (SELECT id, list(DISTINCT ('0x' || substr(sha1(t), 1, 8))::BIGINT % 2048) AS f FROM paths GROUP BY id),
+r AS (SELECT a.p_partkey AS k, a.id AS i, b.id AS p, c.id AS n FROM m a JOIN m b ON b.p_partkey = a.p_partkey + 1 JOIN m c ON c.p_partkey = a.p_partkey + 2),
+pred AS (SELECT p_partkey AS k, CASE p_partkey % 10 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 3 END AS way, p_partkey % 10 = 1 AS faulty, p_partkey % 10 = 6 AS empty FROM part WHERE p_partkey % 10 <> 0 UNION ALL SELECT p_partkey + 1000000, 3, false, false FROM part WHERE p_partkey % 50 = 0),
+x AS (SELECT pred.*, r.k IS NOT NULL AS here, r.i, r.p, r.n, CASE WHEN NOT faulty AND NOT empty THEN m.id END AS c FROM pred LEFT JOIN r ON r.k = pred.k LEFT JOIN m ON m.p_partkey = pred.k + way),
+z AS (SELECT x.*, len(list_intersect(cf.f, pf.f)) / (len(cf.f) + len(pf.f) - len(list_intersect(cf.f, pf.f))) AS sp, len(list_intersect(cf.f, nf.f)) / (len(cf.f) + len(nf.f) - len(list_intersect(cf.f, nf.f))) AS si FROM x LEFT JOIN bits cf ON cf.id = x.c LEFT JOIN bits pf ON pf.id = x.p LEFT JOIN bits nf ON nf.id = x.i)
+SELECT count(*)::BIGINT AS n_predictions, count_if(here)::BIGINT AS n_evaluated, round(avg(CASE WHEN here THEN (c IS NOT NULL)::INT END), 9) AS valid_rate, round(avg(CASE WHEN here THEN coalesce((c = p)::INT, 0) END), 9) AS positive_rate,
+ round(avg(CASE WHEN here THEN coalesce((c = n)::INT, 0) END), 9) AS negative_rate, round(avg(CASE WHEN here THEN coalesce((c = i)::INT, 0) END), 9) AS unchanged_rate, round(avg(sp), 9) AS similarity_to_positive, round(avg(si), 9) AS similarity_to_input,
+ count_if(NOT here)::BIGINT AS without_record, count_if(here AND faulty)::BIGINT AS errors, count_if(here AND empty)::BIGINT AS empty, (SELECT count(*) FROM r)::BIGINT AS n_samples, round(count_if(here) / (SELECT count(*) FROM r), 9) AS coverage FROM z"""
+)
+def replacement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E12 on structures: records are neighbouring parts, predictions notations of parts further on, some faulty, empty or missing. (The
+    remainders of 10 and 50 make the missing, faulty and orphaned predictions that the summary counts.)"""
+    parts = notations(spark, sf_dir)
+    table_ = structures.path_table(structures.canonical_table(structures.graph_table(parts, "notation")), 5)
+    known = kept(parts.join(table_.select("notation", "canonical", "fingerprint"), "notation"))
+    at = lambda n, *names: known.select((F.col("p_partkey") - n).alias("sample_id"), *(F.col(c).alias(a) for c, a in names))
+    records = at(0, ("canonical", "input"), ("fingerprint", "input_fp")).join(at(1, ("canonical", "positive"), ("fingerprint", "positive_fp")), "sample_id").join(at(2, ("canonical", "negative")), "sample_id")
+    k = F.col("p_partkey")
+    asked = known.select(k.alias("sample_id"), (k % 10).alias("d")).filter("d <> 0").withColumn("way", F.when(F.col("d") == 2, 0).when(F.col("d").isin(3, 4), 1).when(F.col("d") == 5, 2).otherwise(3))
+    orphans = known.filter(k % 50 == 0).select((k + 1_000_000).alias("sample_id"), F.lit(7).alias("d"), F.lit(3).alias("way"))
+    answers = known.select(k.alias("_k"), "notation", "canonical", "fingerprint")
+    said = asked.unionByName(orphans).join(answers, F.col("_k") == F.col("sample_id") + F.col("way"), "left")
+    good = ~F.col("d").isin(1, 6)
+    predictions = said.select("sample_id", F.when(F.col("d") == 1, "C1CC(").when(good, F.coalesce("notation", F.lit("C("))).otherwise("").alias("parsed"), F.when(good, F.col("canonical")).alias("canonical"), F.when(good, F.col("fingerprint")).alias("fp"), F.when(F.col("d") == 1, "timeout").alias("error"))
+    x = objectives.replacement_summary(records, predictions)
+    return x.select([F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in x.dtypes])

@@ -226,3 +226,18 @@ def nested_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1), "o_orderstatus")).alias("j"))
     x = o.select("o_orderkey", F.explode(F.from_json("j", "array<string>")).alias("item"))
     return x.agg(F.count_distinct("item").alias("items"), F.count("*").alias("n"), F.count_distinct("o_orderkey", "item").alias("row_items"))
+
+
+@query(
+    """
+WITH x AS (SELECT l_partkey, l_returnflag || l_linestatus AS e, l_linenumber AS b, l_extendedprice AS v, (l_orderkey * 10 + l_linenumber)::VARCHAR AS o, l_suppkey::VARCHAR AS a FROM lineitem),
+m AS (SELECT l_partkey, e, median(v) AS v, count(DISTINCT o) AS n FROM x GROUP BY ALL), p AS (SELECT l_partkey, string_agg(e || ':' || n, ',' ORDER BY e) AS profile, round(sum(v), 4) AS total FROM m GROUP BY l_partkey HAVING count(*) >= 4)
+SELECT l_partkey, e AS endpoint, b AS bucket, round(median(v), 6) AS median_value, count(*)::BIGINT AS n_values, string_agg(DISTINCT o, ',' ORDER BY o) AS observations, count(DISTINCT a)::BIGINT AS n_assays, any_value(profile) AS profile, any_value(total) AS profile_total FROM x JOIN p USING (l_partkey) GROUP BY ALL"""
+)
+def profiled_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5."""
+    x = table(spark, sf_dir, "lineitem").select("l_partkey", F.concat("l_returnflag", "l_linestatus").alias("endpoint"), F.col("l_linenumber").alias("bucket"), "l_extendedprice", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), "l_suppkey")
+    y = aggregate.profiled_replicates(x, "l_partkey", "endpoint", ["bucket"], "l_extendedprice", "o", "l_suppkey", 4)
+    profile = F.array_join(F.transform("profile", lambda p: F.concat_ws(":", p["endpoint"], F.size(p["observations"]).cast("string"))), ",")
+    total = F.round(F.aggregate("profile", F.lit(0.0), lambda s, p: s + p["median_value"]), 4)
+    return y.select("l_partkey", "endpoint", "bucket", F.round("median_value", 6).alias("median_value"), "n_values", F.array_join("observations", ",").alias("observations"), F.size("assays").cast("long").alias("n_assays"), profile.alias("profile"), total.alias("profile_total"))
