@@ -8,14 +8,16 @@ text is a slot. Only distinct streams travel, with sums over the texts of each s
 
 Slots are labelled once per host, from all texts that the host's pages have there:
 
-* *template*: a single slot that holds the same text on CONSTANT pages or more, while other slots of the host vary;
+* *template*: a slot that holds the same text, or in a repeated group the same texts, on CONSTANT different pages or more and on all that have
+  it, while other slots of the host vary; pages with the same texts are one page, so copies are no evidence. What is marked (below) must
+  stand on all pages that have marked slots; a heading in an article or main element is its own text, whether it changes or not;
 * *set apart*: most of its texts stand in elements that say so by tag, role, class or id (menus, headers, footers, sidebars, notices,
   adverts, forms, comments), a prior that needs no second page;
 * *marked*: most stand in an article or main element, or in one whose class or id says content;
 * *body*: what neither holds a constant text nor mostly links, inside the element that holds the most such text of the host.
 
-Then each page is parsed by its host's wrapper. If it has marked slots, those of the best mark are its main text (of a class or id,
-without template slots), otherwise its body slots are; their texts, cut into blocks by block-level tags, in page order.
+Then each page is parsed by its host's wrapper. If it has marked slots that aren't template, those of the best mark are its main text,
+otherwise its body slots are; their texts, cut into blocks by block-level tags, in page order.
 
 Defined cases: null or empty html gives the empty text; a null or odd url belongs to host ''; a page that its wrapper can't parse
 is labelled by the elements around its own slots; rows that repeat a page are kept; a tag that never ends is text; further columns are ignored.
@@ -113,7 +115,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 class Element:
     """A block-level element: what its and its ancestors' names say, and a key of the tags down to it."""
 
-    __slots__ = ("bad", "good", "key", "name", "parent", "tag")
+    __slots__ = ("bad", "good", "heading", "key", "name", "parent", "tag")
 
     def __init__(self, name: str, attributes: str, parent: Element | None) -> None:
         self.name, self.parent = name, parent
@@ -125,6 +127,7 @@ class Element:
         own = name in _CONTENT_TAG or role in ("main", "article")
         soft = bool(label and _CONTENT_NAME.search(label)) and name not in ("body", "html")
         self.good = max(parent.good if parent else 0, 2 if own else 1 if soft else 0)
+        self.heading = bool(parent and parent.heading) or name in ("h1", "h2", "h3", "h4", "h5", "h6")
         classes = sorted(set(_DIGITS.sub("0", found.get("class", "").lower()).replace("/", "-").split()))
         self.tag = name + (f".{'.'.join(classes)}" if classes else "") + (f"[{role}]" if role else "")
         self.key = hashlib.blake2b(f"{parent.key if parent else ''}/{self.tag}".encode(), digest_size=8).hexdigest()
@@ -216,52 +219,80 @@ def _tag_name(token: str) -> str:
     return token.split(".")[0].split("[")[0]
 
 
+class _Item:
+    """A token, or an element with its items; ``slots`` are the slots of the stream that a text stands for."""
+
+    __slots__ = ("items", "kind", "repeated", "slots", "tail", "token")
+
+    def __init__(self, kind: int, token: str = "", slots: list[int] | None = None, items: list[_Item] | None = None, tail: str = "") -> None:
+        self.kind, self.token, self.slots, self.items, self.tail, self.repeated = kind, token, slots, items, tail, False
+
+
+def _merge(kept: _Item, more: _Item) -> None:
+    """The slots of an element that repeats another one, item by item."""
+    todo = [(kept, more)]
+    while todo:
+        a, b = todo.pop()
+        if a.slots is not None:
+            a.slots.extend(b.slots)
+        if a.items:
+            todo.extend(zip(a.items, b.items, strict=True))
+
+
 def collapse_with_slots(stream: list[str]) -> tuple[list, list[list[int]]]:
-    """Adjacent equal elements become one repeated group, from the inside out; and for each slot of the result the slots of ``stream``."""
+    """Adjacent equal elements become one repeated group, from the inside out; and for each slot of the result the slots of ``stream``. In
+    linear time, however deep elements are nested."""
     kinds: dict[object, int] = {}
-    # a frame is an open element: its items are (kind, nodes, slots, is it an element)
-    frames: list[list[tuple[int, list, list[list[int]], bool]]] = [[]]
+    frames: list[list[_Item]] = [[]]
     names: list[str] = []
 
     def kind(of: object) -> int:
         return kinds.setdefault(of, len(kinds))
 
-    def put(item: tuple[int, list, list[list[int]], bool]) -> None:
-        own = frames[-1]
-        if item[3] and own and own[-1][3] and own[-1][0] == item[0]:
-            same, nodes, slots, _ = own[-1]
-            for kept, more in zip(slots, item[2], strict=True):
-                kept.extend(more)
-            own[-1] = (same, nodes if _is(nodes, "+") else [["+", nodes]], slots, True)
-        else:
-            own.append(item)
-
-    def flat(items: list) -> tuple[list, list[list[int]]]:
-        return [n for x in items for n in x[1]], [k for x in items for k in x[2]]
-
     seen = 0
     for token in stream:
         if token == "#":
-            put((kind("#"), ["#"], [[seen]], False))
+            frames[-1].append(_Item(kind("#"), "#", [seen]))
             seen += 1
         elif token[0] != "/":
             name = _tag_name(token)
             if name in _VOID:
-                put((kind(token), [token], [], False))
+                frames[-1].append(_Item(kind(token), token))
             else:
-                frames.append([(kind(token), [token], [], False)])
+                frames.append([_Item(kind(token), token)])
                 names.append(name)
         elif names and names[-1] == token[1:]:
             names.pop()
             items = frames.pop()
-            nodes, slots = flat(items)
-            put((kind(tuple(x[0] if not _is(x[1], "+") else -1 - x[0] for x in items)), [*nodes, token], slots, True))
+            element = _Item(kind(tuple(-1 - x.kind if x.repeated else x.kind for x in items)), items=items, tail=token)
+            own = frames[-1]
+            if own and own[-1].items is not None and own[-1].kind == element.kind:
+                _merge(own[-1], element)
+                own[-1].repeated = True
+            else:
+                own.append(element)
+        else:
+            frames[-1].append(_Item(kind(token), token))
+    nodes: list = []
+    slots: list[list[int]] = []
+    open_ = [(iter([x for f in frames for x in f]), nodes, "")]  # elements that never end count as their tokens
+    while open_:
+        items, out, tail = open_[-1]
+        item = next(items, None)
+        if item is None:
+            open_.pop()
+            if tail:
+                out.append(tail)
+        elif item.items is None:
+            out.append(item.token)
+            if item.slots is not None:
+                slots.append(item.slots)
         else:
-            put((kind(token), [token], [], False))
-    while len(frames) > 1:  # elements that never end
-        items = frames.pop()
-        frames[-1].extend(items)
-    return flat(frames[0])
+            inner = [] if item.repeated else out
+            if item.repeated:
+                out.append(["+", inner])
+            open_.append((iter(item.items), inner, item.tail))
+    return nodes, slots
 
 
 def collapse(stream: list[str]) -> list:
@@ -377,8 +408,9 @@ def parse(wrapper: list, stream: list[str]) -> list[tuple[int, ...]] | None:
     return slots if run(wrapper, 0, ()) == len(stream) else None
 
 
-#: Sums of a slot over texts: texts, those in elements that are set apart, in a marked element, in an article or main, characters, of these in links.
-_SUMS = ("n", "bad", "soft", "good", "chars", "link")
+#: Sums of a slot over texts: texts, those in elements that are set apart, in a marked element, in an article or main, characters, of these in links,
+#: and those that are headings.
+_SUMS = ("n", "bad", "soft", "good", "chars", "link", "head")
 
 
 def _block(raw: str) -> str:
@@ -389,10 +421,14 @@ class Wrapper:
     """A host's expression and the labels of its slots."""
 
     def __init__(self, nodes: list, slots: list[dict]) -> None:
-        """slots: per place its sums, the pages that have it, the least and largest hash of its texts, and the element around its own."""
+        """slots: per place its sums, the least hashes of the different pages that have it, the least and largest hash of what a page has
+        there, and the element around its own."""
         self.nodes = nodes
         self.apart, self.template, self.mark, self.linked = set(), set(), {}, set()
-        constant = {tuple(x["place"]) for x in slots if x["lo"] == x["hi"] and x["pages"] >= CONSTANT and x["n"] == x["pages"]}
+        marked = [x for x in slots if 2 * x["soft"] > x["n"]]
+        everywhere = max((x["times"] for x in marked), default=0)
+        own = {tuple(x["place"]) for x in marked if x["times"] < everywhere or (2 * x["good"] > x["n"] and 2 * x["head"] > x["n"])}
+        constant = {tuple(x["place"]) for x in slots if x["lo"] == x["hi"] and len(x["pages"]) >= CONSTANT} - own
         varies = any(tuple(x["place"]) not in constant and 2 * x["bad"] <= x["n"] for x in slots)
         weight: Counter[str] = Counter()
         for x in slots:
@@ -419,11 +455,9 @@ class Wrapper:
             apart = [p in self.apart for p in places]
             mark = [self.mark.get(p, 0) for p in places]
             off, linked = [p in self.template for p in places], [p in self.linked for p in places]
-        best = max((m for m, x in zip(mark, apart, strict=True) if not x), default=0)
-        if best == 2:
-            return [m == 2 and not x for m, x in zip(mark, apart, strict=True)]
-        if best == 1:
-            return [m == 1 and not x and not t for m, x, t in zip(mark, apart, off, strict=True)]
+        best = max((m for m, x, t in zip(mark, apart, off, strict=True) if not x and not t), default=0)
+        if best:
+            return [m == best and not x and not t for m, x, t in zip(mark, apart, off, strict=True)]
         body = [not x and not t and not k for x, t, k in zip(apart, off, linked, strict=True)]
         inside = [b and (not self.container or bool(e and e.inside(self.container))) for b, (e, _, _) in zip(body, slots, strict=True)]
         return inside if any(inside) else body
@@ -439,14 +473,20 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_STAT = "n long, bad long, soft long, good long, chars long, link long, pages long, lo long, hi long, around string"
+_STAT = "n long, bad long, soft long, good long, chars long, link long, head long, times long, pages array<long>, lo long, hi long, around string"
+_NAMES = (*_SUMS, "times", "pages", "lo", "hi", "around")
+_KINDS = (*[pa.int64()] * 8, pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string())
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct streams of each host with sums over each of their slots (slot -1: over pages)."""
     found: dict[tuple[str, str, int], list] = {}
-    names = ["host", "stream", "slot", *_SUMS, "pages", "lo", "hi", "around"]
-    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 9, pa.string()]
+    names = ["host", "stream", "slot", *_NAMES]
+    kinds = [pa.string(), pa.string(), pa.int32(), *_KINDS]
 
     def flush() -> pa.RecordBatch:
         rows = [(*k, *v) for k, v in found.items()]
@@ -459,23 +499,26 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if old is None:
             found[key] = row
         else:
-            old[:7] = [a + b for a, b in zip(old[:7], row[:7], strict=True)]
-            old[7], old[8], old[9] = min(old[7], row[7]), max(old[8], row[8]), min(old[9], row[9])
+            old[:8] = [a + b for a, b in zip(old[:8], row[:8], strict=True)]
+            old[8] = sorted({*old[8], *row[8]})[:CONSTANT]
+            old[9], old[10], old[11] = min(old[9], row[9]), max(old[10], row[10]), min(old[11], row[11])
 
     for batch in batches:
         for h, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(text or "")
             nodes, slots = collapse_with_slots(page.stream)
             stream = json.dumps(nodes, separators=(",", ":"))
-            add((h, stream, -1), [0, 0, 0, 0, 0, 0, 1, 0, 0, ""])
+            hashes = [_hash(_block(raw)) for _, raw, _ in page.slots]
+            own_page = [hash(tuple(hashes))]  # of integers: the same in every process
+            add((h, stream, -1), [0] * 7 + [1, own_page, 0, 0, ""])
             for k, own in enumerate(slots):
-                row = [0, 0, 0, 0, 0, 0, 1, 2**63 - 1, -(2**63), ""]
+                row: list = [0] * 7 + [1, own_page, 0, 0, ""]
                 for element, raw, link in (page.slots[i] for i in own):
-                    x = int.from_bytes(hashlib.blake2b(_block(raw).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                    bad, good = bool(element and element.bad), element.good if element else 0
-                    row[:6] = [a + b for a, b in zip(row[:6], (1, bad, good > 0, good > 1, len(raw), link), strict=True)]
-                    row[7], row[8] = min(row[7], x), max(row[8], x)
-                    row[9] = element.parent.key if element and element.parent else ""
+                    bad, good, head = bool(element and element.bad), element.good if element else 0, bool(element and element.heading)
+                    row[:7] = [a + b for a, b in zip(row[:7], (1, bad, good > 0, good > 1, len(raw), link, head), strict=True)]
+                    row[11] = element.parent.key if element and element.parent else ""
+                # all that a page has there, in any order
+                row[9] = row[10] = hashes[own[0]] if len(own) == 1 else hash(tuple(sorted(hashes[i] for i in own)))
                 add((h, stream, k), row)
         if len(found) > 20_000:
             yield flush()
@@ -500,27 +543,29 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, stream, wrapper, slots in zip(*(batch.column(c).to_pylist() for c in ("host", "stream", "wrapper", "slots")), strict=True):
             places = parse(json.loads(wrapper), unrolled(json.loads(stream)))
             if places is not None:
-                rows.extend((h, json.dumps(places[x["slot"]]), *(x[c] for c in (*_SUMS, "pages", "lo", "hi", "around"))) for x in slots)
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 12
-        names = ["host", "place", *_SUMS, "pages", "lo", "hi", "around"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), *[pa.int64()] * 9, pa.string()], strict=True)], names=names)
+                rows.extend((h, json.dumps(places[x["slot"]]), *(x[c] for c in _NAMES)) for x in slots)
+        names = ["host", "place", *_NAMES]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), *_KINDS], strict=True)], names=names)
 
 
 def _summed(rows: DataFrame, *keys: str) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in (*_SUMS, "pages")]
-    return rows.groupBy(*keys).agg(*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("around").alias("around"))
+    sums = [F.sum(c).alias(c) for c in (*_SUMS, "times")]
+    # the CONSTANT least hashes of different pages tell whether there are so many
+    few = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))), 1, CONSTANT)
+    return rows.groupBy(*keys).agg(*sums, few.alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("around").alias("around"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, slots): a host's wrapper, and what its labels are made of, both as JSON."""
     found = stored(_summed(pages.mapInArrow(_streams, f"host string, stream string, slot int, {_STAT}"), "host", "stream", "slot"))
-    folded = found.filter("slot < 0").select("host", "stream", F.col("pages").alias("n"))
+    folded = found.filter("slot < 0").select("host", "stream", F.col("times").alias("n"))
     for salts in SALTS:
         folded = folded.groupBy("host", F.pmod(F.xxhash64("stream"), F.lit(salts)).alias("salt")).applyInArrow(_fold_salted, "host string, stream string, n long")
     whole = stored(folded.groupBy("host").applyInArrow(_fold_salted, "host string, stream string, n long").select("host", F.col("stream").alias("wrapper")))
-    slots = found.filter("slot >= 0").groupBy("host", "stream").agg(F.collect_list(F.struct("slot", *_SUMS, "pages", "lo", "hi", "around")).alias("slots"))
+    slots = found.filter("slot >= 0").groupBy("host", "stream").agg(F.collect_list(F.struct("slot", *_NAMES)).alias("slots"))
     placed = _summed(slots.join(whole, "host").mapInArrow(_place, f"host string, place string, {_STAT}"), "host", "place")
-    labels = placed.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.from_json("place", "array<int>").alias("place"), *_SUMS, "pages", "lo", "hi", "around")))).alias("slots"))
+    labels = placed.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.from_json("place", "array<int>").alias("place"), *_NAMES)))).alias("slots"))
     # stored, so that the join with the pages has two plain sides and a host with a third of all pages is split
     return stored(whole.join(labels, "host", "left"))
 
