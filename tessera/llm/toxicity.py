@@ -1,24 +1,29 @@
-"""Toxicity: two class-conditional Kneser-Ney bigram models with shared backoff counts.
+"""Toxicity: two class-conditional Kneser-Ney models with shared backoff counts.
 
-Each class has its own bigram and unigram counts with modified discounts (one each for what was seen once, twice, and more often,
-from the counts of counts). A bigram leaves its discounted mass to the class's unigrams, and these leave theirs to one
-continuation distribution, counted over the two classes together. A text's evidence is the difference of its two log-likelihoods
-divided by its number of tokens; a logistic curve of that one number, fitted on documents that the models were not trained on, is the score.
+Each class has continuation counts at two levels, words and pairs of words: the number of different neighbours on the left or on the right,
+whichever is less. So copies of a text count once, and the words of a passage that stands in many texts have one place, its first and
+last ones, too. A pair leaves its discounted mass to the class's words, and
+these leave theirs to one continuation distribution over both classes: an expression seen in fewer different places than the
+DISCOUNT is smoothed by counts that both share, so it speaks for neither class, and nothing is taken out of the models.
 
-Where the classes can't be told apart, both use the shared counts, so the token adds the same to either log-likelihood:
+A text is compared by its length-normalised log-likelihoods: x is the log-likelihood under the toxic model less that under the ordinary one.
 
-* rare expressions: words and pairs after fewer than MIN_SEEN different words (pairs: fewer pairs before them). A pair that
-  is rare is scored by its word alone. So copies of a passage, of whichever class, teach nothing;
-* expressions whose class probabilities differ by a factor of at most exp(ALIKE): the sample's mix of languages and subjects
-  moves every common word a little, and a text has many of these. Beyond it, evidence counts fully for either side.
+* ``mean``: x per token;
+* ``peak``: the logarithm of the mean, over all WINDOW neighbouring tokens, of exp(SHARP * x of the window). The mean of a likelihood
+  ratio is carried by the toxic expressions, however few; the mean of its logarithm by the mix of languages and subjects, in which
+  every common word differs a little.
+
+The score is a logistic curve of the two. It is fitted on labelled documents that the counts don't hold: the sample is cut into FOLDS by
+a hash of the ids, each scored by models of the others. The same evidence chooses the discount, from DISCOUNTS, by its
+log loss. The final models count the whole sample.
 
 A token is the beginning of STEM bytes of a lower-case run of letters and digits (ASCII punctuation separates as white space
-does), so inflected forms share their counts. Only the pairs and words with evidence are kept for scoring, a small table.
+does), so inflected forms share their counts. What isn't smoothed is a table of words, contexts and pairs seen more often than the
+discount; everything else has one and the same ratio, so the tables are small and scoring with them is exact.
 
 Training sample (the documented bound): at most SAMPLE_DOCS labelled documents of each class, by the order of
 a hash of their id, and of these as many as fit into SAMPLE_CHARS characters of text: one that doesn't fit is passed over, and the
-next in order is tried; of a class in which none fits, the smallest is taken by its first SAMPLE_CHARS characters. Every fourth
-document, by that hash, is kept for the curve. What goes to the executors is bounded by the sample; scoring covers every document and the whole text.
+next in order is tried; of a class in which none fits, the smallest is taken by its first SAMPLE_CHARS characters. What goes to the executors is bounded by the sample; scoring covers every document and the whole text.
 
 Defined cases: labels other than 0 and 1 are ignored; without labelled documents of both classes every score
 is 0; a text without tokens has no evidence and scores 0.49 at most; rows that repeat a doc_id are scored each on its
@@ -38,7 +43,9 @@ from .session import free_name, stored
 from .text import _SPACE, Slots, Words, chunks, mix
 
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 4_000_000
-STEM, MIN_SEEN, ALIKE = 5, 12, 2.0
+STEM, FOLDS, WINDOW, SHARP = 5, 3, 2, 2.0
+#: Discounts of words and of pairs.
+DISCOUNTS = tuple((word, pair) for word in (5, 10, 20, 40) for pair in (word, 4 * word))
 
 _SEPARATOR = _SPACE.copy()
 _SEPARATOR[[c for c in range(128) if not chr(c).isalnum()]] = True
@@ -72,115 +79,153 @@ class Counts:
         return np.where(self.keys[at] == keys, self.values[at], 0.0)
 
 
-def discounts(values: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more, from the numbers of counts 1 to 4."""
-    n = [float((values == k).sum()) for k in range(5)]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    found = [0.0] + [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.75 for k in (1, 2, 3)]
-    return np.array([min(max(d, 0.0), float(k)) for k, d in enumerate(found)])
-
+class ClassCounts:
+    """Continuation counts of one class: different places of words and of pairs, on the side where they have fewer."""
 
-class KneserNey:
-    """Interpolated Kneser-Ney of one class over a shared continuation distribution."""
-
-    def __init__(self, before: np.ndarray, h: np.ndarray, shared: Counts) -> None:
-        self.shared, self.shared_total = shared, shared.values.sum()
+    def __init__(self, before: np.ndarray, h: np.ndarray) -> None:
+        """Tokens, text after text, each with the token before it (0 at a text's start)."""
+        starts = before == 0
+        earlier, later = np.zeros_like(h), np.zeros_like(h)
+        earlier[1:], later[:-1] = before[:-1], h[1:]
+        earlier[starts] = 0
+        later[:-1][starts[1:]] = 0
         pair = _pair(before, h)
-        self.bigram, self.unigram, self.context = Counts(pair), Counts(h), Counts(before)
-        self.by_pair, self.by_word = discounts(self.bigram.values), discounts(self.unigram.values)
+        self.words = self._places(h, before, later)
+        self.pairs = self._places(pair, earlier, later)
         _, first = np.unique(pair, return_index=True)
-        self.freed = Counts(before[first], self._discount(self.bigram[pair[first]], self.by_pair))
-        self.n, self.spare = max(len(h), 1), float(self._discount(self.unigram.values, self.by_word).sum())
+        self.pair_before, self.pair_word = before[first], h[first]
+        self.contexts = Counts(self.pair_before, self.pairs[pair[first]])
 
     @staticmethod
-    def _discount(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
-        return table[np.minimum(counts, 3).astype(np.int64)]
+    def _places(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> Counts:
+        sides = []
+        for side in (left, right):
+            _, first = np.unique(_pair(side, key), return_index=True)
+            sides.append(Counts(key[first]))
+        sides[0].values = np.minimum(sides[0].values, sides[1].values)
+        return sides[0]
+
+
+class KneserNey:
+    """One class's distribution for a discount, over a shared continuation distribution."""
+
+    def __init__(self, own: ClassCounts, shared: Counts, by_word: float, by_pair: float) -> None:
+        self.own, self.shared, self.by_word, self.by_pair = own, shared, by_word, by_pair
+        self.shared_total = shared.values.sum()
+        self.n = own.words.values.sum()
+        self.spare = np.minimum(own.words.values, by_word).sum()
+        if not self.n:  # a class without words is the shared distribution
+            self.n = self.spare = 1.0
+        freed = np.minimum(own.pairs[_pair(own.pair_before, own.pair_word)], by_pair)
+        self.freed = Counts(own.pair_before, freed)
 
     def word(self, h: np.ndarray) -> np.ndarray:
-        # continuation: after how many different tokens a token was seen; one more kind stands for the unseen
+        # one more kind of word stands for the unseen
         base = (self.shared[h] + 0.5) / (self.shared_total + 0.5 * (len(self.shared.keys) + 1))
-        own = self.unigram[h]
-        return (own - self._discount(own, self.by_word) + self.spare * base) / self.n if self.spare else base
+        return (np.maximum(self.own.words[h] - self.by_word, 0) + self.spare * base) / self.n
+
+    def left(self, before: np.ndarray) -> np.ndarray:
+        """The share of a context's mass that goes to the words."""
+        total = self.own.contexts[before]
+        return np.where(total > 0, self.freed[before] / np.maximum(total, 1), 1.0)
 
     def after(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
-        own, total, word = self.bigram[_pair(before, h)], self.context[before], self.word(h)
-        return np.where(total > 0, (own - self._discount(own, self.by_pair) + self.freed[before] * word) / np.maximum(total, 1), word)
+        own = np.maximum(self.own.pairs[_pair(before, h)] - self.by_pair, 0)
+        return own / np.maximum(self.own.contexts[before], 1) + self.left(before) * self.word(h)
+
+
+class Evidence:
+    """Log-likelihood ratios of tokens, from tables of what is seen more often than the discount; all else has the ratio ``rest``."""
+
+    def __init__(self, sides: tuple[ClassCounts, ClassCounts], by_word: float, by_pair: float) -> None:
+        shared = Counts(np.concatenate([x.words.keys for x in sides]), np.concatenate([x.words.values for x in sides]))
+        zero, one = (KneserNey(x, shared, by_word, by_pair) for x in sides)
+        self.rest = float(np.log(one.spare / one.n) - np.log(zero.spare / zero.n))
+        words = shared.keys[np.maximum(*(x.words[shared.keys] for x in sides)) > by_word]
+        self.words = Slots(words, np.log(one.word(words) / zero.word(words)))
+        contexts = np.unique(np.concatenate([x.contexts.keys for x in sides]))
+        lean = np.log(one.left(contexts) / zero.left(contexts))
+        self.contexts = Slots(contexts[lean != 0], lean[lean != 0])
+        before, h = (np.concatenate([getattr(x, n) for x in sides]) for n in ("pair_before", "pair_word"))
+        key, first = np.unique(_pair(before, h), return_index=True)
+        often = np.maximum(*(x.pairs[key] for x in sides)) > by_pair
+        b, w = before[first][often], h[first][often]
+        self.pairs = Slots(key[often], np.log(one.after(b, w) / zero.after(b, w)))
+
+    def ratios(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
+        out = self.pairs.get(_pair(before, h), np.nan)
+        rest = np.flatnonzero(np.isnan(out))
+        out[rest] = self.words.get(h[rest], self.rest) + self.contexts.get(before[rest], 0.0)
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Per text (mean, peak), and its tokens."""
+        words, h, before = _tokens(texts)
+        x = self.ratios(before, h)
+        summed = np.concatenate((x, np.zeros(WINDOW)))
+        size = words.counts[words.doc_of_word()]
+        place = np.arange(len(x)) - words.first[:-1][words.doc_of_word()]
+        window = sum(np.where(place + k < size, summed[k : k + len(x)], 0.0) for k in range(WINDOW))
+        whole = place <= np.maximum(size - WINDOW, 0)  # a text shorter than a window is one
+        some = words.counts > 0
+        out = np.zeros((words.n_docs, 2))
+        if some.any():
+            starts = words.first[:-1][some]
+            out[some, 0] = np.add.reduceat(x, starts) / words.counts[some]
+            raised = np.where(whole, np.exp(np.clip(SHARP * window, -60, 200)), 0.0)
+            out[some, 1] = np.log(np.add.reduceat(raised, starts) / np.maximum(words.counts[some] - WINDOW + 1, 1))
+        return out, words.counts
 
 
 class ToxicityModel:
-    """Two classes, and a logistic curve over the difference of the length-normalised log-likelihoods."""
+    """Two classes, and a logistic curve over what their log-likelihoods say of a text."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray, folds: np.ndarray, share: float | None = None) -> None:
+        """``folds``: a fold for each text; ``share``: the share of toxic rows among all labelled ones, if the sample's own isn't it."""
+        held = [(pa.array([t for t, x in zip(texts, folds == k, strict=True) if x], pa.string()), self._sides(texts, toxic, folds != k), folds == k) for k in np.unique(folds)]
+        curves = {}
+        for discount in DISCOUNTS:
+            x, n = np.zeros((len(texts), 2)), np.zeros(len(texts))
+            for own, sides, rows in held:
+                x[rows], n[rows] = Evidence(sides, *discount)(own)
+            curves[discount] = self._fit(x[n > 0], toxic[n > 0], share)
+        self.discount = min(curves, key=lambda d: curves[d][0])
+        self.weights = curves[self.discount][1]
+        self.evidence = Evidence(self._sides(texts, toxic, np.ones(len(texts), dtype=bool)), *self.discount)
 
-    def __init__(self, texts: list[str], toxic: np.ndarray, held: np.ndarray, share: float | None = None) -> None:
-        """``share``: the share of toxic rows among all labelled ones, if the sample's own isn't it."""
+    @staticmethod
+    def _sides(texts: list[str], toxic: np.ndarray, used: np.ndarray) -> tuple[ClassCounts, ClassCounts]:
         sides = []
         for label in (0, 1):
-            chosen = [t for t, y, out in zip(texts, toxic, held, strict=True) if y == label and not out]
-            _, h, before = _tokens(pa.array(chosen, pa.string()))
-            earlier = np.zeros_like(before)
-            earlier[1:] = _pair(before[:-1], h[:-1])
-            sides.append((before, h, np.where(before == 0, 0, earlier)))
-        before, h, earlier = (np.concatenate(x) for x in zip(*sides, strict=True))
-        pair = _pair(before, h)
-        _, first = np.unique(pair, return_index=True)
-        shared = Counts(h[first])
-        classes = [KneserNey(b, w, shared) for b, w, _ in sides]
-        words = shared.keys
-        ratio = self._told_apart(np.log(classes[1].word(words) / classes[0].word(words)))
-        self.words = self._table(words, np.where(shared.values >= MIN_SEEN, ratio, 0.0))
-        _, once = np.unique(_pair(earlier, pair), return_index=True)
-        seen = Counts(pair[once])
-        pairs = first[seen[pair[first]] >= MIN_SEEN]
-        b, w = before[pairs], h[pairs]
-        # a frequent pair is kept wherever it says something else than its word alone
-        ratio = self._told_apart(np.log(classes[1].after(b, w) / classes[0].after(b, w)))
-        other = ratio != self.words.get(w, 0.0)
-        self.pairs = Slots(pair[pairs][other], ratio[other])
-        self.weights = np.array([1.0, 0.0])
-        mean, n = self.evidence(pa.array([t for t, out in zip(texts, held, strict=True) if out], pa.string()))
-        self._fit(mean[n > 0], toxic[held][n > 0], share)
-
-    @staticmethod
-    def _told_apart(ratio: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(ratio) > ALIKE, ratio, 0.0)
-
-    @staticmethod
-    def _table(keys: np.ndarray, values: np.ndarray) -> Slots:
-        return Slots(keys[values != 0], values[values != 0])
-
-    def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Per text the difference of its log-likelihoods (toxic less ordinary) per token, and its tokens."""
-        words, h, before = _tokens(texts)
-        ratio = self.pairs.get(_pair(before, h), np.nan)
-        rest = np.isnan(ratio)
-        ratio[rest] = self.words.get(h[rest], 0.0)
-        total = np.zeros(len(h) + 1)
-        np.cumsum(ratio, out=total[1:])
-        return np.diff(total[words.first]) / np.maximum(words.counts, 1), words.counts
+            _, h, before = _tokens(pa.array([t for t, x in zip(texts, used & (toxic == label), strict=True) if x], pa.string()))
+            sides.append(ClassCounts(before, h))
+        return sides[0], sides[1]
 
     @staticmethod
-    def _curve(mean: np.ndarray) -> np.ndarray:
-        """A scale on which one word of a long text and one of a short text are not worlds apart."""
-        return np.column_stack([np.arcsinh(200 * mean), np.ones(len(mean))])
+    def _columns(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x[:, 0], x[:, 1], np.ones(len(x))])
 
-    def _fit(self, mean: np.ndarray, y: np.ndarray, share: float | None) -> None:
-        """Newton steps for a logistic regression with a light ridge; classes weigh as they do among all labelled rows."""
+    def _fit(self, found: np.ndarray, y: np.ndarray, share: float | None) -> tuple[float, np.ndarray]:
+        """Newton steps for a logistic regression with a light ridge; classes weigh as they do among all labelled rows. The log loss,
+        and the weights."""
         if not len(y) or y.min() == y.max():
-            return
-        x, own = self._curve(mean), float(y.mean())
+            return np.inf, np.array([0.0, 1.0, 0.0])
+        x, own = self._columns(found), float(y.mean())
         share = own if share is None else share
         weight = np.where(y == 1, share / own, (1 - share) / (1 - own))
         b, ridge = np.zeros(x.shape[1]), 0.1
+        p = np.full(len(y), 0.5)
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
             step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge * np.eye(len(b)), x.T @ (weight * (y - p)) - ridge * b)
             b = b + np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-9:
                 break
-        self.weights = b
+        return float(-(weight * np.log(np.where(y == 1, p, 1 - p))).mean()), b
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        mean, n = self.evidence(texts)
-        s = 1 / (1 + np.exp(-np.clip(self._curve(mean) @ self.weights, -60, 60)))
+        found, n = self.evidence(texts)
+        s = 1 / (1 + np.exp(-np.clip(self._columns(found) @ self.weights, -60, 60)))
         return np.where(n > 0, s, np.minimum(s, 0.49))
 
 
@@ -209,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     wanted = docs.sparkSession.createDataFrame(chosen, "_id long, _y int")
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text")).join(F.broadcast(wanted), "_id")
     texts = texts.groupBy("_id").agg(F.max("_y").alias("_y"), F.min("text").alias("text"), F.abs(F.xxhash64("_id")).alias("_h")).orderBy("_id").collect()
-    return ToxicityModel([r["text"] for r in texts], np.array([r["_y"] for r in texts]), np.array([r["_h"] % 4 == 0 for r in texts]), total[1] / (total[0] + total[1]))
+    return ToxicityModel([r["text"] for r in texts], np.array([r["_y"] for r in texts]), np.array([r["_h"] % FOLDS for r in texts]), total[1] / (total[0] + total[1]))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
