@@ -38,8 +38,8 @@ _SPAN = WINDOW - GRAM + 1
 _LOW = np.uint64((1 << 28) - 1)
 _SECOND, _OTHER = Poly(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
-SEGMENT = "h long, seg long, doc_id long, rk int, a int, n int"
-RUN = "h long, seg long, doc_id long, rk int, places array<int>, n int, w binary"
+SEGMENT = "h long, seg long, doc_id long, rk long, a int, n int"
+RUN = "h long, seg long, doc_id long, rk long, places array<int>, n int, w binary"
 
 
 def segments(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -96,13 +96,13 @@ def _with_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ends = np.concatenate([[0], np.cumsum(n) * WINDOW_BYTES]).astype(np.int32)
         w = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(window))])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h[head]), pa.array(seg[head]), pa.array(doc[head].astype(np.int64)), pa.array(rk[head].astype(np.int32)), pa.ListArray.from_arrays(pa.array(places), pa.array(a[own].astype(np.int32))), pa.array(n.astype(np.int32)), w],
+            [pa.array(h[head]), pa.array(seg[head]), pa.array(doc[head].astype(np.int64)), pa.array(rk[head].astype(np.int64)), pa.ListArray.from_arrays(pa.array(places), pa.array(a[own].astype(np.int32))), pa.array(n.astype(np.int32)), w],
             names=["h", "seg", "doc_id", "rk", "places", "n", "w"],
         )
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("rk"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("rk"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _covered_in_batch(prints: DataFrame, run: DataFrame, old: DataFrame | None)
         known = reduce(DataFrame.unionByName, parts).select("h", "seg", "w")
         parts.append(twins.join(known, ["h", "seg"]).select("h", "seg", "doc_id", "rk", F.array("a").alias("places"), "n", "w", F.lit(True).alias("fresh")))
     rows = reduce(DataFrame.unionByName, parts).select("h", "doc_id", "rk", "places", "n", "w", "fresh")
-    windows = stored(rows.mapInArrow(_expand, "h long, w long, doc_id long, rk int, start int, fresh boolean"))
+    windows = stored(rows.mapInArrow(_expand, "h long, w long, doc_id long, rk long, start int, fresh boolean"))
     smallest = windows.groupBy("h", "w").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max")).filter("_min < _max").select("h", "w", "_min")
     single = windows.filter("fresh").join(smallest, ["h", "w"]).filter("doc_id > _min").select("doc_id", "rk", F.col("start").alias("a"), F.lit(1).alias("n"))
     # A copy of a segment in a larger document is covered as a whole; so windows are needed of representatives and their twins only.
@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, batches: int = 2, index: FingerprintIndex |
     found = stored(covered(docs.select("doc_id", "text"), used, batches).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("a", "n")).alias(ranges)).select(F.col("doc_id").alias(key), F.col("rk").alias(hashed), ranges))
     if index is None:
         used.drop()
-    rows = docs.select(*columns, F.col("text").cast("string").alias(text)).withColumn(left, F.hash(text))
+    rows = docs.select(*columns, F.col("text").cast("string").alias(text)).withColumn(left, F.xxhash64(text))
     joined = rows.join(found, (rows["doc_id"].cast("long") == found[key]) & (rows[left] == found[hashed]), "left").select(*columns, text, ranges)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
     return joined.mapInArrow(_cut((text, ranges)), f"{schema}, n_words long, n_removed long, kept_text string")
