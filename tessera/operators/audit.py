@@ -76,3 +76,16 @@ def leaks(df: DataFrame, key: str, split: str, rule: str) -> DataFrame:
 
 def counted(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def branches(df: DataFrame, relation: str) -> tuple[DataFrame, DataFrame]:
+    """(observations, exact): every row goes to the observations, rows of the relation ``=`` alone to what is ranked."""
+    return df, df.filter(F.coalesce(F.col(relation) == "=", F.lit(False)))
+
+
+def looked_up(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of their key; a key that isn't known is an error, raised by the task that meets it."""
+    found = rows.join(known.withColumn("_known", F.lit(True)), key, "left")
+    miss = F.raise_error(F.concat(F.lit(f"no {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    # the check stands in a column that stays, so it can't be pruned away
+    return found.withColumn(key, F.when(F.col("_known"), F.col(key)).otherwise(miss.cast(rows.schema[key].dataType))).drop("_known")

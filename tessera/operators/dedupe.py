@@ -36,3 +36,11 @@ def overlap_cleaned(rows: DataFrame, split: str, key: str) -> DataFrame:
     test = test.join(val.select(key).distinct(), key, "left_anti")
     train = train.join(val.select(key).unionByName(test.select(key)).distinct(), key, "left_anti")
     return train.unionByName(val).unionByName(test)
+
+
+def require_same_schema(frames: Sequence[DataFrame]) -> None:
+    """Parts of one table have the same columns in the same order, and the same types; otherwise an error that names the first part that differs."""
+    kinds = [f.dtypes for f in frames]
+    for k, other in enumerate(kinds[1:], 2):
+        if other != kinds[0]:
+            raise ValueError(f"part {k} has other columns: {sorted(set(map(str, other)) ^ set(map(str, kinds[0]))) or 'another order'}")

@@ -6,7 +6,8 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import appends, databases, lines
+from tessera.operators import audit, dedupe
+from tessera.sources import appends, databases, lines, readers
 
 SCHEMA = "id long, name string, value double"
 
@@ -121,3 +122,26 @@ def test_short_lines_are_set_aside(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("other\tsmiles\tkey\n")
     with pytest.raises(ValueError):
         lines.plain_table(spark, str(tmp_path / "*.tsv*"))
+
+
+def test_missing_files_and_documents(spark, tmp_path):
+    assert readers.delimited(spark, str(tmp_path / "none.csv"), columns=["a", "b"], missing_ok=True).columns == ["a", "b"]
+    with pytest.raises(Exception):
+        readers.delimited(spark, str(tmp_path / "none.csv"), columns=["a"])
+    (tmp_path / "s.json").write_text('{"n": 1,\n "m": {"k": [2]}}')
+    (tmp_path / "l.json").write_text("[1]")
+    assert readers.json_document(spark, str(tmp_path / "s.json")) == {"n": 1, "m": {"k": [2]}}
+    assert readers.json_document(spark, str(tmp_path / "l.json")) == readers.json_document(spark, str(tmp_path / "none.json")) == {}
+
+
+def test_checked_merges_and_lookups(spark):
+    a, b = spark.createDataFrame([(1, "x")], "id int, s string"), spark.createDataFrame([("y", 2)], "s string, id int")
+    dedupe.require_same_schema([a, a])
+    with pytest.raises(ValueError, match="part 2"):
+        dedupe.require_same_schema([a, b])
+    every, exact = audit.branches(spark.createDataFrame([(1, "="), (2, "<"), (3, None)], "id int, r string"), "r")
+    assert (every.count(), [x["id"] for x in exact.collect()]) == (3, [1])
+    rows = spark.createDataFrame([(1, "p"), (7, "q")], "id int, t string")
+    assert audit.looked_up(rows.filter("id = 1"), a, "id").collect() == [(1, "p", "x")]
+    with pytest.raises(Exception, match="no id: 7"):
+        audit.looked_up(rows, a, "id").collect()
