@@ -10,7 +10,8 @@ window repeats the leading system turn and, before its own turns, the last turns
 assistant texts of a window's own turns; those it repeats are masked, so each assistant text is a target once.
 
 Defined cases: null role and null text are empty; turns are ordered by their number, ties by role and text; rows without
-conv_id form one conversation with a null id; a conversation of repeated rows keeps every row.
+conv_id form one conversation with a null id; a conversation of repeated rows keeps every row; an empty table has no windows; further
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ lower one of the two halves. While it is below RECALL, new LSH tables and refine
 LEAST after that is an error.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept; vectors of
-different lengths don't link; rows without vec_id are left out; rows that repeat a vec_id are one vector (the first by hash).
+different lengths don't link; rows without vec_id are left out; rows that repeat a vec_id are one vector (the first by hash); an empty table has no rows;
+further columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Every draw is a hash of (seed, row key, place of the chunk in the row, step): th
 often it is processed. Characters without a piece, and the character U+2581 that pieces use for a space, are spelled in
 byte pieces, so decoding gives back the exact text.
 
-Defined cases: null and empty text have no pieces; a null row key draws like key -1; rows that repeat a key draw alike.
+Defined cases: null and empty text have no pieces; a null row key draws like key -1; rows that repeat a key draw alike; an empty
+table has no rows; further columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ texts in one pass, and nothing that grows with the corpus is broadcast. Only nod
 the driver.
 
 Defined cases: null and empty text have the end symbol alone; without training documents every bit costs one bit and counts
-are zero; rows that repeat a doc_id are scored each on its own text; a null doc_id is held out of training.
+are zero; rows that repeat a doc_id are scored each on its own text; a null doc_id is held out of training; an
+empty table has no rows; further columns, whatever their names, are only read where the training condition names them.
 """
 
 from __future__ import annotations
