@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, packing, quality, substring, toxicity
 from tessera.llm.session import stored, table
+from tessera.operators import ordered
 
 #: Packing on by this tokenizer of the installed public files.
 TOKENIZER = "word_bpe_49k.json"
@@ -47,8 +48,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if keys.groupBy("doc_id").count().filter("count > 1").isEmpty():
         nodes = keyed.withColumn("_node", F.col("doc_id"))
     else:  # numbers in the order of doc_ids
-        order = keys.orderBy("doc_id", "_h").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-        numbers = stored(spark.createDataFrame(order, keys.schema.add("_node", "long")))
+        numbers = stored(ordered.running(keys, [F.asc("doc_id"), F.asc("_h")], {"_node": F.lit(1)}))
         nodes = stored(keyed.join(numbers, ["doc_id", "_h"]))
     stay = jaccard.join_classes(nodes.select(F.col("_node").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     kept = nodes.join(stay, nodes["_node"] == stay["_stay"]).withColumn("_r", F.row_number().over(Window.partitionBy("_node").orderBy("_h")))
