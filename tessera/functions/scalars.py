@@ -162,7 +162,8 @@ def relation_confidence(relation: Column, exact: float = 0.9, other: float = 0.7
 
 
 def assay_bucket(endpoint: Column, description: Column, organism: Column, cell: Column) -> Column:
-    """condition bucket of an endpoint from its assay's description."""
+    """condition bucket of an endpoint from its assay's description. The names of endpoints and buckets, and the words they
+    are told by."""
     d, org, cel = F.lower(text(description)), lower_slug(organism), lower_slug(cell)
     ph = F.regexp_extract(d, r"ph\s*([0-9]+(?:\.[0-9]+)?)", 1)
     matrix = lambda other: F.when(d.contains("microsom"), "microsome").otherwise(other)

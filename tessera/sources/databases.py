@@ -1,4 +1,4 @@
-"""Database files as a Spark source: key ranges are partitions, filters and columns go into the query.
+"""Database files as a Spark source: key ranges are partitions, filters and the columns of the schema go into the query.
 
 ``spark.read.format("sqlite").option("path", ...).option("query", ...).option("key", ...)`` after ``register(spark)``. Executors open the file by
 its path, so it lies in a folder that all of them share. Every partition reads one range of an integer key, rows without a key belong to the
