@@ -68,7 +68,7 @@ def test_database_file(spark, database):
     some = df.filter("kind = 'Ki' and value < 100 and id is not null and length(kind) = 2")
     plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
     # what the database takes needs no filter above the scan
-    assert "BatchScan sqlite" in plan(some) and "Filter" not in plan(some) and "Filter" in plan(df.filter("length(kind) = 2"))
+    assert "BatchScan sqlite" in plan(some) and " Filter (" not in plan(some) and " Filter (" in plan(df.filter("length(kind) = 2"))
     assert sorted(r["id"] for r in some.collect()) == [k for k in range(40, 400) if k % 3 == 1 and k % 50]
     assert df.filter("kind is null").count() == sum(1 for k in range(40, 1000) if k % 3 == 2)
     assert df.filter("kind in ('Ki', 'x')").select("value").count() == sum(1 for k in range(40, 1000) if k % 3 == 1)
