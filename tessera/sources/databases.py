@@ -1,23 +1,27 @@
-"""Database files as a Spark source: key ranges are partitions, filters and the columns of the schema go into the query.
+"""Database files as a Spark source: key ranges are partitions, conditions and the columns of the schema go into the query.
 
-``spark.read.format("sqlite").option("path", ...).option("query", ...).option("key", ...)`` after ``register(spark)``. Executors open the file by
-its path, so it lies in a folder that all of them share. Every partition reads one range of an integer key, rows without a key belong to the
-first one; a predicate that the database doesn't know stays with Spark.
+Executors open the file by its path, so it lies in a folder that all of them share. Every partition reads one range of an integer key; rows
+without a key belong to the first one.
+
+Conditions are given to ``database_file`` and bound as parameters of the database's own query. Filters on the frame stay with Spark: its hook for
+pushing them into a Python source (4.1) keeps the last filters for every later scan of the same frame, whether it has them or not.
 """
 
 from __future__ import annotations
 
+import json
 import sqlite3
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+#: A condition: (column, sign, value); ``in`` has a list of values, the null tests have None. A list of conditions holds if one of them does.
+SIGNS = ("=", "<>", "<", "<=", ">", ">=", "like", "in", "is null", "is not null")
 _ROWS = 4096
 
 
@@ -43,27 +47,33 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def sql_condition(condition: Sequence) -> tuple:
+    """The text of a condition with ? for its values, and the values."""
+    if condition and not isinstance(condition[0], str):
+        parts = [sql_condition(c) for c in condition]
+        return "(" + " OR ".join(p[0] for p in parts) + ")", *(v for p in parts for v in p[1:])
+    if not condition:  # none of no conditions holds
+        return ("0",)
+    name, sign, value = _quoted(condition[0]), condition[1].lower(), condition[2]
+    if sign not in SIGNS:
+        raise ValueError(f"no sign of a condition: {sign}")
+    if sign.startswith("is "):
+        return (f"{name} {sign.upper()}",)
+    if sign == "in":
+        return (f"{name} IN ({', '.join('?' * len(value))})", *value) if value else ("0",)
+    return f"{name} {sign.upper()} ?", value
+
+
 class SqliteReader(DataSourceReader):
     def __init__(self, schema: StructType, options: Mapping[str, str]) -> None:
         self.wanted, self.options = schema, dict(options)
         self.where = _Clauses()
+        for condition in json.loads(self.options.get("where", "[]")):
+            self.where.add(*sql_condition(condition))
 
     def _open(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        for f in filters:
-            name = _quoted(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
-            value = getattr(f, "value", None)
-            if name and type(f) in _SIGNS and type(value) in (int, float, str):
-                self.where.add(f"{name} {_SIGNS[type(f)]} ?", value)
-            elif name and isinstance(f, In) and all(type(v) in (int, float, str) for v in value) and value:
-                self.where.add(f"{name} IN ({', '.join('?' * len(value))})", *value)
-            elif name and isinstance(f, IsNull | IsNotNull):
-                self.where.add(f"{name} IS {'NOT ' if isinstance(f, IsNotNull) else ''}NULL")
-            else:
-                yield f
-
     def partitions(self) -> Sequence[InputPartition]:
         key, n = self.options.get("key"), int(self.options.get("partitions", "8"))
         if not key:
@@ -106,13 +116,13 @@ class SqliteSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def database_file(spark: SparkSession, path: str, query: str, schema: str, key: str | None = None, partitions: int = 8) -> DataFrame:
-    """The rows of a query on a database file; ``schema`` names the columns that are read (long, int, double, string)."""
+def database_file(spark: SparkSession, path: str, query: str, schema: str, key: str | None = None, partitions: int = 8, where: Sequence = ()) -> DataFrame:
+    """The rows of a query on a database file that satisfy all conditions ``where``; ``schema`` names the columns that are read (long,
+    int, double, string)."""
     register(spark)
-    reader = spark.read.format("sqlite").schema(schema).option("path", path).option("query", query).option("partitions", partitions)
+    reader = spark.read.format("sqlite").schema(schema).option("path", path).option("query", query).option("partitions", partitions).option("where", json.dumps(list(where)))
     return (reader.option("key", key) if key else reader).load()
 
 

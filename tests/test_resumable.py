@@ -65,21 +65,23 @@ def test_database_file(spark, database):
     df = databases.database_file(spark, database, "SELECT * FROM act WHERE value >= 10", "id long, kind string, value double", "id", 5)
     assert df.rdd.getNumPartitions() == 5
     assert df.count() == 960
-    some = df.filter("kind = 'Ki' and value < 100 and id is not null and length(kind) = 2")
-    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
-    # what the database takes needs no filter above the scan
-    assert "BatchScan sqlite" in plan(some) and " Filter (" not in plan(some) and " Filter (" in plan(df.filter("length(kind) = 2"))
-    assert sorted(r["id"] for r in some.collect()) == [k for k in range(40, 400) if k % 3 == 1 and k % 50]
-    assert df.filter("kind is null").count() == sum(1 for k in range(40, 1000) if k % 3 == 2)
-    assert df.filter("kind in ('Ki', 'x')").select("value").count() == sum(1 for k in range(40, 1000) if k % 3 == 1)
+    # frames of one source, filtered otherwise, and read in any order
+    ki, rest = df.filter("kind = 'Ki' and value < 100"), df.filter("kind is null")
+    assert (ki.unionByName(rest).count(), df.count()) == (sum(1 for k in range(40, 1000) if k % 3 == 2 or (k % 3 == 1 and k < 400)), 960)
+    where = [("kind", "=", "Ki"), ("value", "<", 100), ("id", "is not null", None), [("note", "like", "%1"), ("id", "in", [49, 52, 1000])]]
+    some = databases.database_file(spark, database, "SELECT * FROM act", "id long", "id", 3, where)
+    assert sorted(r["id"] for r in some.collect()) == [k for k in range(400) if k % 3 == 1 and k % 50 and (k % 10 == 1 or k in (49, 52))]
     assert databases.database_file(spark, database, "SELECT * FROM act WHERE 0", "id long", "id").count() == 0
+    assert databases.database_file(spark, database, "SELECT id, note FROM act", "note string", where=[[]]).count() == 0
     assert databases.database_file(spark, database, "SELECT id, note FROM act", "note string").count() == 1000
 
 
-def test_filters_reach_the_database(database):
-    reader = databases.SqliteReader(None, {"path": database, "query": "SELECT * FROM act"})
-    rest = list(reader.pushFilters([databases.EqualTo(("kind",), "Ki"), databases.In(("id",), (1, 2)), databases.EqualTo(("a", "b"), 1), databases.IsNotNull(("id",))]))
-    assert [type(f).__name__ for f in rest] == ["EqualTo"] and reader.where.text == ['"kind" = ?', '"id" IN (?, ?)', '"id" IS NOT NULL'] and reader.where.values == ["Ki", 1, 2]
+def test_conditions_are_bound(database):
+    where = '[["kind", "=", "it\'s"], [["id", "in", [1, 2]], ["id", "is null", null]], ["a\\"b", "like", "%x"]]'
+    reader = databases.SqliteReader(None, {"path": database, "query": "SELECT * FROM act", "where": where})
+    assert reader.where.text == ['"kind" = ?', '("id" IN (?, ?) OR "id" IS NULL)', '"a""b" LIKE ?'] and reader.where.values == ["it's", 1, 2, "%x"]
+    with pytest.raises(ValueError):
+        databases.sql_condition(("id", "; drop", 1))
 
 
 def test_rules_as_predicates(spark):
