@@ -111,3 +111,29 @@ def test_shares_of_long_runs():
             j = min(range(3), key=lambda j: ((now[j] + size) / share[j], j))
             now[j], want[j] = now[j] + size, want[j] + 1
         assert ordered._shared_out(size, count, filled, share) == want
+
+
+def test_pairs_of_large_groups_are_dealt_to_many_partitions(spark):
+    rows = [(k, "g" if k % 50 else "h", k % 3) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, v long")
+    x = pairs.group_pairs(df, ["g"], "id", ["v"])
+    assert x.count() == sum(n * (n - 1) for n in (2940, 60)) and x.select("a_id", "b_id").distinct().count() == x.count()
+    assert x.groupBy(F.spark_partition_id()).count().count() > 2  # one group has nearly all rows
+
+
+def test_preserved_pairs_equal_preserved_secondary(spark):
+    rng = random.Random(4)
+    rows = [(u, e, rng.choice([None, 0.0, 1.0, 1.2, 5.0, 6.1])) for u in range(40) for e in "vwxyz" if rng.random() < 0.7]
+    profile = spark.createDataFrame(rows, "u long, e string, median_value double")
+    tolerance = lambda e, v: F.greatest(F.lit(0.3), F.abs(v) * 0.25)
+    met = pairs.group_pairs(profile, ["e"], "u", []).filter("a_u < b_u").select(F.col("a_u").alias("a"), F.col("b_u").alias("b"), F.col("e").alias("primary"))
+    want = pairs.preserved_secondary(met, profile, "u", "e", tolerance, 2)
+    got = pairs.preserved_pairs(profile, "u", "e", tolerance, 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_similarity_is_found_once_for_two_classes(spark):
+    df = spark.createDataFrame([(k, ["a", "b"] if k % 2 else ["a", "b", "c"]) for k in range(60)], "id long, f array<string>")
+    x = pairs.overlap_pairs(df.withColumn("top", F.slice("f", 1, 2)), [], "id", "top", 2, ["f"], ("f", lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))))
+    got = {(r["a_id"], r["b_id"]): round(r["similarity"], 6) for r in x.collect()}
+    assert got == {(a, b): 1.0 if (a + b) % 2 == 0 else 0.666667 for a in range(60) for b in range(a + 1, 60)}
