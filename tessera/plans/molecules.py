@@ -56,8 +56,9 @@ def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parts with their canonical text; and one graph for each structure with ``id``, its smallest part."""
     parts = notations(spark, sf_dir)
     canonical = structures.canonical_table(structures.graph_table(parts, "notation"))
-    named = parts.join(canonical, "notation")
-    return named.select("p_partkey", "canonical"), named.groupBy("canonical").agg(F.min("p_partkey").alias("id"), F.first("graph").alias("graph"))
+    named = parts.join(canonical.select("notation", "canonical"), "notation").select("p_partkey", "canonical")
+    # graphs stay with the few distinct structures: a part carries none
+    return named, named.groupBy("canonical").agg(F.min("p_partkey").alias("id")).join(structures.one_each(canonical), "canonical")
 
 
 @query(f"WITH {_M} SELECT p_partkey, id AS class, r1 + r2 + c + 1 + (b > 0)::INT AS atoms FROM m")

@@ -228,3 +228,14 @@ def test_matched_pairs_need_other_variables_and_near_sizes(spark):
     rows = [(1, "K", "a", 9, 2), (2, "K", "b", 9, 4), (3, "K", "a", 9, 2), (4, "K", "c", 9, 5), (5, "L", "d", 9, 3), (6, "K", "e", 4, 3)]
     df = spark.createDataFrame(rows, "id long, core string, variable string, core_size int, variable_size int")
     assert {(r["a"], r["b"]) for r in structures.core_pairs(df, "id").collect()} == {(1, 2), (2, 1), (2, 3), (3, 2), (2, 4), (4, 2)}
+
+
+def test_parts_are_grouped_without_their_graphs(spark):
+    from tessera.plans import molecules
+
+    parts, known = molecules._known(spark, "/root/testdata/sf0.001")
+    assert "graph" not in parts.columns
+    assert known.select("canonical").distinct().count() == known.count() == parts.select("canonical").distinct().count()
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    smallest = next(line for line in plan.splitlines() if "min(p_partkey" in line)
+    assert "first(graph" not in smallest
