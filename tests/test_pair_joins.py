@@ -137,3 +137,63 @@ def test_similarity_is_found_once_for_two_classes(spark):
     x = pairs.overlap_pairs(df.withColumn("top", F.slice("f", 1, 2)), [], "id", "top", 2, ["f"], ("f", lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))))
     got = {(r["a_id"], r["b_id"]): round(r["similarity"], 6) for r in x.collect()}
     assert got == {(a, b): 1.0 if (a + b) % 2 == 0 else 0.666667 for a in range(60) for b in range(a + 1, 60)}
+
+
+def _close(a, b):
+    return len({*a} & {*b}) / len({*a} | {*b})
+
+
+def test_most_similar_worse_row(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice("gh"), rng.choice([1.0, 1.5, 2.0, 2.5, 3.0, 9.0]), sorted(rng.sample(range(8), rng.randint(1, 4)))) for k in range(60)]
+    df = spark.createDataFrame(rows, "u long, g string, p double, f array<int>").repartition(3)
+    x = pairs.most_similar_worse(df, ["g"], "u", "p", "f", gain=0.5, loss=1.0)
+    want = set()
+    for a, b in itertools.permutations(rows, 2):
+        worse = [n for n in rows if n[1] == a[1] and n[2] - a[2] <= -1.0]
+        if a[1] == b[1] and b[2] - a[2] >= 0.5 and worse:
+            want.add((a[0], b[0], min(worse, key=lambda n: (-_close(b[3], n[3]), n[2], n[0]))[0]))
+    assert set(map(tuple, x.select("a_id", "b_id", "n_id").collect())) == want
+
+
+def test_largest_decreases_by_sizes(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.choice("gh"), float(rng.randint(1, 9)), rng.randint(1, 6)) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, g string, v double, s int").repartition(3)
+    task = spark.createDataFrame([("x", -1.0, 4), ("y", -3.0, 1)], "task string, most double, band int")
+    want = set()
+    for name, most, band in (("x", -1.0, 4), ("y", -3.0, 1)):
+        for a in rows:
+            ok = [b for b in rows if b[1] == a[1] and b[0] != a[0] and b[2] - a[2] <= most and abs(b[3] - a[3]) <= band]
+            want |= {(name, a[0], b[0]) for b in sorted(ok, key=lambda b: (b[2] - a[2], b[0]))[:3]}
+    assert {(r["task"], r["a_id"], r["b_id"]) for r in pairs.extreme_partners(df, ["g"], "id", "v", "s", task, 3).collect()} == want
+
+
+def test_scoped_negatives_of_unknown_improvement_go_by_id(spark):
+    kind = "id long, k string, t long, d double, b array<int>"
+    positives = spark.createDataFrame([(1, "k", 1, None, [1, 2]), (2, "k", 1, 0.5, [1, 2])], kind)
+    negatives = spark.createDataFrame([(10, "k", 2, 0.4, [1, 2]), (11, "k", 2, 0.1, [1, 2]), (9, "k", 1, 0.0, [1, 2]), (2, "k", 3, 0.0, [1, 2])], kind)
+    got = {r["positive_id"]: r["negative_id"] for r in pairs.scoped_hard_negative(positives, negatives, ["k"], ["k"], "id", "t", "d", "b", fallback=False).collect()}
+    assert got == {1: 2, 2: 11}
+    few = negatives.filter("id in (10, 11)")
+    got = {r["positive_id"]: r["negative_id"] for r in pairs.scoped_hard_negative(positives, few, ["k"], ["k"], "id", "t", "d", "b", fallback=False).collect()}
+    assert got == {1: 10, 2: 11}
+
+
+def test_triplets_equal_a_plain_search(spark):
+    rng = random.Random(7)
+    rows = [(k, "g", rng.choice([1.0, 1.5, 2.0, 2.5, 3.0]), sorted(rng.sample(range(8), rng.randint(2, 4)))) for k in range(40)]
+    df = spark.createDataFrame(rows, "u long, g string, p double, f array<int>").repartition(3)
+    for gain in (0.5, -0.5):
+        best = pairs.strongest_partner(df, ["g"], "u", "p", "f", gain=gain, similarity=0.3, scan=7)
+        want, triplets = {}, {}
+        for a in rows:
+            c = sorted((b for b in rows if b[0] != a[0] and b[2] >= a[2] + gain), key=lambda b: (-b[2], b[0]))[:7]
+            if ok := [b for b in c if _close(a[3], b[3]) >= 0.3]:
+                want[a[0]] = ok[0][0]
+                n = sorted((n for n in rows if n[0] not in (a[0], ok[0][0]) and n[2] <= a[2] - 0.25), key=lambda n: (n[2], n[0]))[:5]
+                if good := [x for x in n if _close(a[3], x[3]) >= 0.2 and _close(ok[0][3], x[3]) >= 0.2]:
+                    triplets[a[0]] = good[0][0]
+        assert {r["a_u"]: r["b_u"] for r in best.collect()} == want
+        got = pairs.hard_negative(best, df, ["g"], "u", "p", "f", 0.25, 0.2, 0.2, scan=5)
+        assert {r["a_u"]: r["n_id"] for r in got.collect()} == triplets
