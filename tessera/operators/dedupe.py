@@ -30,6 +30,13 @@ def ordered_pairs_once(pairs: DataFrame, a: str, b: str, order: Sequence[Column]
     return first_rows(pairs, [a, b], order)
 
 
+def first_buckets(pairs: DataFrame, a: str, b: str, bucket: str) -> DataFrame:
+    """(a, b, bucket): each ordered pair once with the smallest bucket that holds it, by an aggregation of numbers. Pairs rarely repeat,
+    so they aren't aggregated before the shuffle, and small partitions of a given number bound what a task holds."""
+    parts = 8 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select(a, b, bucket).repartition(parts, a, b).groupBy(a, b).agg(F.min(bucket).alias(bucket))
+
+
 def overlap_cleaned(rows: DataFrame, split: str, key: str) -> DataFrame:
     """Test rows that share a key with val go; train rows that share one with what is left of val and test go."""
     val, test, train = (rows.filter(F.col(split) == s) for s in ("val", "test", "train"))

@@ -125,11 +125,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY bucket, ln) AS n F
 )
 def ordered_pairs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D6."""
-    from ..operators import pairs
-
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    x = pairs.group_pairs(li, ["l_orderkey"], "l_partkey", ["l_linenumber"])
-    return dedupe.ordered_pairs_once(x, "a_l_partkey", "b_l_partkey", [F.col("l_orderkey"), F.col("a_l_linenumber")]).select(F.col("a_l_partkey").alias("a"), F.col("b_l_partkey").alias("b"), F.col("l_orderkey").alias("bucket"))
+    # an order has a few lines: a plain join, without blocks
+    side = lambda name: table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias(name))
+    x = side("a").join(side("b"), "l_orderkey").filter("a <> b")
+    return dedupe.first_buckets(x, "a", "b", "l_orderkey").select("a", "b", F.col("l_orderkey").alias("bucket"))
 
 
 @query(

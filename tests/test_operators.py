@@ -88,3 +88,25 @@ def test_features(spark):
     uni = spark.createDataFrame([("e", x) for x in "abcd"], "k string, item string")
     d = features.decoys(pos, uni, "k", "q", "item", 2, "s").collect()
     assert len(d) == 4 and (1, "a") not in {(r["q"], r["item"]) for r in d}
+
+
+def test_cells_are_shuffled_as_rows(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import features
+
+    df = spark.createDataFrame([(1, [0, 1], [1], "x y", "t", 2.0), (1, [0], None, "y", "t", 1.0), (2, None, [3], None, "", 0.0)], "id long, a array<int>, b array<int>, x string, t string, v double")
+    cells = features.candidate_cells(df, "id", "a", "b", "x", ["t"], [F.col("v")], 8, 8, 8)
+    assert {r["column"]: r["value"] for r in cells.filter("id = 1 and column < 24").collect()} == {0: 2.0, 1: 1.0, 9: 1.0, 16: 2.0}
+    packed = cells.groupBy("id").agg(F.sum("value"))
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+def test_first_bucket_of_each_ordered_pair(spark):
+    from tessera.operators import dedupe
+
+    x = spark.createDataFrame([(1, 2, 9), (1, 2, 4), (2, 1, 7), (1, 3, 5)], "a long, b long, k long")
+    assert sorted(map(tuple, dedupe.first_buckets(x, "a", "b", "k").collect())) == [(1, 2, 4), (1, 3, 5), (2, 1, 7)]
