@@ -77,3 +77,12 @@ def test_answer_records_keep_first_rows_and_all_cores(spark):
     x = df.withColumns({"up": -F.col("d"), "near": -F.col("s")})
     r = aggregate.answer_records(x, ["q"], F.col("i"), "t", F.col("good"), [F.col("up")], [F.col("near"), F.col("up")], "core", ["a"]).collect()
     assert len(r) == 1 and (r[0]["a"], r[0]["cores"], r[0]["positives"], r[0]["negatives"]) == ("first", ["c1", "c2", "c3", "c4"], ["y", "x"], ["m", "n"])
+
+
+def test_edits_broadcast_no_parts(spark):
+    from tests.conftest import SMALL
+
+    from tessera.plans import editing
+
+    plan = editing.edits(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("l_partkey" in line or "o_custkey" in line)]
