@@ -1,5 +1,6 @@
 """Pair joins, running sums and bins against plain restatements."""
 
+import collections
 import itertools
 import random
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ordered, pairs
+from tessera.plans.catalog import QUERIES
 
 
 def sets(seed, n, most):
@@ -197,3 +199,32 @@ def test_triplets_equal_a_plain_search(spark):
         assert {r["a_u"]: r["b_u"] for r in best.collect()} == want
         got = pairs.hard_negative(best, df, ["g"], "u", "p", "f", 0.25, 0.2, 0.2, scan=5)
         assert {r["a_u"]: r["n_id"] for r in got.collect()} == triplets
+
+
+@pytest.mark.parametrize("block", [5, 1 << 18])
+def test_window_counts(spark, block):
+    rng, nan = random.Random(4), float("nan")
+    rows = [(k, rng.choice("gh"), rng.choice([-3.0, 0.0, 0.1, 2.5, 5.0, rng.uniform(-9, 9)]), rng.choice([0.0, 0.1, 0.2, 0.3, nan]), rng.randint(0, 4)) for k in range(150)]
+    rows += [(500, "g", None, 0.1, 1), (501, None, 1.0, 0.1, 1), (502, None, 1.0, 0.1, 1), (503, "g", nan, 0.1, 1), (504, "g", float("inf"), 0.1, 1), (505, "g", 1.0, None, 1)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double, z long").repartition(3)
+    checks = {"y": lambda a, b: a - b <= 0.1, "z": lambda a, b: (b - a <= 1) & (a - b <= 1)}
+    got = pairs.window_counts(df, ["g"], ("x", 2.5), checks, block).first()
+    near = [(a, b) for a, b in itertools.permutations(rows, 2) if a[1] and a[1] == b[1] and a[2] is not None and b[2] is not None and abs(b[2] - a[2]) <= 2.5]
+    held = [1 for a, b in near if a[3] is not None and b[3] is not None and a[3] - b[3] <= 0.1 and abs(a[4] - b[4]) <= 1]
+    assert (got["near"], got["held"]) == (len(near), len(held))
+    assert tuple(pairs.window_counts(df.limit(0), ["g"], ("x", 2.5), checks).first()) == (0, 0)
+
+
+def test_descriptor_windows_are_counted_without_pairs(spark, tmp_path):
+    """60,000 parts of one brand make 3.6 billion pairs."""
+    n = 60_000
+    df = spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), (F.col("id") % 50 + 1).cast("int").alias("p_size"), (900 + F.col("id") % 1000 / 10).alias("p_retailprice"))
+    df.write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["descriptor_window"](spark, str(tmp_path))
+    assert "CoGroup" in got._jdf.queryExecution().executedPlan().toString()
+    row = got.first()
+    assert row["n"] == row["mw"] == n * (n - 1)
+    size = collections.Counter(k % 50 for k in range(n))
+    assert row["logp"] == sum(x * y for i, x in size.items() for j, y in size.items() if abs((i + 1) / 10 - (j + 1) / 10) <= 2) - n
+    both = collections.Counter((k % 100, k % 7) for k in range(n))
+    assert row["success"] == sum(x * y for (i, s), x in both.items() for (j, t), y in both.items() if abs((j % 50 + 1) / 10 - (i % 50 + 1) / 10) <= 2 and i / 100 - j / 100 <= 0.1 and t - s <= 1) - n
