@@ -1,6 +1,10 @@
+import re
+
 from pyspark.sql import functions as F
+from tests.conftest import SMALL
 
 from tessera.operators import aggregate, audit, dedupe, features, metrics, pairs, rank, split
+from tessera.plans.catalog import QUERIES
 
 
 def rows(df):
@@ -110,3 +114,13 @@ def test_first_bucket_of_each_ordered_pair(spark):
 
     x = spark.createDataFrame([(1, 2, 9), (1, 2, 4), (2, 1, 7), (1, 3, 5)], "a long, b long, k long")
     assert sorted(map(tuple, dedupe.first_buckets(x, "a", "b", "k").collect())) == [(1, 2, 4), (1, 3, 5), (2, 1, 7)]
+
+
+def test_component_labels_contract_the_graph(spark, monkeypatch):
+    edges = [(k, k + 1) for k in range(1, 300)] + [(1000 + k % 7, 2000 + k) for k in range(300)] + [(5, 5), (9000, 9000)]
+    seen, keep = [], split.kept
+    monkeypatch.setattr(split, "kept", lambda df: (x := keep(df), seen.append(x.count() if x.columns == ["a", "b"] else None))[0])
+    got = dict(map(tuple, split.component_labels(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**dict.fromkeys(range(1, 301), 1), **{2000 + k: 1000 + k % 7 for k in range(300)}, **{1000 + k: 1000 + k for k in range(7)}, 9000: 9000}
+    sizes = [n for n in seen if n is not None]
+    assert sizes[0] == len(edges) and sizes[-1] == 0 and all(b < a for a, b in zip(sizes, sizes[1:]))
