@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked_metrics(queries: DataFrame, ranked: DataFrame, answers: DataFrame, k: int = 10) -> DataFrame:
+def ranked_metrics(queries: DataFrame, ranked: DataFrame, answers: DataFrame, k: int = 10, tasks: int | None = None) -> DataFrame:
     """Per query success, mrr, ndcg and diversity at k. ``ranked``: query_id, pos (from 1), item; ``answers``: query_id,
-    item, gain (the last duplicate of an item must be chosen before); queries without predictions score 0."""
-    top = ranked.filter(F.col("pos") <= k)
-    hits = top.join(answers.select("query_id", "item", "gain"), ["query_id", "item"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
+    item, gain (the last duplicate of an item must be chosen before); queries without predictions score 0. ``tasks``: in how many
+    partitions rows are dealt out; without it as many as Spark's setting says, whatever their number."""
+    dealt = (lambda x, *keys: x.repartition(tasks, *keys)) if tasks else (lambda x, *keys: x)
+    top = dealt(ranked.filter(F.col("pos") <= k).select("query_id", "pos", "item"), "query_id", "item")
+    known = answers.select("query_id", "item", "gain")
+    hits = top.join(dealt(known, "query_id", "item"), ["query_id", "item"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
     dcg = F.sum(F.col("gain") / F.log2(F.col("pos") + 1))
-    got = hits.groupBy("query_id").agg(F.max((F.col("gain") > 0).cast("int")).alias("success"), F.min(F.when(F.col("gain") > 0, F.col("pos"))).alias("_first"), dcg.alias("_dcg"), (F.count_distinct("item") / F.count("*")).alias("diversity"))
+    got = dealt(hits, "query_id").groupBy("query_id").agg(F.max((F.col("gain") > 0).cast("int")).alias("success"), F.min(F.when(F.col("gain") > 0, F.col("pos"))).alias("_first"), dcg.alias("_dcg"), (F.count_distinct("item") / F.count("*")).alias("diversity"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "item"))
-    ideal = answers.withColumn("pos", place).filter(F.col("pos") <= k).groupBy("query_id").agg(dcg.alias("_ideal"))
-    out = queries.select("query_id").join(got, "query_id", "left").join(ideal, "query_id", "left")
+    ideal = dealt(known, "query_id").withColumn("pos", place).filter(F.col("pos") <= k).groupBy("query_id").agg(dcg.alias("_ideal"))
+    out = dealt(queries.select("query_id"), "query_id").join(got, "query_id", "left").join(ideal, "query_id", "left")
     zero = F.lit(0.0)
     return out.select("query_id", F.coalesce("success", F.lit(0)).alias("success"), F.coalesce(1 / F.col("_first"), zero).alias("mrr"), F.coalesce(F.when(F.col("_ideal") > 0, F.col("_dcg") / F.col("_ideal")), zero).alias("ndcg"), F.coalesce("diversity", zero).alias("diversity"))
 

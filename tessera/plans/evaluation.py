@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import features, metrics, ordered
+from ..operators import features, metrics, ordered, split
 from .catalog import query, table
 
 # Predictions: the lines of an order by price; answers: lines by discount with a gain.
@@ -13,13 +13,16 @@ _PRED = "pred AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orde
 _ANS = "ans AS (SELECT l_orderkey AS q, l_partkey AS item, max(l_discount * 10) AS gain FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL)"
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Queries, predictions, answers, and in how many partitions lines are dealt out by order."""
     li = table(spark, sf_dir, "lineitem")
+    n = split.tasks(li)
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_returnflag").repartition(n, "l_orderkey")
     q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"))
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey"))
     ranked = li.filter("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("query_id"), place.alias("pos"), F.col("l_partkey").alias("item"))
     answers = li.filter("l_returnflag <> 'A'").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("item")).agg(F.max(F.col("l_discount") * 10).alias("gain"))
-    return q, ranked, answers
+    return q, ranked, answers, n
 
 
 @query(
@@ -33,7 +36,8 @@ FROM orders LEFT JOIN g ON g.q = o_orderkey LEFT JOIN i ON i.q = o_orderkey"""
 )
 def ranked_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1-E3, W17, J6."""
-    m = metrics.ranked_metrics(*_inputs(spark, sf_dir), k=3)
+    *inputs, n = _inputs(spark, sf_dir)
+    m = metrics.ranked_metrics(*inputs, k=3, tasks=n)
     return m.select("query_id", "success", *(F.round(c, 9).alias(c) for c in ("mrr", "ndcg", "diversity")))
 
 
@@ -113,7 +117,7 @@ SELECT q AS query_id, array_to_string(list(item ORDER BY k), ',') AS ranked, cou
 )
 def oracle_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold answers in order of confidence as predictions."""
-    _, _, answers = _inputs(spark, sf_dir)
+    _, _, answers, _ = _inputs(spark, sf_dir)
     a = answers.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("gain")).alias("g"), "item"))).alias("a"))
     return a.select("query_id", F.array_join(F.transform("a", lambda x: x["item"].cast("string")), ",").alias("ranked"), F.size("a").cast("long").alias("n"))
 

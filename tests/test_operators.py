@@ -124,3 +124,12 @@ def test_component_labels_contract_the_graph(spark, monkeypatch):
     assert got == {**dict.fromkeys(range(1, 301), 1), **{2000 + k: 1000 + k % 7 for k in range(300)}, **{1000 + k: 1000 + k for k in range(7)}, 9000: 9000}
     sizes = [n for n in seen if n is not None]
     assert sizes[0] == len(edges) and sizes[-1] == 0 and all(b < a for a, b in zip(sizes, sizes[1:]))
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    assert (split.tasks(spark.range(100), 10), split.tasks(spark.range(100), 1000)) == (11, 4)
+    monkeypatch.setattr(split, "tasks", lambda df: 37)
+    for name, keys in {"violations": ["q", "o_custkey"], "ranked_metrics": ["l_orderkey", "query_id"]}.items():
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?(?:, \w+#\d+L?)*, (\d+)\)", plan)
+        assert {(k, "37") for k in keys} <= set(dealt) and not {(k, n) for k, n in dealt if k in keys and n != "37"}
