@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from .session import stored
 from .text import Words, chunks
 
 WINDOW, OPEN, MIN_CUT, END = 4096, 64, 64, 2
-CACHE_WORDS, CHUNK, MERGE_ROWS = 2_000_000, 4 << 20, 100_000
+CACHE_WORDS, CHUNK, MERGE_ROWS = 600_000, 4 << 20, 100_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
 
@@ -51,9 +52,15 @@ class WordEncoder:
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.first, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
 
+    def halve(self) -> None:
+        """Keep the words that came first, the frequent ones among them; their ids stand at the front of the arrays."""
+        keep = CACHE_WORDS // 2
+        self.used = int(self.first[keep])
+        self.slot = dict(itertools.islice(self.slot.items(), keep))
+
     def _slots(self, kinds: list[bytes]) -> np.ndarray:
         if len(self.slot) > CACHE_WORDS:
-            self.clear()
+            self.halve()
         fresh = [w for w in kinds if w not in self.slot]
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]

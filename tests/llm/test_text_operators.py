@@ -523,3 +523,18 @@ def test_long_words_do_not_collide(spark):
         thue += thue.translate(str.maketrans("ab", "ba"))
     docs = spark.createDataFrame([(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, thue)], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard.join_classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_encoder_bounds_its_words_and_keeps_the_first(monkeypatch):
+    """Before, up to two million words stayed in a worker, and all of them went at once."""
+    assert packing.CACHE_WORDS <= 1_000_000
+    monkeypatch.setattr(packing, "CACHE_WORDS", 60)
+    import public_tokenizers
+
+    made = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["the common words", *(" ".join(f"the w{k}x{j}" for j in range(25)) for k in range(12)), "the common words again"]
+    for text in texts:
+        ids, at = made.encode(pa.array([text, ""]))
+        want = made.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == [*want, packing.END, packing.END] and at.tolist() == [0, len(want) + 1, len(want) + 2]
+        assert b"the" in made.slot and b"common" in made.slot and len(made.slot) <= 60 + 26
