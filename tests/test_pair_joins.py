@@ -228,3 +228,11 @@ def test_descriptor_windows_are_counted_without_pairs(spark, tmp_path):
     assert row["logp"] == sum(x * y for i, x in size.items() for j, y in size.items() if abs((i + 1) / 10 - (j + 1) / 10) <= 2) - n
     both = collections.Counter((k % 100, k % 7) for k in range(n))
     assert row["success"] == sum(x * y for (i, s), x in both.items() for (j, t), y in both.items() if abs((j % 50 + 1) / 10 - (i % 50 + 1) / 10) <= 2 and i / 100 - j / 100 <= 0.1 and t - s <= 1) - n
+
+
+def test_similarities_are_rounded_once_for_two_classes(spark):
+    df = spark.createDataFrame([(k, ["a", "b", "c"]) for k in range(20)] + [(20 + k, ["a", "b"]) for k in range(20)], "id long, parts array<string>")
+    x = pairs.similar_pairs(df, "id", "parts", 0.6, 2)
+    assert sorted(map(tuple, x.groupBy("similarity").count().collect())) == [(0.67, 400), (1.0, 380)]
+    plan = QUERIES["fragment_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("round(")  # below the rows that a pair of classes becomes
