@@ -102,12 +102,16 @@ def edit_rates(df: DataFrame, mw: float = 100.0, logp: float = 2.0, qed: float =
 
 
 def rate_summary(rates: DataFrame, views: Sequence[str]) -> DataFrame:
-    """Means of all rows, of every value of each view, and over the values of each view (macro)."""
+    """Means of all rows, of every value of each view, and over the values of each view (macro). The means of the values are
+    few rows and go on to their macro row; the rates, the dear part, are computed once."""
     named = [F.concat(F.lit(f"{v}:"), F.coalesce(F.col(v).cast("string"), F.lit("unknown"))) for v in views]
     rows = rates.withColumn("view", F.explode(F.array(F.lit("all"), *named)))
     per = rows.groupBy("view").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in RATES))
-    macro = per.filter("view <> 'all'").groupBy(F.concat(F.lit("macro:"), F.substring_index("view", ":", 1)).alias("view")).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in RATES))
-    return per.unionByName(macro)
+    macro = F.concat(F.lit("macro:"), F.substring_index("view", ":", 1))
+    own = F.struct(F.col("view"), F.lit(False).alias("macro"))
+    to = per.withColumn("_to", F.explode(F.when(F.col("view") == "all", F.array(own)).otherwise(F.array(own, F.struct(macro.alias("view"), F.lit(True).alias("macro"))))))
+    both = to.groupBy("_to").agg(F.when(F.col("_to.macro"), F.count("*")).otherwise(F.max("n")).alias("n"), *(F.avg(c).alias(c) for c in RATES))  # the mean of one row is that row
+    return both.select("_to.view", "n", *RATES)
 
 
 def replacement_summary(records: DataFrame, predictions: DataFrame) -> DataFrame:

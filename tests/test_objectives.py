@@ -86,3 +86,19 @@ def test_edits_broadcast_no_parts(spark):
 
     plan = editing.edits(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("l_partkey" in line or "o_custkey" in line)]
+
+
+def test_rate_summary_computes_rates_once(spark):
+    """Before, the means over the values of a view computed all rates a second time, with all joins below them."""
+    rates = spark.createDataFrame([("macro", 1.0), ("macro", 3.0), (None, 8.0)], "macro string, x double")
+    rates = rates.withColumns({c: F.col("x") for c in objectives.RATES}).withColumn("hit_1", F.when(F.col("x") > 5, F.col("x")))
+    made = objectives.rate_summary(rates, ["macro"])
+    assert sorted((r["view"], r["n"], r["mw_pass"], r["hit_1"]) for r in made.collect()) == [
+        ("all", 3, 4.0, 8.0), ("macro:macro", 2, 2.0, None), ("macro:macro", 2, 5.0, 8.0), ("macro:unknown", 1, 8.0, 8.0),
+    ]
+    from tests.conftest import SMALL
+
+    from tessera.plans import editing
+
+    plan = editing.edit_summary(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("lineitem" in line or "l_partkey#" in line and "Relation" in line for line in plan.splitlines()) == 2 and "Union" not in plan
