@@ -7,7 +7,9 @@ the document fills it first. At the end each partition leaves at most OPEN windo
 by their lengths alone, are merged best-fit-decreasing in groups of bounded size, and keep their tokens' order.
 
 Words are tokenized once each (white space separates tokens of this tokenizer, so the ids of a text are those
-of its words in order) and kept in a cache of bounded size.
+of its words in order) and kept in a cache of bounded size. They are also cut between an ASCII letter and one of ``.,;:!?*$``:
+the tokenizer's runs of letters end there, its runs of signs begin there, nothing composes across, and none of its control
+tokens holds such a place. So a word and its forms before punctuation are one entry.
 
 Defined cases: null and empty text give the end token alone; repeated rows and ids are packed like any other rows;
 a null doc_id stays null; further columns are ignored.
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,10 @@ CACHE_WORDS, CHUNK, MERGE_ROWS = 600_000, 4 << 20, 100_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
 
+_LETTER, _SIGN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[list(b".,;:!?*$")] = True
+
 
 class WordEncoder:
     """Token ids of words, each tokenized once."""
@@ -48,41 +55,54 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_binary())
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.first, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
 
+    @property
+    def slot(self) -> dict[bytes, int]:
+        """The kept words and their places."""
+        return {word: k for k, word in enumerate(self.known.to_pylist())}
+
     def halve(self) -> None:
         """Keep the words that came first, the frequent ones among them; their ids stand at the front of the arrays."""
         keep = CACHE_WORDS // 2
         self.used = int(self.first[keep])
-        self.slot = dict(itertools.islice(self.slot.items(), keep))
+        self.known = self.known[:keep]
 
-    def _slots(self, kinds: list[bytes]) -> np.ndarray:
-        if len(self.slot) > CACHE_WORDS:
-            self.halve()
-        fresh = [w for w in kinds if w not in self.slot]
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+    def _learn(self, kinds: pa.Array) -> None:
+        """Tokenize new words and keep them behind the others."""
+        at = len(self.known)
+        for k in range(0, len(kinds), 20_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(kinds[k : k + 20_000].cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
             size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            at, n, total = len(self.slot), len(part), int(size.sum())
+            n, total = len(ids), int(size.sum())
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while at + n > len(self.first):
                 self.first, self.size = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            self.flat[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), dtype=np.uint32, count=total)
+            self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=total)
             self.first[at : at + n], self.size[at : at + n] = self.used + np.cumsum(size) - size, size
             self.used += total
-            self.slot.update(zip(part, range(at, at + n), strict=True))
-        return np.fromiter(map(self.slot.__getitem__, kinds), dtype=np.int64, count=len(kinds))
+            at += n
+        self.known = pa.concat_arrays([self.known, kinds])
+
+    def _slots(self, words: pa.Array) -> np.ndarray:
+        if len(self.known) > CACHE_WORDS:
+            self.halve()
+        found = pc.index_in(words, value_set=self.known)
+        new = pc.is_null(found)
+        out = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            coded, base = words.filter(new).dictionary_encode(), len(self.known)
+            self._learn(coded.dictionary)
+            out[out < 0] = base + coded.indices.to_numpy(zero_copy_only=False)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end token after each text, and the texts' offsets in them."""
-        words = Words(texts)
-        coded = words.strings().dictionary_encode()
-        slots = self._slots(coded.dictionary.to_pylist())
-        slot = slots[coded.indices.to_numpy(zero_copy_only=False)] if len(slots) else np.zeros(0, dtype=np.int64)
+        words = Words(texts, cut=(_LETTER, _SIGN))
+        slot = self._slots(words.strings())
         size = self.size[slot]
         total = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])

@@ -538,3 +538,17 @@ def test_encoder_bounds_its_words_and_keeps_the_first(monkeypatch):
         want = made.tokenizer.encode(text, add_special_tokens=False).ids
         assert ids.tolist() == [*want, packing.END, packing.END] and at.tolist() == [0, len(want) + 1, len(want) + 2]
         assert b"the" in made.slot and b"common" in made.slot and len(made.slot) <= 60 + 26
+
+
+def test_encoder_tokenizes_words_without_their_signs(monkeypatch):
+    """Before, each form of a word before punctuation was tokenized for itself."""
+    import public_tokenizers
+
+    made = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    made.encode(pa.array(["heat heat. heat, heat!! heat*** heat", "heat", ".heat"]))
+    assert sorted(made.slot) == [b"!!", b"***", b",", b".", b".heat", b"heat"]
+    odd = ["it's. don't's, 's.x a.'s!", "a<|endoftext|>. <|ENDOFTEXT|>, x<|startoftext|>!y <|.|>", "e\u0301. e.\u0301 W\u030a, n.\u0338 \u0130, \u01c5. \xa0a.\xa0", "1.5a.5 a,b;c:d!e?f*g$h x\u2026. x.\u2026 \U0001f600.a", "a", ".b", "", None, "\x1ca.\x85b, A.B. Stra\xdfe."]
+    for texts in (odd, odd[::-1]):
+        ids, at = made.encode(pa.array(texts))
+        for text, i, j in zip(texts, at[:-1], at[1:], strict=True):
+            assert ids[i:j].tolist() == [*made.tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END]
