@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import free_name, stored
+from .session import free_name, given_back, stored
 from .text import _SPACE, Slots, Words, chunks, mix
 
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 4_000_000
@@ -182,13 +182,15 @@ class ToxicityModel:
 
     def __init__(self, texts: list[str], toxic: np.ndarray, folds: np.ndarray, share: float | None = None) -> None:
         """``folds``: a fold for each text; ``share``: the share of toxic rows among all labelled ones, if the sample's own isn't it."""
-        held = [(pa.array([t for t, x in zip(texts, folds == k, strict=True) if x], pa.string()), self._sides(texts, toxic, folds != k), folds == k) for k in np.unique(folds)]
-        curves = {}
-        for discount in DISCOUNTS:
-            x, n = np.zeros((len(texts), 2)), np.zeros(len(texts))
-            for own, sides, rows in held:
+        # fold by fold: the counts of one are held at a time
+        found = {d: (np.zeros((len(texts), 2)), np.zeros(len(texts))) for d in DISCOUNTS}
+        for k in np.unique(folds):
+            rows = folds == k
+            own, sides = pa.array([t for t, x in zip(texts, rows, strict=True) if x], pa.string()), self._sides(texts, toxic, ~rows)
+            for discount, (x, n) in found.items():
                 x[rows], n[rows] = Evidence(sides, *discount)(own)
-            curves[discount] = self._fit(x[n > 0], toxic[n > 0], share)
+            del own, sides
+        curves = {d: self._fit(x[n > 0], toxic[n > 0], share) for d, (x, n) in found.items()}
         self.discount = min(curves, key=lambda d: curves[d][0])
         self.weights = curves[self.discount][1]
         self.evidence = Evidence(self._sides(texts, toxic, np.ones(len(texts), dtype=bool)), *self.discount)
@@ -254,7 +256,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     wanted = docs.sparkSession.createDataFrame(chosen, "_id long, _y int")
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text")).join(F.broadcast(wanted), "_id")
     texts = texts.groupBy("_id").agg(F.max("_y").alias("_y"), F.min("text").alias("text"), F.abs(F.xxhash64("_id")).alias("_h")).orderBy("_id").collect()
-    return ToxicityModel([r["text"] for r in texts], np.array([r["_y"] for r in texts]), np.array([r["_h"] % FOLDS for r in texts]), total[1] / (total[0] + total[1]))
+    model = ToxicityModel([r["text"] for r in texts], np.array([r["_y"] for r in texts]), np.array([r["_h"] % FOLDS for r in texts]), total[1] / (total[0] + total[1]))
+    del texts
+    given_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:

@@ -395,3 +395,49 @@ def test_scoring_query(spark):
     want = brute_base(list(zip(text["doc_id"], text["text"], strict=True)), lambda k: zlib.crc32(str(k).encode()) % 7 != 2)
     for r in rows:
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][:3] and math.isclose(r["base_score"], want[r["doc_id"]][3], rel_tol=1e-9)
+
+
+def test_toxicity_holds_the_counts_of_one_fold_at_a_time(monkeypatch):
+    from weakref import WeakSet
+
+    from tessera.llm import toxicity
+
+    alive, most = WeakSet(), []
+
+    class Watched(toxicity.ClassCounts):
+        def __init__(self, *tokens):
+            super().__init__(*tokens)
+            alive.add(self)
+            most.append(len(alive))
+
+    monkeypatch.setattr(toxicity, "ClassCounts", Watched)
+    texts = [f"one two w{k} {'bad' if k % 2 else 'good'} three" for k in range(60)]
+    toxicity.ToxicityModel(texts, np.arange(60) % 2, np.arange(60) // 2 % 3)
+    assert len(most) == 8 and max(most) == 2
+
+
+def test_training_gives_memory_back(spark, monkeypatch):
+    from tessera.llm import toxicity
+
+    given = []
+    monkeypatch.setattr(toxicity, "given_back", lambda: given.append(True))
+    docs = spark.createDataFrame([(k, f"word{k % 3} other") for k in range(8)], "doc_id long, text string")
+    assert toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id % 2) as toxic")) is not None
+    assert given == [True]
+
+
+def test_freed_memory_leaves_the_process():
+    from pathlib import Path
+
+    from tessera.llm.session import given_back
+
+    smaps = Path("/proc/self/smaps_rollup")
+    if not smaps.exists():
+        pytest.skip("no figures of memory here")
+    used = lambda: int(smaps.read_text().split("\nPss_Anon:")[1].split()[0]) / 1024
+    blocks = [bytes(2000) for _ in range(100_000)]
+    pins = blocks[::100]  # the heap can't shrink from its end
+    full = used()
+    del blocks
+    given_back()
+    assert used() < full - 100 and len(pins) == 1000
