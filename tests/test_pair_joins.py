@@ -236,3 +236,29 @@ def test_similarities_are_rounded_once_for_two_classes(spark):
     assert sorted(map(tuple, x.groupBy("similarity").count().collect())) == [(0.67, 400), (1.0, 380)]
     plan = QUERIES["fragment_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.index("Generate") < plan.index("round(")  # below the rows that a pair of classes becomes
+
+
+def test_preserved_pairs_are_not_joined(spark):
+    """Before, every pair was a joined row whose changes were found one by one. Here are ties, NULL, NaN, infinite and negative values, blocks of both
+    sides and profiles of different endpoints."""
+    rng, nan, inf = random.Random(8), float("nan"), float("inf")
+    rows = [(u, e, rng.choice([None, nan, inf, -1.0, 0.0, 1.0, 1.1, 1.2, 6.0])) for u in range(600) for e in "abcdef" if rng.random() < 0.6] + [(None, "a", 1.0), (1, None, 1.0)]
+    profile = spark.createDataFrame(rows, "u long, e string, median_value double")
+    x = pairs.preserved_pairs(profile, "u", "e", lambda e, v: F.greatest(F.lit(0.3), F.abs(v) * 0.25), 2)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "SortMergeJoin" not in plan
+    of = collections.defaultdict(dict)
+    for u, e, v in rows:
+        if u is not None and e is not None:
+            of[u][e] = v
+    want = set()
+    for a, b in itertools.combinations(sorted(of), 2):
+        near = []
+        for e in of[a].keys() & of[b].keys():
+            if (v := of[a][e]) is not None and (w := of[b][e]) is not None and (ratio := abs(w - v) / max(0.3, abs(v) * 0.25)) <= 1:
+                near.append((ratio, e))
+        for p in of[a].keys() & of[b].keys():
+            want |= {(a, b, p, e, k) for k, (_, e) in enumerate([n for n in sorted(near) if n[1] != p][:2], 1)}
+    assert set(map(tuple, x.select("a", "b", "primary", "endpoint", "rank").collect())) == want
+    words = profile.filter("u < 90").withColumn("u", F.concat(F.lit("m"), "u"))
+    assert pairs.preserved_pairs(words, "u", "e", lambda e, v: F.greatest(F.lit(0.3), F.abs(v) * 0.25), 2).filter("a < b").count() > 1000
