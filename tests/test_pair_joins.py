@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import scalars
 from tessera.operators import ordered, pairs
 from tessera.plans.catalog import QUERIES
 
@@ -262,3 +263,22 @@ def test_preserved_pairs_are_not_joined(spark):
     assert set(map(tuple, x.select("a", "b", "primary", "endpoint", "rank").collect())) == want
     words = profile.filter("u < 90").withColumn("u", F.concat(F.lit("m"), "u"))
     assert pairs.preserved_pairs(words, "u", "e", lambda e, v: F.greatest(F.lit(0.3), F.abs(v) * 0.25), 2).filter("a < b").count() > 1000
+
+
+def test_similarity_of_words_equals_that_of_sets(spark):
+    rng = random.Random(11)
+    rows = [(k, sorted(rng.sample(range(130), rng.randint(0, 90)))) for k in range(40)] + [(90, None), (91, []), (92, [0, 63, 64, 127, 129]), (93, [63])]
+    df = spark.createDataFrame(rows, "u long, f array<int>").withColumn("p", F.lit(1))
+    x, words, similar = pairs.packed(df.withColumn("kept", F.col("f")), "f", 130)
+    assert words == ["f_0", "f_1", "f_2"]
+    met = pairs.group_pairs(x, ["p"], "u", [*words, "kept"]).select(similar("a", "b").alias("got"), scalars.jaccard(F.col("a_kept"), F.col("b_kept")).alias("want"))
+    assert met.count() == 44 * 43 and met.filter("got <> want or got is null").count() == 0
+    plan = QUERIES["scaffold_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan and "array_intersect" not in plan
+
+
+def test_rounding_by_arithmetic(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(0.0,), (0.5,), (-0.5,), (1.25,), (-1.25,), (2.345678949,), (0.49999999999999994,), (1e300,), (inf,), (-inf,), (None,), (4503599627370497.5,)], "x double")
+    assert [r[0] for r in df.select(scalars.rounded(F.col("x"), 0)).collect()] == [0.0, 1.0, -1.0, 1.0, -1.0, 2.0, 0.0, 1e300, inf, -inf, None, 4503599627370497.5]
+    assert [r[0] for r in df.select(scalars.rounded(F.col("x"), 1)).collect()][3:6] == [1.3, -1.3, 2.3]
