@@ -282,3 +282,18 @@ def test_rounding_by_arithmetic(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (-0.5,), (1.25,), (-1.25,), (2.345678949,), (0.49999999999999994,), (1e300,), (inf,), (-inf,), (None,), (4503599627370497.5,)], "x double")
     assert [r[0] for r in df.select(scalars.rounded(F.col("x"), 0)).collect()] == [0.0, 1.0, -1.0, 1.0, -1.0, 2.0, 0.0, 1e300, inf, -inf, None, 4503599627370497.5]
     assert [r[0] for r in df.select(scalars.rounded(F.col("x"), 1)).collect()][3:6] == [1.3, -1.3, 2.3]
+
+
+def test_triplets_by_words_equal_those_by_sets(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.choice("gh"), rng.choice([1.0, 1.5, 2.0, 2.5, 3.0]), sorted(rng.sample(range(80), rng.randint(0, 60)))) for k in range(80)] + [(90, "g", 2.0, None)]
+    df = spark.createDataFrame(rows, "u long, g string, p double, f array<int>")
+
+    def triplets(bits):
+        best = pairs.strongest_partner(df, ["g"], "u", "p", "f", gain=0.5, similarity=0.3, scan=7, bits=bits)
+        x = pairs.hard_negative(best, df, ["g"], "u", "p", "f", 0.25, 0.3, 0.3, scan=5, bits=bits)
+        return sorted(map(tuple, x.select("a_u", "b_u", "n_id", "input_similarity", "positive_similarity").collect()))
+
+    assert triplets(80) == triplets(None) != []
+    plan = QUERIES["hard_negative_triplet"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan and "array_intersect" not in plan
