@@ -297,3 +297,13 @@ def test_triplets_by_words_equal_those_by_sets(spark):
     assert triplets(80) == triplets(None) != []
     plan = QUERIES["hard_negative_triplet"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_count" in plan and "array_intersect" not in plan
+
+
+def test_most_similar_worse_by_words_and_without_sorting_pairs(spark):
+    rng = random.Random(13)
+    rows = [(k, rng.choice("gh"), rng.choice([1.0, 1.5, 2.0, 2.5, 3.0]), sorted(rng.sample(range(80), rng.randint(0, 60)))) for k in range(70)] + [(90, "g", 2.0, None)]
+    df = spark.createDataFrame(rows, "u long, g string, p double, f array<int>")
+    x, y = (pairs.most_similar_worse(df, ["g"], "u", "p", "f", 0.5, 0.5, bits) for bits in (80, None))
+    assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())) != []
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "partial_min(_r" in plan  # a minimum of structs sorts all pairs of fingerprints
