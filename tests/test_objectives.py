@@ -102,3 +102,14 @@ def test_rate_summary_computes_rates_once(spark):
 
     plan = editing.edit_summary(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("lineitem" in line or "l_partkey#" in line and "Relation" in line for line in plan.splitlines()) == 2 and "Union" not in plan
+
+
+def test_ranker_keeps_no_rows_in_memory(spark):
+    """Before, all rows and their cells were persisted by the executors."""
+    from unittest import mock
+
+    cells = spark.createDataFrame([(i, i % 3, 1.0) for i in range(20)], "id int, column long, value double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(22)], "id int, label int")
+    with mock.patch.object(type(cells), "persist", side_effect=AssertionError("persisted")), mock.patch.object(type(cells), "cache", side_effect=AssertionError("cached")):
+        weights = features.logistic_ranker(cells, labels, "id", 3, rounds=4)
+    assert weights[0] > 0 > weights[1]
