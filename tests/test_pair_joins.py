@@ -307,3 +307,10 @@ def test_most_similar_worse_by_words_and_without_sorting_pairs(spark):
     assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())) != []
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "partial_min(_r" in plan  # a minimum of structs sorts all pairs of fingerprints
+
+
+def test_copies_of_a_large_group_are_bounded(spark):
+    """Before, a group of 40,000 rows had 79 blocks, and each row as many copies."""
+    df = spark.range(40_000).select("id", F.lit("g").alias("g"))
+    one, two, _ = pairs._dealt_blocks(df, df.withColumnRenamed("id", "other"), ["g"], (512, 512))
+    assert one.count() == two.count() == 32 * 40_000
